@@ -51,6 +51,11 @@ def last_seen(value: Column) -> Running:
     return Running("last", value)
 
 
+def seen_before(value: Column) -> Running:
+    """The latest non-null value on an earlier row."""
+    return Running("before", value)
+
+
 def previous(value: Column) -> Running:
     """The value on the row before, null on a key's first row."""
     return Running("previous", value)
@@ -91,7 +96,7 @@ def running(
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select(
         "*",
-        F.row_number().over(ordered).alias("__row"),
+        F.row_number().over(ordered).alias("__local_row"),
         *[_local(spec.kind, column, ordered, upto).alias(f"l{column}") for column, spec in named.items()],
     )
     joined = local.join(carry, part)
@@ -111,7 +116,7 @@ def _chunk_total(kind: str, column: str, at: Column) -> Column:
             return F.max(column)
         case "min":
             return F.min(column)
-        case "last":
+        case "last" | "before":
             return F.max_by(F.col(column), F.when(F.col(column).isNotNull(), at))
         case "previous":
             return F.max_by(F.struct(F.col(column).alias("v")), at)
@@ -141,6 +146,8 @@ def _local(kind: str, column: str, ordered: Window, upto: Window) -> Column:
             return F.min(column).over(upto)
         case "last":
             return F.last(column, ignorenulls=True).over(upto)
+        case "before":
+            return F.last(column, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     return F.lag(column).over(ordered)
 
 
@@ -155,9 +162,9 @@ def _combine(kind: str, carry: str, local: str) -> Column:
             return F.greatest(carried, here)
         case "min":
             return F.least(carried, here)
-        case "last":
+        case "last" | "before":
             return F.coalesce(here, carried)
-    return F.when(F.col("__row") == 1, carried["v"]).otherwise(here)
+    return F.when(F.col("__local_row") == 1, carried["v"]).otherwise(here)
 
 
 def trailing(
@@ -206,7 +213,7 @@ def pick_per_key(df: DataFrame, keys: list[str], order: Column, latest: bool = T
     """One whole row per key, by map-side combined `max_by` / `min_by`."""
     chooser = F.max_by if latest else F.min_by
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), order).alias("__row"))
+    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), order).alias("__local_row"))
     return picked.select(*keys, "__row.*").select(*df.columns)
 
 
