@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterloom.session import settle
 from meterloom.sources import bindings as B
 
 MIB = "1048576e0"
@@ -125,11 +126,25 @@ def stages(ms: str) -> list[list[str]]:
     return [raw, factors, shape, masks, terms, readings, last, pools]
 
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
+    """Derive a table once per session and keep it in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _written:
+        _written[key] = settle(build(), label)
+    return _written[key]
+
+
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = B.table(spark, sf_dir, "lineitem")
-    for exprs in stages(B.SPARK_MS):
-        df = df.selectExpr(*exprs)
-    return df
+    def build() -> DataFrame:
+        df = B.table(spark, sf_dir, "lineitem")
+        for exprs in stages(B.SPARK_MS):
+            df = df.selectExpr(*exprs)
+        return df
+
+    return _once(spark, sf_dir, "flat-measurements", build)
 
 
 def flat_sql() -> str:
@@ -149,7 +164,10 @@ def _null(kind: str) -> Column:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records plus `pos`, the position each row was read at."""
-    f = flat(spark, sf_dir)
+    return _once(spark, sf_dir, "measurements", lambda: _nested(flat(spark, sf_dir)))
+
+
+def _nested(f: DataFrame) -> DataFrame:
     lit = F.lit
     no_text = lit("")
     iso = F.date_format(F.timestamp_millis("measured_ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
