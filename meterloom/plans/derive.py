@@ -48,14 +48,18 @@ def _plain(records: DataFrame) -> DataFrame:
 # --- graph arena -----------------------------------------------------------
 
 
-def mask_copies(records: DataFrame, rates: R.Rates) -> DataFrame:
-    """How many copies of the masks a layer split holds."""
+def mask_copy_points(records: DataFrame, rates: R.Rates) -> DataFrame:
     t = R.arena_terms(rates)
     masks = t["mask"] + t["swa"]
     rows = _plain(records).filter(
         ~R.is_ik() & R.flash_on() & (R.parsed("arch") != "gemma4") & ~R.is_hybrid() & (masks > 0) & (R.cards_or(1) > 1) & (R.split_or_layer() == "layer")
     )
-    return _out(_agree(rows.select(((R.arena() - t["hidden"]) / masks).alias("v")), []), "mask_copies", half_even(F.col("median")))
+    return rows.select(R.file_name(R.factor("model")).alias("model"), ((R.arena() - t["hidden"]) / masks).alias("v"))
+
+
+def mask_copies(records: DataFrame, rates: R.Rates) -> DataFrame:
+    """How many copies of the masks a layer split holds."""
+    return _out(_agree(mask_copy_points(records, rates), []), "mask_copies", half_even(F.col("median")))
 
 
 def offload_batch(records: DataFrame, rates: R.Rates) -> DataFrame:
@@ -72,11 +76,16 @@ def offload_batch(records: DataFrame, rates: R.Rates) -> DataFrame:
     return _out(both.withColumn("status", F.when(held, "ok").otherwise("no-data")), "offload_min_batch", half_even(F.col("first_off")), F.col("worst_on"))
 
 
-def tensor_moe(records: DataFrame, rates: R.Rates) -> DataFrame:
+def tensor_moe_points(records: DataFrame, rates: R.Rates) -> DataFrame:
     t = R.arena_terms(rates, charge_moe=False)
     rows = records.filter(~R.is_ik() & R.is_hybrid() & (R.split_or_layer() == "tensor") & R.flash_on() & ~R.has_spec() & R.arena().isNotNull() & R.fully_offloaded())
     excess = (R.arena() - (t["mask"] + t["swa"] + t["hidden"])) * F.lit(MIB)
-    return _out(_agree(rows.filter(excess > 0).select((excess / R.tokens() / R.parsed("n_embd")).alias("v")), []), "tensor_moe_rate", half_even(F.col("median")))
+    return rows.filter(excess > 0).select(R.file_name(R.factor("model")).alias("model"), (excess / R.tokens() / R.parsed("n_embd")).alias("v"))
+
+
+def tensor_moe(records: DataFrame, rates: R.Rates) -> DataFrame:
+    """Expert bytes per hidden unit and token that a tensor split adds to a hybrid."""
+    return _out(_agree(tensor_moe_points(records, rates), []), "tensor_moe_rate", half_even(F.col("median")))
 
 
 def fork_moe(records: DataFrame, rates: R.Rates) -> DataFrame:
@@ -163,13 +172,18 @@ def unfused_score(records: DataFrame) -> DataFrame:
     return _out(_maxima(points, ["arch"]), F.col("arch"), F.greatest(F.ceil(F.col("top") * 100.0), F.lit(1)))
 
 
-def vision_graph(records: DataFrame) -> DataFrame:
-    """Bytes a projector's graph reserves beyond its tensors: the worst measured."""
+def vision_points(records: DataFrame) -> DataFrame:
     reserved = F.nullif(F.try_element_at(R.parsed("mmproj_reserved_mib"), F.lit("CUDA0")), F.lit(0.0))
     tensors = F.nullif(R.parsed("mmproj_tensor_bytes"), F.lit(0).cast("long"))
-    rows = records.filter(reserved.isNotNull() & tensors.isNotNull()).select(
-        (reserved * F.lit(MIB) - tensors).alias("v"), F.coalesce(R.parsed("clip_image_size"), F.lit(0)).alias("image"), F.coalesce(R.parsed("clip_n_merge"), F.lit(0)).alias("merge")
+    return records.filter(reserved.isNotNull() & tensors.isNotNull()).select(
+        R.file_name(R.factor("model")).alias("model"), (reserved * F.lit(MIB) - tensors).alias("v"),
+        F.coalesce(R.parsed("clip_image_size"), F.lit(0)).alias("image"), F.coalesce(R.parsed("clip_n_merge"), F.lit(0)).alias("merge"),
     )
+
+
+def vision_graph(records: DataFrame) -> DataFrame:
+    """Bytes a projector's graph reserves beyond its tensors: the worst measured."""
+    rows = vision_points(records)
     shapes = rows.groupBy("image", "merge", half_even(F.col("v") / F.lit(MIB)).alias("mib")).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
     text = F.format_string("image %d/merge %d takes %d MiB", F.col("image").cast("long"), F.col("merge").cast("long"), F.col("mib"))
     one = shapes.agg(F.sum("n").alias("n"), F.max("top").alias("top"), evidence(F.struct("image", "merge", "mib"), text).alias("evidence"))
