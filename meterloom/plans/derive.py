@@ -8,6 +8,9 @@ by construction while every reduction before them is map-side combined.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,7 @@ AGREEMENT_MIB = 1.0
 RECURRENT_TOLERANCE = 0.02
 ARENA_TOLERANCE = 5.0
 HOST_MARGIN = 1.10
+JOBS = 6
 MAY_DISAGREE = ["glm-dsa", "laguna"]
 
 
@@ -454,11 +458,15 @@ def derive_all(records: DataFrame, rates: R.Rates | None = None, within_ms: int
         "draft_unaccounted_mib": draft_unaccounted(pairs), "draft_lines": draft_line(records), "draft_host_bytes": host,
         "draft_host_slope_milli": draft_host_slope(host), "rollback_depth": rollback_depth(records),
     }
-    out = None
-    for name, df in tables.items():
-        one = settle(df.select(F.lit(name).alias("name"), F.col("key").cast("string").alias("key"), "value", F.col("n").cast("long").alias("n"), "status"), name)
-        out = one if out is None else out.unionByName(one)
-    return out
+    def write(item: tuple[str, DataFrame]) -> DataFrame:
+        name, df = item
+        one = df.select(F.lit(name).alias("name"), F.col("key").cast("string").alias("key"), "value", F.col("n").cast("long").alias("n"), "status")
+        return settle(one, name)
+
+    # The jobs left are independent of each other, so they share the cluster.
+    with ThreadPoolExecutor(JOBS) as pool:
+        written = list(pool.map(write, tables.items()))
+    return reduce(DataFrame.unionByName, written)
 
 
 UNSIGNED = ["unfused_host_rates", "quantised_cache_rates", "slot_bytes", "checkpoint_headroom", "draft_slopes"]
