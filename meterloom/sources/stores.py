@@ -10,15 +10,22 @@ from meterloom.functions import scan
 
 # --- telemetry tables ------------------------------------------------------
 
-REQUEST_METRICS = T.StructType.fromDDL(
-    "metric_id bigint, service_id bigint, run_id bigint, timestamp_ms bigint, endpoint string, model string, prompt_tokens bigint, completion_tokens bigint, "
-    "prompt_eval_tokens bigint, duration_ms bigint, ttft_ms bigint, prompt_ms bigint, predicted_ms bigint, draft_tokens bigint, draft_tokens_accepted bigint, status_code bigint"
+_LONG, _TEXT = T.LongType(), T.StringType()
+
+
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name.rstrip("_"), kind) for name, kind in columns.items()])
+
+
+REQUEST_METRICS = _schema(
+    metric_id=_LONG, service_id=_LONG, run_id=_LONG, timestamp_ms=_LONG, endpoint=_TEXT, model=_TEXT, prompt_tokens=_LONG, completion_tokens=_LONG,
+    prompt_eval_tokens=_LONG, duration_ms=_LONG, ttft_ms=_LONG, prompt_ms=_LONG, predicted_ms=_LONG, draft_tokens=_LONG, draft_tokens_accepted=_LONG, status_code=_LONG,
 )
-DEVICE_SAMPLES = T.StructType.fromDDL("sample_id bigint, device string, timestamp_ms bigint, total_bytes bigint, free_bytes bigint, used_bytes bigint")
-SERVICE_LOGS = T.StructType.fromDDL("service_id bigint, run_id bigint, timestamp_ms bigint, seq bigint, stream string, line string")
-EVENT_FEED = T.StructType.fromDDL(
-    "type string, service string, `from` string, `to` string, reservations map<string,bigint>, changed_services array<string>, class string, rolling_mean float, "
-    "trigger string, detail string, at_ms bigint"
+DEVICE_SAMPLES = _schema(sample_id=_LONG, device=_TEXT, timestamp_ms=_LONG, total_bytes=_LONG, free_bytes=_LONG, used_bytes=_LONG)
+SERVICE_LOGS = _schema(service_id=_LONG, run_id=_LONG, timestamp_ms=_LONG, seq=_LONG, stream=_TEXT, line=_TEXT)
+EVENT_FEED = _schema(
+    type=_TEXT, service=_TEXT, from_=_TEXT, to=_TEXT, reservations=T.MapType(_TEXT, _LONG), changed_services=T.ArrayType(_TEXT), class_=_TEXT,
+    rolling_mean=T.FloatType(), trigger=_TEXT, detail=_TEXT, at_ms=_LONG,
 )
 
 
