@@ -14,6 +14,11 @@ from meterloom.sources import stores as S
 
 
 def load_logs(s, d) -> DataFrame:
+    """The corpus of load logs, written once per session."""
+    return M._once(s, d, "load-logs", lambda: _print_logs(s, d))
+
+
+def _print_logs(s, d) -> DataFrame:
     """A load log per part: the lines a runtime would print for figures taken from the row."""
     p = F.col("p_partkey")
     two, vis = p % 3 == 0, p % 5 == 0
@@ -41,7 +46,7 @@ def load_logs(s, d) -> DataFrame:
         F.lit("memory breakdown [MiB] | total free\n  - CUDA0 (old) | 1 = 1 + ( 1 = 1 + 1 + 1) + 1\n"),
         fmt("memory breakdown [MiB] | total free self\n  - CUDA0 (card) | 24576 = %d + ( %d = %d + 2 + 3) + %d\n  - CUDA1 (card) | 24576 = 7 + ( 8 = 9 + 10 + 11) + 12\n  - Host | %d = 5 + 6 + 7\n", i(p % 24000), i(p % 700), i(p % 600), i(p % 50), i(p % 3000)),
     )
-    return B.table(s, d, "part").select(F.col("p_partkey").alias("log_id"), text.alias("text"))
+    return B.spread(B.table(s, d, "part")).select(F.col("p_partkey").alias("log_id"), text.alias("text"))
 
 
 def _parsed(s, d):
@@ -84,7 +89,7 @@ def frames(s, d):
 
     streamed = F.concat(F.when(t > 0, F.concat(F.expr("substring(__prev, 21)"), F.lit("\n\n"))).otherwise(F.lit("")), F.substring(F.col("__line"), 1, 20))
     plain = F.when(t == 0, F.format_string('{"usage":{"prompt_tokens":%d,', c)).otherwise(F.when(t == 1, F.lit('"completion_tokens":4}}')).otherwise(F.lit(" ")))
-    rows = B.table(s, d, "conversations").withColumn("__line", line(t)).withColumn("__prev", line(t - 1))
+    rows = B.spread(B.table(s, d, "conversations")).withColumn("__line", line(t)).withColumn("__prev", line(t - 1))
     return rows.select(c.alias("request"), t.alias("frame_seq"), (c * 1000 + t * 40).alias("at_ms"), F.when(c % 4 == 3, plain).otherwise(streamed).alias("body"))
 
 

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterloom.functions import records as R
+from meterloom.functions import scan
 from meterloom.functions.reduce import upper_medians
 from meterloom.operators.telemetry import BROADCAST_ROWS
 
 BUILD_TOLERANCE = 0.10
 IDLE_MINUTES = 45
 THIN_POINTS = 2
+AUDITED = [
+    "ctx", "ubatch", "gpus", "parallel", "concurrency", "probe_prompt_tokens", "flash_attn", "kv_type", "split", "kv_unified", "spec_type", "runtime",
+    "n_cpu_moe", "no_mmap",
+]
 
 
 def usable(records: DataFrame) -> DataFrame:
@@ -21,14 +26,13 @@ def usable(records: DataFrame) -> DataFrame:
 def latest_per_cell(records: DataFrame, cell: str, stamp: Column, position: Column) -> DataFrame:
     """The newest row of each cell; of rows sharing the newest stamp the first read wins.
 
-    Map-side combined, so a cell re-measured a billion times costs one row per
-    map task. Input order is restored by sorting on the position column.
+    One ranked row per cell and map task is kept before the shuffle, so a cell
+    re-measured a billion times costs no more than any other, and columns nobody
+    asks for are never read. Input order is restored by sorting on the position.
     """
-    rest = F.struct(*[c for c in records.columns if c != cell]).alias("__r")
-    marked = records.select(cell, stamp.alias("__stamp"), position.alias("__pos"), rest)
-    first = marked.groupBy(cell, "__stamp").agg(F.min_by("__r", "__pos").alias("__r"))
-    newest = first.groupBy(cell).agg(F.max_by("__r", "__stamp").alias("__r"))
-    return newest.select(cell, "__r.*").select(*records.columns)
+    marked = records.withColumn("__stamp", stamp).withColumn("__pos", position)
+    newest = scan.top_per_key(marked, [cell], [F.desc("__stamp"), F.asc("__pos")], 1)
+    return newest.select(*records.columns)
 
 
 def latest_measurement(records: DataFrame) -> DataFrame:
@@ -212,7 +216,10 @@ def coverage(records: DataFrame) -> DataFrame:
     axis is ever gathered. A zero arena reading is no reading.
     """
     regimes = R.regimes()
+    # Rules and axes read few factors: rows that share them are counted once first.
     measured = records.filter(R.is_ok() & (R.parsed("arena_mib") > 0))
+    combined = measured.groupBy(*[R.factor(c).alias(c) for c in AUDITED]).agg(F.count(F.lit(1)).alias("n"))
+    combined = combined.select(F.struct(*AUDITED).alias("factors"), "n")
     points = F.array_compact(F.array(*[
         F.when(rule, F.struct(
             F.lit(name).alias("regime"),
@@ -220,8 +227,8 @@ def coverage(records: DataFrame) -> DataFrame:
         ))
         for name, (rule, axes, _) in regimes.items()
     ]))
-    hits = measured.select(F.explode(points).alias("h")).select("h.regime", F.explode("h.axes").alias("a")).select("regime", "a.*")
-    values = hits.groupBy("regime", "rank", "axis", "value").agg(F.count(F.lit(1)).alias("n"))
+    hits = combined.select(F.explode(points).alias("h"), "n").select("h.regime", F.explode("h.axes").alias("a"), "n").select("regime", "a.*", "n")
+    values = hits.groupBy("regime", "rank", "axis", "value").agg(F.sum("n").alias("n"))
     axes = values.groupBy("regime", "rank", "axis").agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("cells"))
     thin = axes.groupBy("regime").agg(F.max("cells").alias("cells"), F.min(F.struct("points", "rank", "axis")).alias("t"))
     listed = records.sparkSession.createDataFrame([(n, c) for n, (_, _, c) in regimes.items()], "regime string, feeds string")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterloom.functions.reduce import medians, _null_safe_join
+from meterloom.functions.reduce import medians
+from meterloom.session import settle
 
 
 def pair_twins(
@@ -39,7 +40,8 @@ def pair_twins(
 
 def pair_medians(rows: DataFrame, keys: list[str], half: str, a: str, b: str, value: str) -> DataFrame:
     """Per key the median of each half, both present."""
-    mids = medians(rows.filter(F.col(half).isin([a, b])), [*keys, half], value)
+    narrow = settle(rows.filter(F.col(half).isin([a, b])).select(*keys, half, value), "pair-medians")
+    mids = medians(narrow, [*keys, half], value)
     sides = mids.groupBy(*keys).agg(
         F.max(F.when(F.col(half) == a, F.col("median"))).alias("a"), F.max(F.when(F.col(half) == b, F.col("median"))).alias("b")
     )
@@ -99,4 +101,4 @@ def equal_weight_pairs(pairs: DataFrame, a: str, b: str, tolerance: float) -> Da
     return pairs.filter(same_weights(F.col(a), F.col(b), tolerance))
 
 
-__all__ = ["pair_twins", "pair_medians", "same_sitting", "rate_lookup", "worst_rate", "coefficient_lookup", "equal_weight_pairs", "_null_safe_join"]
+__all__ = ["pair_twins", "pair_medians", "same_sitting", "rate_lookup", "worst_rate", "coefficient_lookup", "equal_weight_pairs"]

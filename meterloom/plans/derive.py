@@ -37,7 +37,10 @@ def _out(df: DataFrame, key: Column | str, value: Column, *more: Column) -> Data
 
 
 def _agree(df: DataFrame, keys: list[str], tolerance: float = 0.15, floor: float = 0.0) -> DataFrame:
-    return consensus(df.filter(F.col("v").isNotNull()), keys, "v", tolerance, floor)
+    # The rank selection reads its points several times; the narrow points are
+    # written once instead of being modelled again from the wide records.
+    points = settle(df.filter(F.col("v").isNotNull()).select(*keys, "v"), "points")
+    return consensus(points, keys, "v", tolerance, floor)
 
 
 def _maxima(df: DataFrame, keys: list[str]) -> DataFrame:

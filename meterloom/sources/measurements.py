@@ -139,7 +139,7 @@ def _once(spark: SparkSession, sf_dir: str, label: str, build) -> DataFrame:
 
 def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
-        df = B.table(spark, sf_dir, "lineitem")
+        df = B.spread(B.table(spark, sf_dir, "lineitem"))
         for exprs in stages(B.SPARK_MS):
             df = df.selectExpr(*exprs)
         return df
@@ -164,7 +164,7 @@ def _null(kind: str) -> Column:
 
 def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested records plus `pos`, the position each row was read at."""
-    return _once(spark, sf_dir, "measurements", lambda: _nested(flat(spark, sf_dir)))
+    return _once(spark, sf_dir, "measurements", lambda: _nested(B.spread(flat(spark, sf_dir))))
 
 
 def _nested(f: DataFrame) -> DataFrame:
