@@ -42,8 +42,6 @@ def _checked(s, d):
 
 
 def _arena_check(m):
-    from pyspark.sql import SparkSession  # noqa: F401
-
     flat = m.sparkSession.createDataFrame([("qwen3", 40_000), ("laguna+moe", 43_000)], "key string, value bigint")
     quant = m.sparkSession.createDataFrame([("qwen3", 133), ("llama", 139)], "key string, value bigint")
     return _rounded(D.arena_check(m, RATES, flat, quant).drop("log"), "error")
@@ -263,3 +261,10 @@ ORACLE = {
         select arch, round(max(e), 6) as error, max(e) <= 5 as within from e group by 1"""
     ),
 }
+
+ORACLE["d23_check_committed"] = _sql(
+    """, c as (select arch as key, max(n_layer) as committed from r group by 1 having max(n_layer) > 32), d as (select key, value as derived from d8)
+    select 'unfused_score_rates' as name, coalesce(c.key, d.key) as key, committed, derived, case when derived is null then 'missing' when committed is null then 'new' when committed = derived then 'same' else 'changed' end as state
+    from c full join d on c.key = d.key""",
+    d8=ORACLE["d8_unfused_score"],
+)

@@ -18,6 +18,9 @@ OUTLIER_RATIO = 4.0
 BRACKET = 1e-3
 SKETCH_ACCURACY = 10_000
 
+# Tasks a single group's distinct values are spread over.
+SALTS = 32
+
 
 def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
     """Exact order statistics per group without gathering a group in one task.
@@ -44,11 +47,14 @@ def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
     )
     bounds = _null_safe_join(wanted, sketch, keys)
     low, high = F.col("__near")[0], F.col("__near")[1]
-    placed = _null_safe_join(weights, bounds, keys)
-    below = placed.groupBy(*keys).agg(
+    # A group's values are spread over salts; the bounds, one row per group, are repeated.
+    weights = weights.withColumn("__salt", F.pmod(F.hash("__v"), F.lit(SALTS)))
+    placed = _null_safe_join(weights, _salted(bounds), [*keys, "__salt"])
+    parts = placed.groupBy(*keys, "__salt").agg(
         F.sum(F.when(F.col("__v") < low, F.col("__w")).otherwise(0)).alias("__below"),
         F.sum(F.when(F.col("__v") <= high, F.col("__w")).otherwise(0)).alias("__upto"),
     )
+    below = parts.groupBy(*keys).agg(F.sum("__below").alias("__below"), F.sum("__upto").alias("__upto"))
     checked = _null_safe_join(bounds, below, keys)
     holds = F.lit(True)
     for r in names:
@@ -63,7 +69,7 @@ def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
         F.when(holds, high).otherwise(F.col("highest")).alias("__high"),
         F.when(holds, F.col("__below")).otherwise(F.lit(0)).alias("__below"),
     )
-    inside = _null_safe_join(weights, checked, keys).filter(
+    inside = _null_safe_join(weights, _salted(checked), [*keys, "__salt"]).filter(
         (F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))
     )
     walk = Window.partitionBy(*keys).orderBy("__v") if keys else Window.partitionBy(F.lit(1)).orderBy("__v")
@@ -77,10 +83,15 @@ def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
     )
 
 
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null, keeping the left side's key columns."""
     if not keys:
-        return left.withColumn("__one", F.lit(1)).join(right.withColumn("__one", F.lit(1)), "__one").drop("__one")
+        # Without keys the right side is a global aggregate: exactly one row.
+        return left.withColumn("__one", F.lit(1)).join(F.broadcast(right.withColumn("__one", F.lit(1))), "__one").drop("__one")
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = F.lit(True)
     for k in keys:

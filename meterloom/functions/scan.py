@@ -213,8 +213,8 @@ def pick_per_key(df: DataFrame, keys: list[str], order: Column, latest: bool = T
     """One whole row per key, by map-side combined `max_by` / `min_by`."""
     chooser = F.max_by if latest else F.min_by
     rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), order).alias("__local_row"))
-    return picked.select(*keys, "__row.*").select(*df.columns)
+    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), order).alias("__picked"))
+    return picked.select(*keys, "__picked.*").select(*df.columns)
 
 
 def all_of(conditions: list[Column]) -> Column:

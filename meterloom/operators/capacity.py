@@ -57,15 +57,28 @@ def eviction_set(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     mib, idle, priority, lifecycle.
     """
     needed = F.col("want_mib") - F.col("free_mib")
-    asked = requests.select("scenario", "slot", needed.alias("needed"), F.col("priority").alias("__p"), F.col("lifecycle").alias("__l")).filter("needed > 0")
-    rows = asked.join(candidates.filter("mib > 0"), "slot").filter(
-        evictable(F.col("priority"), F.col("idle"), F.col("lifecycle"), F.col("__p"), F.col("__l"))
+    kind = ["slot", "want_priority", "want_lifecycle"]
+    asked = requests.select(
+        "scenario", "slot", needed.alias("needed"), F.col("priority").alias("want_priority"), F.col("lifecycle").alias("want_lifecycle")
+    ).filter("needed > 0")
+    # Who may be evicted depends on the kind of request only, so candidates are
+    # ranked once per kind, however many requests ask.
+    rows = asked.select(*kind).distinct().join(candidates.filter("mib > 0"), "slot").filter(
+        evictable(F.col("priority"), F.col("idle"), F.col("lifecycle"), F.col("want_priority"), F.col("want_lifecycle"))
     )
     ranked = rows.withColumn("rank", F.when(F.col("idle"), 0).otherwise(256) + F.col("priority"))
-    summed = scan.running(ranked, ["scenario"], ["rank", "mib", "service"], {"freed": scan.total(F.col("mib"))}, width=1)
-    enough = rows.groupBy("scenario").agg(F.sum("mib").alias("__all"))
-    taken = summed.join(enough, "scenario").filter((F.col("__all") >= F.col("needed")) & (F.col("freed") - F.col("mib") < F.col("needed")))
-    return taken.select("scenario", "service", "mib", "freed")
+    ranked = scan.running(ranked, kind, ["rank", "mib", "service"], {"freed": scan.total(F.col("mib")), "taken": scan.count()}, width=1)
+    ranked = settle(ranked.select(*kind, "service", "mib", "freed", "taken"), "evictable")
+    # How far down the list a request reaches: requests and list positions share
+    # one line by size, and each request reads the last position before it.
+    none = F.lit(None).cast("long")
+    marks = ranked.select(*kind, (F.col("freed") - F.col("mib")).alias("size"), F.lit(1).alias("side"), F.col("taken").alias("tie"), "taken")
+    wants = asked.select(*kind, F.col("needed").alias("size"), F.lit(0).alias("side"), F.col("scenario").alias("tie"), none.alias("taken"))
+    reach = scan.running(marks.unionByName(wants), kind, ["size", "side", "tie"], {"reach": scan.last_seen(F.col("taken"))}, width=1024)
+    enough = ranked.groupBy(*kind).agg(F.max("freed").alias("every"))
+    reached = reach.filter("side = 0 and reach is not null").join(enough, kind).filter("every >= size")
+    each = reached.select(F.col("tie").alias("scenario"), *kind, F.explode(F.sequence(F.lit(1).cast("long"), F.col("reach"))).alias("taken"))
+    return each.join(ranked, [*kind, "taken"]).select("scenario", "service", "mib", "freed")
 
 
 def overcommitted(reservations: DataFrame, devices: DataFrame, margin: int = OVERCOMMIT_MARGIN_MIB) -> DataFrame:
