@@ -178,6 +178,17 @@ def _grid(s, d):
     return H.factor_grid(axes, ["flag", "status", "line"])
 
 
+def _trace(s, d):
+    """Memory traces: one sample per event, two counters and one reading per card."""
+    k = F.expr(B.SPARK_K)
+    rows = B.table(s, d, "events").select(F.col("user_id").alias("cell"), F.struct(F.expr(B.SPARK_MS.format("ts")).alias("ms"), F.col("event_id").alias("id")).alias("t"), F.explode(F.array(
+        F.struct(F.lit("rss_anon_kb").alias("counter"), (k * 1024).alias("value")), F.struct(F.lit("rss_file_kb").alias("counter"), F.floor("value").cast("long").alias("value")),
+        F.struct(F.concat(F.lit("gpu"), (F.col("event_id") % 2).cast("string"), F.lit("_used_mib")).alias("counter"), F.when(F.col("event_type") == "view", k * 8).alias("value")),
+    )).alias("c")).select("cell", "t", "c.*")
+    finals = B.table(s, d, "customer").select((F.col("c_custkey") % 400).alias("cell"), F.lit("rss_anon_kb").alias("counter"), "c_acctbal").groupBy("cell", "counter").agg(F.max(F.floor("c_acctbal")).cast("long").alias("value"))
+    return H.trace_summary(rows, finals)
+
+
 DEFAULTS = {"ctx": 32768, "ubatch": 512, "parallel": 1, "ngl": 99, "split": None, "kv_type": "f16", "kv_unified": False, "flash_attn": "on", "gpus": "0", "runtime": "mainline", "model": "", "n_cpu_moe": None}
 
 
@@ -218,6 +229,8 @@ QUERIES = {
         "cell", F.col("pos.cents").alias("cents"), R.owned_bytes().alias("owned_bytes"), R.owned_mib().alias("owned_mib"), R.card_used(F.lit(0)).alias("card0"), R.cards_measured().alias("cards_measured"))),
     "f11_skip_reasons": _m(lambda m: H.skip_counts(m, R.factor("model").contains("-0"))),
     "f12_regime_members": _m(H.regime_members),
+    "f10_label_filter": _m(lambda m: H.label_filter(m.select("cell", R.factor("label").alias("label"), F.col("pos.cents").alias("cents")), "prod-")),
+    "a19_trace_summary": _trace,
     "f13_query_heads": _m(lambda m: m.groupBy(R.parsed("arch").alias("arch"), R.query_heads().alias("heads")).count()),
     "f14_keys": _m(lambda m: m.groupBy(R.file_name(R.factor("model")).alias("file"), R.variant().alias("variant"), R.variant_environment().alias("environment"), R.arch_cards().alias("arch_cards")).count()),
     "j4_twins_first": _twins_fa,
@@ -339,6 +352,14 @@ ORACLE = {
         union all select 'duplicate configuration', sum(n - 1) from (select count(*) as n from r where reason is null group by {CONF}) having sum(n - 1) > 0"""
     ),
     "f12_regime_members": sql(" union all ".join(f"select '{n}' as regime, count(*) as count from m where {r} having count(*) > 0" for n, (r, _) in REGIME_SQL.items())),
+    "f10_label_filter": sql("select cell, label, cents from m where contains(label, 'prod-')"),
+    "a19_trace_summary": f"""with t as (select user_id as cell, {B.ANSI_MS.format('ts')} as ms, event_id as id, {B.ANSI_K} as k, value as v, event_type from events),
+      l as (select cell, ms, id, 'rss_anon_kb' as counter, k * 1024 as value from t union all select cell, ms, id, 'rss_file_kb', cast(floor(v) as bigint) from t
+        union all select cell, ms, id, 'gpu' || cast(id % 2 as varchar) || '_used_mib', case when event_type = 'view' then k * 8 end from t),
+      s as (select cell, counter, max(value) as pk, arg_min(value, row(ms, id)) filter (value is not null) as fi, arg_max(value, row(ms, id)) filter (value is not null) as la, count(value) as n from l group by 1, 2),
+      f as (select c_custkey % 400 as cell, 'rss_anon_kb' as counter, cast(max(floor(c_acctbal)) as bigint) as fin from customer group by 1)
+      select coalesce(s.cell, f.cell) as cell, coalesce(s.counter, f.counter) as counter, coalesce(pk, fin) as peak, fi as "first", la as "last", fin as final, coalesce(pk - fi, 0) as growth, coalesce(n, 0) as samples
+      from s full join f on f.cell = s.cell and f.counter = s.counter""",
     "f13_query_heads": sql(
         """select arch, case when n_head <> 0 then n_head else greatest(n_embd // 128, 0) end as heads, count(*) as count from m group by 1, 2"""
     ),

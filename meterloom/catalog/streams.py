@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from meterloom.catalog import sequences as Q
 from meterloom.catalog import telemetry as TQ
+from meterloom.session import scratch_path
 from meterloom.sources import bindings as B
+from meterloom.sources import stores
 from meterloom.streaming import telemetry as ST
 from meterloom.streaming.keyed import run_to_table
 
@@ -79,7 +81,16 @@ def _feed(s, d):
     return ST.recent_events(run_to_table(ST.feed_stream(feed, "4", ["auto_restarted", "config_reloaded"]), "feed"), 100)
 
 
+def _source(s, d):
+    """The feed as JSON lines, read back as a stream of one wide row type."""
+    path = scratch_path(s, "feed-json")
+    TQ.feed(s, d).select(F.to_json(F.struct("type", "service", "at_ms")).alias("value")).write.text(path)
+    table = run_to_table(stores.read_event_feed(s, path), "feed-source")
+    return table.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count("service").alias("with_service"), F.max("at_ms").alias("newest"))
+
+
 QUERIES = {
+    "s10_event_feed_source": _source,
     "t1_stream_rollup": _rollup,
     "t2_error_rate_alerts": _alerts,
     "t3_draft_collapse": lambda s, d: run_to_table(ST.draft_collapse_alerts(_metrics(s, d), 86_400_000, 200, "1 hour", "6 hours"), "collapse"),
@@ -93,6 +104,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "s10_event_feed_source": f"with feed as ({TQ.FEED_SQL}) select type, count(*) as n, count(service) as with_service, max(at_ms) as newest from feed group by 1",
     "t1_stream_rollup": TQ.ORACLE["a1_request_rollup"],
     "t2_error_rate_alerts": B.with_ctes(
         ["rm"],

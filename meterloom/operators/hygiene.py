@@ -169,6 +169,11 @@ def merge_plans(plans: DataFrame, identity: list[str]) -> DataFrame:
     )
 
 
+def label_filter(plan: DataFrame, text: str, label: str = "label") -> DataFrame:
+    """Planned cells whose label contains a text."""
+    return plan.filter(F.col(label).contains(text))
+
+
 UNREADABLE_SIZE = 1 << 62
 
 
@@ -206,6 +211,27 @@ def shard_sizes(files: DataFrame) -> DataFrame:
     return files.groupBy("folder", stem.alias("model")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("shards"))
 
 
+# --- traces ----------------------------------------------------------------
+
+
+def trace_summary(trace: DataFrame, finals: DataFrame) -> DataFrame:
+    """Peak, first, last and growth per (cell, counter) of a memory trace.
+
+    `trace`: cell, counter, t, value (null = not read at that sample). A counter
+    that starts reporting late has its own first reading. `finals`: cell,
+    counter, value; it stands in for the peak where no sample was taken.
+    """
+    read = F.when(F.col("value").isNotNull(), F.col("t"))
+    seen = trace.groupBy("cell", "counter").agg(
+        F.max("value").alias("__peak"), F.min_by("value", read).alias("first"), F.max_by("value", read).alias("last"), F.count("value").alias("samples")
+    )
+    both = seen.join(finals.select("cell", "counter", F.col("value").alias("final")), ["cell", "counter"], "full")
+    peak = F.coalesce("__peak", "final")
+    return both.select(
+        "cell", "counter", peak.alias("peak"), "first", "last", "final", F.coalesce(F.col("__peak") - F.col("first"), F.lit(0)).alias("growth"), F.coalesce("samples", F.lit(0)).alias("samples")
+    )
+
+
 # --- audits ----------------------------------------------------------------
 
 
