@@ -59,7 +59,7 @@ def _sums(m):
 
 def _design(m):
     c = R.design_columns(R.ubatch_or_default(), R.factor("ctx"), R.factor("ctx"), R.kv_quantised(), F.lit(1.0) / R.cards_nonempty(), R.parsed("n_vocab"), R.parsed("n_embd"), R.is_hybrid(), R.layer_split_copies())
-    return m.groupBy(R.parsed("arch").alias("arch")).agg(*[F.round(F.sum(v), 4).alias(k) for k, v in c.items()])
+    return m.groupBy(R.parsed("arch").alias("arch")).agg(*[F.round(F.sum(v), 6).alias(k) for k, v in c.items()])
 
 
 QUERIES = {
@@ -140,9 +140,9 @@ ORACLE = {
     ),
     "x8_context_sums": _sql("select cell, cents, main_kv, main_rs, main_compute, case when spec then draft_kv end as draft_kv, case when spec then draft_compute end as draft_compute from r"),
     "x9_design_columns": _sql(
-        f"""select arch, round(sum(1.0), 4)::double as flat, round(sum(1.0::double / greatest(n_cards, 1)), 4) as head_flat, round(sum(n_embd * ub / {MIB}), 4) as hidden, round(sum(log2(greatest(ub, 512) / 512.0::double)), 4) as doubling,
-        round(sum(copies * ub * ctx / {MIB}), 4) as mask, round(sum(case when kv_type = 'q8_0' then ub * ctx / {MIB} else 0 end), 4) as quant, round(sum(1.0::double / greatest(n_cards, 1) * 151936 * ub / {MIB}), 4) as logits,
-        round(sum(case when hybrid then 1.0::double / greatest(n_cards, 1) else 0 end), 4) as offload_head from r group by 1"""
+        f"""select arch, round(sum(1.0), 6)::double as flat, round(sum(1.0::double / greatest(n_cards, 1)), 6) as head_flat, round(sum(n_embd * ub / {MIB}), 6) as hidden, round(sum(log2(greatest(ub, 512) / 512.0::double)), 6) as doubling,
+        round(sum(copies * ub * ctx / {MIB}), 6) as mask, round(sum(case when kv_type = 'q8_0' then ub * ctx / {MIB} else 0 end), 6) as quant, round(sum(1.0::double / greatest(n_cards, 1) * 151936 * ub / {MIB}), 6) as logits,
+        round(sum(case when hybrid then 1.0::double / greatest(n_cards, 1) else 0 end), 6) as offload_head from r group by 1"""
     ),
     "d1_mask_copies": _sql(
         MED + _agree(f"(select (arena_mib - hid) / masks as v from r where {PLAIN} and not ik and flash_attn = 'on' and arch <> 'gemma4' and not hybrid and masks > 0 and cards1 > 1 and split_l = 'layer')", "'mask_copies'")

@@ -107,7 +107,7 @@ def _attributed(s, d):
 
 
 QUERIES = {
-    "m1_observations": lambda s, d: _obs(s, d).groupBy(*M5.GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 4).alias(f"sum_{c}") for c in ["target", "mask", "quant", "hidden", "logits", "head_flat"]]),
+    "m1_observations": lambda s, d: _obs(s, d).groupBy(*M5.GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 6).alias(f"sum_{c}") for c in ["target", "mask", "quant", "hidden", "logits", "head_flat"]]),
     "m2_normal_sums": _gram,
     "m3_m4_fitted_coefficients": _coefs,
     "m5_residuals": _resid,
@@ -163,8 +163,8 @@ ORACLE = {
         t as (select *, (gpu_used - weights_mib - main_kv - main_rs) / greatest(n_cards, 1) as target, 1.0::double / n_cards as hs from o where not has_table and gpu_used <> 0 and weights_mib <> 0 and gpu_used - weights_mib - main_kv - main_rs > 0
           union all select *, (card_used - dev_model - dev_kv)::double as target, 1.0::double / n_cards from o where has_table and fused and card_used - dev_model - dev_kv > 0
           union all select * from (select *, (card_used - dev_model - dev_kv)::double as target, unnest(case n_cards when 1 then [1.0::double] when 2 then [1.0::double, 0] else [1.0::double, 0, 0] end) as hs from o where has_table and not fused) where target > 0)
-        select runtime, split_l as split, arch, variant_ as variant, count(*) as n, round(sum(target), 4) as sum_target, round(sum(cp * ub * nkv / 1048576e0), 4) as sum_mask, round(sum(case when kv_type = 'q8_0' then ub * ctx / 1048576e0 else 0 end), 4) as sum_quant,
-          round(sum(n_embd * ub / 1048576e0), 4) as sum_hidden, round(sum(hs * 151936 * ub / 1048576e0), 4) as sum_logits, round(sum(hs), 4) as sum_head_flat from t group by 1, 2, 3, 4"""
+        select runtime, split_l as split, arch, variant_ as variant, count(*) as n, round(sum(target), 6) as sum_target, round(sum(cp * ub * nkv / 1048576e0), 6) as sum_mask, round(sum(case when kv_type = 'q8_0' then ub * ctx / 1048576e0 else 0 end), 6) as sum_quant,
+          round(sum(n_embd * ub / 1048576e0), 6) as sum_hidden, round(sum(hs * 151936 * ub / 1048576e0), 6) as sum_logits, round(sum(hs), 6) as sum_head_flat from t group by 1, 2, 3, 4"""
     ),
     "m2_normal_sums": """with x as (select l_returnflag, 1.0::double as f, l_quantity as m, l_quantity * l_discount as q, l_extendedprice as t, 1 / l_extendedprice as w from lineitem)
       select l_returnflag, count(*) as n, round(sum(w * f * f), 4) as g_flat_flat, round(sum(w * f * m), 4) as g_flat_mask, round(sum(w * f * q), 4) as g_flat_quant, round(sum(w * m * m), 4) as g_mask_mask,
