@@ -33,13 +33,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the setting is absent (tests, a laptop) is a local folder made.
+    Only a `local` master may go without the setting (tests, a laptop); a local
+    folder is made there. On a cluster such a folder would be another one on
+    each machine, so a missing setting is an error.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="meterloom-")
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
