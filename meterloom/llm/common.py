@@ -36,7 +36,7 @@ def pieces(lengths: list[int], bound: int = PIECE_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
-def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable[[list[str | None]], list]) -> DataFrame:
+def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable[[list[str | None]], list], bound: int = PIECE_CHARS) -> DataFrame:
     """Add columns computed from whole texts, a bounded piece of rows at a time.
 
     `work` gets the texts of a piece and returns one list or Arrow array per
@@ -52,9 +52,8 @@ def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable
     def run(batches):
         types = None
         for batch in batches:
-            lengths = batch.column(0)
-            texts = lengths.to_pylist()
-            for a, b in pieces([len(t) if t else 0 for t in texts]):
+            texts = batch.column(0).to_pylist()
+            for a, b in pieces([len(t) if t else 0 for t in texts], bound):
                 types = types or [_arrow(f.dataType) for f in outputs.fields]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts[a:b]), types)]
                 part = batch.slice(a, b - a)

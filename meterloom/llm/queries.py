@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import language, quality, toxicity
+from meterloom.llm import bpe, language, quality, toxicity
 from meterloom.llm.common import fold, table
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary that the queries encode with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.train(docs.where(~language.held_out()))
@@ -28,8 +35,21 @@ def _scored(operator, label: str, at: float):
     return query
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    codec = bpe.prepare(docs, vocabulary_path())
+    coded = bpe.encode(docs, codec).select("doc_id", "ids")
+    return bpe.decode(coded, codec).select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language": op1_language,
+    "op3_bpe": op3_bpe,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
 }
