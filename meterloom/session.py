@@ -64,4 +64,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a settled table that no later step reads."""
+    session = df.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
