@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe, language, quality, toxicity
+from meterloom.llm import bpe, language, quality, simhash, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -23,6 +23,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _scored(operator, label: str, at: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,6 +54,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language": op1_language,
     "op3_bpe": op3_bpe,
+    "op5_simhash": op5_simhash,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
 }
