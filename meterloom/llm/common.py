@@ -54,7 +54,7 @@ def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in pieces([len(t) if t else 0 for t in texts], bound):
-                types = types or [_arrow(f.dataType) for f in outputs.fields]
+                types = types or [arrow_type(f.dataType) for f in outputs.fields]
                 made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts[a:b]), types)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[first:], *made], names=names)
@@ -62,7 +62,7 @@ def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable
     return rows.mapInArrow(run, schema)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)

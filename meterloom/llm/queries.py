@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe, language, quality, simhash, toxicity
+from meterloom.llm import bpe, decontaminate, language, quality, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def _scored(operator, label: str, at: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +43,11 @@ def _scored(operator, label: str, at: float):
     return query
 
 
+def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised("embedding").alias("vector"))
+    return topk.top_k(vectors.where("vec_id % 50 = 0"), vectors, 5)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.prepare(docs, vocabulary_path())
@@ -53,9 +62,37 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_top_k": op2_top_k,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
+    "op6_decontamination": op6_decontamination,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_top_k": """
+        with v as (
+            select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
+            where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        ), p as (
+            select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+            from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from p)
+        select query_id, n::int as rank, vec_id, score from r where n <= 5
+    """,
+    "op6_decontamination": f"""
+        with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from documents),
+        b as (select distinct item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from benchmark),
+        dp as (select doc_id, w, unnest(range(greatest(len(w) - {decontaminate.WORDS} + 1, 1))) as p from d where len(w) > 0),
+        bp as (select item_id, w, unnest(range(greatest(len(w) - {decontaminate.WORDS} + 1, 1))) as p from b where len(w) > 0),
+        bs as (select distinct item_id, array_to_string(w[p + 1 : p + {decontaminate.WORDS}], ' ') as s from bp),
+        n as (select item_id, count(*) as n from bs group by 1),
+        h as (
+            select doc_id, item_id, unnest([p // {decontaminate.STRIDE}, p // {decontaminate.STRIDE} - 1]) as passage, s
+            from (select doc_id, p, array_to_string(w[p + 1 : p + {decontaminate.WORDS}], ' ') as s from dp) join bs using (s)
+        ),
+        c as (select doc_id, item_id, passage, count(distinct s) as k from h where passage >= 0 group by 1, 2, 3)
+        select doc_id, item_id, max(k / n) as overlap, count(*) as passages from c join n using (item_id)
+        where k / n >= {decontaminate.SHARE} - 1e-9 group by 1, 2
+    """,
+}
