@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe, decontaminate, language, quality, simhash, topk, toxicity
+from meterloom.llm import bpe, decontaminate, language, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -31,6 +31,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_findings(spark)), path_col="source")
+    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.start", "f.end", "f.score")
+
+
 def _scored(operator, label: str, at: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,6 +72,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op9_secrets": op9_secrets,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
 }
