@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.llm import bpe, decontaminate, language, quality, secrets, simhash, topk, toxicity
+from meterloom.functions.scan import running, total
+from meterloom.llm import bpe, decontaminate, fixity, language, licenses, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -23,6 +24,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "spans")
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -31,6 +36,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+#: Pages written to one WARC file.
+PER_FILE = 4_096
+
+
+def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records, against a replica with changed, lost and added records."""
+    pages = table(spark, sf_dir, "pages")
+    whole = pages.select("page_id", F.floor(F.col("page_id") / PER_FILE).alias("file"), fixity.record("url", "page_id", "html").alias("record"))
+    bad = F.overlay("record", F.lit(b"#"), F.octet_length("record") - 4)
+    slim = whole.select("page_id", "file", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("digest"), F.when(F.col("page_id") % 97 == 5, F.sha2(bad, 256)).alias("bad"))
+    placed = running(slim, ["file"], ["page_id", "digest"], {"through": total(F.col("size"))}, width=256).withColumn("offset", F.col("through") - F.col("size"))
+    primary = placed.select("file", "offset", "digest")
+    kept = placed.where("page_id % 193 <> 7").select("file", "offset", F.coalesce("bad", "digest").alias("digest"))
+    added = placed.where("page_id % 389 = 11").select("file", (F.col("offset") + 1).alias("offset"), "digest")
+    return fixity.audit(primary, kept.unionByName(added))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     found = secrets.scan(docs, secrets.train(secrets.labelled_findings(spark)), path_col="source")
@@ -70,13 +92,58 @@ QUERIES = {
     "op1_language": op1_language,
     "op2_top_k": op2_top_k,
     "op3_bpe": op3_bpe,
+    "op4_licences": op4_licences,
     "op5_simhash": op5_simhash,
     "op6_decontamination": op6_decontamination,
+    "op7_fixity": op7_fixity,
     "op9_secrets": op9_secrets,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
 }
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT}', '\\1', 'g')"
+    out = f"regexp_replace({out}, '[^a-z0-9\n]+', ' ', 'g')"
+    for pattern, one in licenses.SPELLINGS:
+        out = f"regexp_replace({out}, '{pattern}', '{one}', 'g')"
+    return out
+
+
+def _known_sql() -> str:
+    rows = [(k, t.replace("'", "''")) for k, texts in licenses.KNOWN.items() for t in texts]
+    return ", ".join(f"('{k}', '{t}')" for k, t in rows)
+
+
 ORACLE: dict[str, str] = {
+    "op4_licences": f"""
+        with k as (
+            select distinct licence, sha256(trim(regexp_replace({_canonical_sql("t")}, '[ \n]+', ' ', 'g'))) as digest
+            from (values {_known_sql()}) v(licence, t)
+        ),
+        c as (select doc_id, {_canonical_sql("text")} as form from documents where text is not null),
+        u as (
+            select doc_id, 0 as line, trim(regexp_replace(form, '[ \n]+', ' ', 'g')) as unit from c
+            union all
+            select doc_id, unnest(range(1, len(string_split(form, chr(10))) + 1)), trim(unnest(string_split(form, chr(10)))) from c
+        )
+        select doc_id, line::int as line, licence, digest from (select doc_id, line, sha256(unit) as digest from u where unit <> '') join k using (digest)
+    """,
+    "op7_fixity": f"""
+        with r as (
+            select page_id, page_id // {PER_FILE} as file, html,
+                'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url
+                || '\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' || html as body
+            from (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages)
+        ),
+        d as (
+            select page_id, file, sha256(body || '\r\n\r\n') as digest,
+                sha256(encode(body)[: strlen(body) - 1] || encode('#\r\n\r\n')) as bad, strlen(body) + 4 as size
+            from r
+        ),
+        p as (select *, sum(size) over (partition by file order by page_id, digest rows unbounded preceding) - size as begins from d)
+        select file, begins::bigint as "offset", 'missing' as fault, digest as primary_digest, null as replica_digest from p where page_id % 193 = 7
+        union all select file, begins::bigint, 'changed', digest, bad from p where page_id % 97 = 5 and page_id % 193 <> 7
+        union all select file, begins::bigint + 1, 'extra', null, digest from p where page_id % 389 = 11
+    """,
     "op2_top_k": """
         with v as (
             select vec_id, [floor(256 * x::double) for x in embedding] as e from embeddings
