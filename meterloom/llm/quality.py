@@ -65,16 +65,17 @@ def _features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 1.0, seed: int = 7) -> Model:
     """Learn vectors and output by SGD over one text at a time, the rate falling to zero.
 
-    Both classes weigh the same in an epoch's order as they occur. One class
-    only, or no rows, gives a constant score: the share of class 1 (0.5 when
-    there is nothing to learn from).
+    One class only, or no rows, gives a constant score: the share of class 1,
+    within 0.001 and 0.999 (0.5 when there is nothing to learn from).
     """
     y = np.asarray(labels, np.int64)
-    share = float(y.mean()) if len(y) else 0.5
+    share = min(max(float(y.mean()), 1e-3), 1 - 1e-3) if len(y) else 0.5
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float64)
     output = np.zeros((WIDTH + 1, 2))
-    if len(set(labels)) == 2:
+    if len(set(labels)) < 2:
+        output[-1, 1] = np.log(share / (1 - share))
+    else:
         made = [x for start in range(0, len(texts), 500) for x in _features(texts[start : start + 500])]
         steps, step = epochs * len(y), 0
         for _ in range(epochs):

@@ -33,6 +33,8 @@ UNLABELLED = 8_000
 STANDS_OUT = 7.0
 #: … and which occur in this share of the sampled positives.
 SUPPORT = 0.015
+#: … and in so many of them.
+LEAST = 4
 MOST_FEATURES = 4_096
 
 
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     share = (F.col("p") + F.col("u")) / (n + m)
     z = (F.col("p") / n - F.col("u") / m) / F.sqrt(share * (1 - share) * (1 / n + 1 / m))
     counted = sample.mapInArrow(count, "bucket long, p long, u long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = counted.where((share < 1) & (F.col("p") >= SUPPORT * n) & (z >= STANDS_OUT)).select("bucket", z.alias("z")).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES)
+    best = counted.where((share < 1) & (F.col("p") >= max(LEAST, SUPPORT * n)) & (z >= STANDS_OUT)).select("bucket", z.alias("z")).orderBy(F.desc("z"), "bucket").limit(MOST_FEATURES)
     chosen = np.sort(np.array([r[0] for r in best.select("bucket").collect()], np.int64))
     if not len(chosen):
         return flat
