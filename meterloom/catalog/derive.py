@@ -246,7 +246,7 @@ ORACLE = {
         pairs=PAIRS, dp=DP,
     ),
     "d20_slot_series": _sql(
-        """, p as (select substr(regexp_extract(model, '[^/]*$'), 1, 24) as name, ctx, parallel, arg_max(delta, row(case when shape = 'separate' then 1 else 0 end, delta)) as d from dp group by 1, 2, 3)
+        """, p as (select regexp_extract(model, '[^/]*$') as name, ctx, parallel, arg_max(delta, row(case when shape = 'separate' then 1 else 0 end, delta)) as d from dp group by 1, 2, 3)
         select name, ctx, count(*) as n, string_agg('np' || cast(parallel as varchar) || ' ' || cast(d as varchar) || ' MiB', ', ' order by parallel) as series from p group by 1, 2 having count(*) > 1""",
         pairs=PAIRS, dp=DP,
     ),

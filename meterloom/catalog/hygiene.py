@@ -38,10 +38,6 @@ def _plan(s, d):
 PLAN_SQL = "select 'c' || cast(l_partkey + 200 as varchar) as cell, 'q' || cast(l_suppkey % 5 as varchar) as question from lineitem"
 
 
-def _flat_position(s, d):
-    return M.measurements(s, d)
-
-
 def _merged(s, d):
     m = M.measurements(s, d)
     plans = m.select(
@@ -96,10 +92,41 @@ def _predictions(s, d):
     )
 
 
+# Configurations that a survey of the dataset asks about: predicate in SQL and as a column, axes.
+_SEVERAL = R.factor("parallel") > 1
+REGIMES = {
+    "no fused attention": (R.charged_unfused(), ["ctx", "ubatch", "gpus"]),
+    "cache below 16 bits": (R.kv_quantised(), ["ctx", "ubatch"]),
+    "split by tensor": (R.split_or_layer() == "tensor", ["ctx", "ubatch", "gpus"]),
+    "one cache for many slots": (R.factor("kv_unified") & _SEVERAL, ["ctx", "ubatch"]),
+    "many slots": (_SEVERAL, ["ctx", "ubatch", "parallel"]),
+    "requests in parallel": (R.factor("concurrency") > 1, ["concurrency", "ctx"]),
+    "prompt past a checkpoint": (R.factor("probe_prompt_tokens") >= R.CHECKPOINT_STEP, ["ctx", "gpus"]),
+    "speculation": (R.factor("spec_type").isNotNull(), ["ctx", "parallel"]),
+    "other fork": (R.is_ik(), ["ctx", "ubatch", "gpus"]),
+    "experts on the host": (R.factor("n_cpu_moe").isNotNull(), ["ctx", "ubatch"]),
+    "alone on a card": (R.cards_nonempty() == 1, ["ctx", "ubatch"]),
+    "weights read, not mapped": (R.factor("no_mmap"), ["ctx", "ubatch"]),
+}
+
+
+def _reasons(known):
+    """Why a record stays out of a comparison, the first that applies; `known`: the model is one we predict."""
+    placed = F.concat(F.lit("layers placed by hand: "), R.factor("ngl").cast("string"))
+    return [
+        (~R.is_ok(), F.concat(F.lit("run ended "), F.col("status"))),
+        (R.gpu_used().isNull(), "device memory not read"),
+        (~R.factor("served"), "never served"),
+        (~known, "model without a prediction"),
+        (~R.fully_offloaded() & R.factor("n_cpu_moe").isNull(), placed),
+        (R.factor("embeddings"), "embeds only"),
+    ]
+
+
 def _validation(s, d):
     from meterloom.operators.report import validation_report
 
-    return validation_report(M.measurements(s, d), _predictions(s, d), R.factor("model").contains("-0"))
+    return validation_report(M.measurements(s, d), _predictions(s, d), _reasons(R.factor("model").contains("-0")))
 
 
 def _twins_fa(s, d):
@@ -227,8 +254,8 @@ QUERIES = {
         R.kv_quantised().alias("quantised"), R.fully_offloaded().alias("offloaded"), R.is_hybrid().alias("hybrid"), R.has_spec().alias("spec"), R.is_ik().alias("ik"), F.col("pos.cents").alias("cents"))),
     "f6_readings": _m(lambda m: m.select(
         "cell", F.col("pos.cents").alias("cents"), R.owned_bytes().alias("owned_bytes"), R.owned_mib().alias("owned_mib"), R.card_used(F.lit(0)).alias("card0"), R.cards_measured().alias("cards_measured"))),
-    "f11_skip_reasons": _m(lambda m: H.skip_counts(m, R.factor("model").contains("-0"))),
-    "f12_regime_members": _m(H.regime_members),
+    "f11_skip_reasons": _m(lambda m: H.skip_counts(m, _reasons(R.factor("model").contains("-0")))),
+    "f12_regime_members": _m(lambda m: H.regime_members(m, REGIMES)),
     "f10_label_filter": _m(lambda m: H.label_filter(m.select("cell", R.factor("label").alias("label"), F.col("pos.cents").alias("cents")), "prod-")),
     "a19_trace_summary": _trace,
     "f13_query_heads": _m(lambda m: m.groupBy(R.parsed("arch").alias("arch"), R.query_heads().alias("heads")).count()),
@@ -258,7 +285,7 @@ QUERIES = {
     "a18_half_even": lambda s, d: B.table(s, d, "lineitem").select("l_quantity", "l_partkey").groupBy(RD.half_even((F.col("l_quantity") - 25) / F.lit(2.0)).alias("rounded"), RD.tenths_half_even(F.col("l_quantity") / F.lit(4.0)).alias("tenths")).count(),
     "a20_stale_builds": _m(H.stale_builds),
     "a21_build_disagreements": _m(lambda m: H.build_disagreements(m, 0.2)),
-    "a22_coverage": _m(H.coverage),
+    "a22_coverage": _m(lambda m: H.coverage(m, REGIMES)),
     "a23_question_progress": lambda s, d: H.question_progress(_plan(s, d), M.measurements(s, d)),
     "a24_liveness": _liveness,
     "a25_headroom_line": _headroom,
@@ -283,28 +310,27 @@ def H_cell():
 
 
 CONF = "stem, runtime, gpus, ctx, ubatch, parallel, ngl, split, kv_type, kv_unified, flash_attn, n_cpu_moe, mmproj, draft, spec_type, no_mmap, rtr, concurrency, probe_prompt_tokens, embeddings, bench, served, ik and sparse"
-REASON = """case when status <> 'ok' then 'status ' || status when coalesce(gpu_used, 0) = 0 then 'no driver reading' when not served then 'idle: no first-use allocations'
-  when not contains(stem, '-0') then 'model not listed' when ngl <> 99 and n_cpu_moe is null then 'operator-chosen placement (ngl ' || cast(ngl as varchar) || ')' when embeddings then 'embedding modality' end"""
+REASON = """case when status <> 'ok' then 'run ended ' || status when coalesce(gpu_used, 0) = 0 then 'device memory not read' when not served then 'never served'
+  when not contains(stem, '-0') then 'model without a prediction' when ngl <> 99 and n_cpu_moe is null then 'layers placed by hand: ' || cast(ngl as varchar) when embeddings then 'embeds only' end"""
 ENV = "variant || case when ik then '@ik' else '' end || case when flash_attn <> 'on' then '@nofa' else '' end"
 CARDS1 = "case when gpus = '' then 1 else n_cards end"
 REGIME_SQL = {
-    "flash attention off": ("flash_attn <> 'on'", ["ctx", "ub", "gpus"]),
-    "quantised KV": ("kv_type = 'q8_0'", ["ctx", "ub"]),
-    "tensor split": ("split_l = 'tensor'", ["ctx", "ub", "gpus"]),
-    "shared KV cache": ("kv_unified and parallel > 1", ["ctx", "ub"]),
-    "multiple slots": ("parallel > 1", ["ctx", "ub", "parallel"]),
-    "concurrent requests": ("concurrency > 1", ["concurrency", "ctx"]),
-    "checkpointed prompt": ("probe_prompt_tokens >= 8192", ["ctx", "gpus"]),
-    "MTP": ("spec_type is not null", ["ctx", "parallel"]),
-    "ik_llama": ("ik", ["ctx", "ub", "gpus"]),
-    "hybrid": ("n_cpu_moe is not null", ["ctx", "ub"]),
-    "single card": ("n_cards <= 1", ["ctx", "ub"]),
-    "no mmap": ("no_mmap", ["ctx", "ub"]),
+    "no fused attention": ("flash_attn <> 'on'", ["ctx", "ub", "gpus"]),
+    "cache below 16 bits": ("kv_type = 'q8_0'", ["ctx", "ub"]),
+    "split by tensor": ("split_l = 'tensor'", ["ctx", "ub", "gpus"]),
+    "one cache for many slots": ("kv_unified and parallel > 1", ["ctx", "ub"]),
+    "many slots": ("parallel > 1", ["ctx", "ub", "parallel"]),
+    "requests in parallel": ("concurrency > 1", ["concurrency", "ctx"]),
+    "prompt past a checkpoint": ("probe_prompt_tokens >= 8192", ["ctx", "gpus"]),
+    "speculation": ("spec_type is not null", ["ctx", "parallel"]),
+    "other fork": ("ik", ["ctx", "ub", "gpus"]),
+    "experts on the host": ("n_cpu_moe is not null", ["ctx", "ub"]),
+    "alone on a card": ("n_cards <= 1", ["ctx", "ub"]),
+    "weights read, not mapped": ("no_mmap", ["ctx", "ub"]),
 }
 
 
 def _coverage_sql() -> str:
-    feeds = {n: c for n, c in [("flash attention off", "unfused-attention rates"), ("quantised KV", "quantised-cache rates"), ("tensor split", "tensor-split baseline"), ("shared KV cache", "window-mask count"), ("multiple slots", "mask streams"), ("concurrent requests", "per-slot host bytes"), ("checkpointed prompt", "checkpoint headroom"), ("MTP", "draft compute"), ("ik_llama", "fork expert rates"), ("hybrid", "expert offload placement"), ("single card", "mask copies at one card"), ("no mmap", "mapped-memory discriminator")]}
     parts = []
     for name, (rule, axes) in REGIME_SQL.items():
         points = [f"count(distinct {a})" for a in axes]
@@ -312,7 +338,7 @@ def _coverage_sql() -> str:
         least = f"least({', '.join(points)})"
         pick = "case " + " ".join(f"when {p} = {least} then '{n}'" for p, n in zip(points, names)) + " end"
         parts.append(
-            f"select '{name}' as regime, '{feeds[name]}' as feeds, count(*) as cells, {least} as points, case when count(*) = 0 then 'never measured' else {pick} end as thinnest, count(*) > 0 and {least} < 2 as thin from m where status = 'ok' and arena_mib > 0 and {rule}"
+            f"select '{name}' as regime, count(*) as cells, {least} as points, case when count(*) = 0 then 'never measured' else {pick} end as thinnest, count(*) > 0 and {least} < 2 as thin from m where status = 'ok' and arena_mib > 0 and {rule}"
         )
     return " union all ".join(parts)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from meterloom.session import settle
 OVERCOMMIT_MARGIN_MIB = 512
 DEFAULT_PRIORITY = 50
 DEFAULT_LIFECYCLE = "on_demand"
+#: Generations of a process tree kept as tables of their own before they are brought together.
+GENERATIONS = 20
 
 
 def slot_fit(wants: DataFrame, devices: DataFrame, reservations: DataFrame, freed: DataFrame, optimistic: bool = False) -> DataFrame:
@@ -118,26 +122,28 @@ def best_device(choices: DataFrame, devices: DataFrame) -> DataFrame:
     return best.select("request", F.col("b.slot").alias("slot"), (-F.col("b.a")).alias("available_mib"))
 
 
-def descendants(registered: DataFrame, processes: DataFrame, depth: int = 64) -> DataFrame:
+def descendants(registered: DataFrame, processes: DataFrame) -> DataFrame:
     """Registered pids and everything below them: (tick, service, pid), each pid once.
 
-    Walks one generation per round and stops when a round finds nobody new;
-    `depth` only guards against a parent loop in a torn snapshot.
+    Walks one generation per round and stops when a round finds nobody new; pids
+    already seen are left out, which also ends a parent loop in a torn snapshot.
     """
     keys = ["tick", "service", "pid"]
-    seen = settle(registered.select(*keys).distinct(), "pids")
-    frontier = seen
+    frontier = settle(registered.select(*keys).distinct(), "pids")
+    generations = [frontier]
     children = processes.select("tick", F.col("ppid").alias("__parent"), F.col("pid").alias("__child"))
-    for _ in range(depth):
+    while True:
         below = frontier.join(children, (frontier["tick"] == children["tick"]) & (frontier["pid"] == children["__parent"])).select(
             frontier["tick"], "service", F.col("__child").alias("pid")
         )
-        fresh = settle(below.distinct().join(seen, keys, "left_anti"), "pids")
-        if fresh.isEmpty():
+        seen = reduce(DataFrame.unionByName, generations)
+        frontier = settle(below.distinct().join(seen, keys, "left_anti"), "pids")
+        if frontier.isEmpty():
             return seen
-        seen = settle(seen.unionByName(fresh), "pids")
-        frontier = fresh
-    return seen
+        generations.append(frontier)
+        if len(generations) > GENERATIONS:
+            # Many small tables make slow plans: bring what is seen together now and then.
+            generations = [settle(reduce(DataFrame.unionByName, generations), "pids")]
 
 
 def attribute_memory(registered: DataFrame, processes: DataFrame, gpu: DataFrame, cgroups: DataFrame | None = None) -> DataFrame:

@@ -215,13 +215,16 @@ def progress_counters(pages: DataFrame, key: list[str], body: str = "body") -> D
     lines = pages.select(*key, F.posexplode(F.split(body, "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     lines = lines.filter(~F.col("line").startswith("#"))
     name = F.regexp_extract("line", r"^(\S+)\s+(\S+)", 1)
-    value = F.regexp_extract("line", r"^(\S+)\s+(\S+)", 2).try_cast("double").cast("long")
-    found = lines.select(*key, "line_no", name.alias("name"), value.alias("value")).filter(F.col("value").isNotNull())
+    number = F.regexp_extract("line", r"^(\S+)\s+(\S+)", 2).try_cast("double")
+    # Pages hold NaN and infinities too: those are no counts. Counts are never negative.
+    value = F.when(~F.isnan(number), F.greatest(number, F.lit(0.0))).try_cast("long")
+    wanted = lines.select(*key, "line_no", name.alias("name"), value.alias("value")).filter(F.col("name").isin(PROMPT_COUNTERS + PREDICTED_COUNTERS))
+    found = wanted.filter(F.col("value").isNotNull())
     out = []
     for label, names in [("prompt", PROMPT_COUNTERS), ("predicted", PREDICTED_COUNTERS)]:
         rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("name"))
         out.append(F.min_by("value", F.when(rank > 0, F.struct(rank.alias("r"), F.col("line_no").alias("l")))).alias(label))
-    sums = found.filter(F.col("name").isin(PROMPT_COUNTERS + PREDICTED_COUNTERS)).groupBy(*key).agg(*out)
+    sums = found.groupBy(*key).agg(*out)
     both = pages.select(*key).join(sums, key, "left")
     total = F.coalesce("prompt", F.lit(0)) + F.coalesce("predicted", F.lit(0))
     return both.select(*key, F.when(F.col("prompt").isNotNull() | F.col("predicted").isNotNull(), total).alias("progress"))

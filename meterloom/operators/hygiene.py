@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from meterloom.functions import records as R
 from meterloom.functions import scan
 from meterloom.functions.reduce import upper_medians
-from meterloom.operators.telemetry import BROADCAST_ROWS
 
 BUILD_TOLERANCE = 0.10
 IDLE_MINUTES = 45
@@ -89,15 +88,12 @@ def retirable_builds(records: DataFrame, tolerance: float = BUILD_TOLERANCE) ->
     return bounds.filter(apart > tolerance).select("arch", "build").distinct()
 
 
-def retire(records: DataFrame, stale: DataFrame, stale_rows: int | None = None) -> DataFrame:
+def retire(records: DataFrame, stale: DataFrame) -> DataFrame:
     """Mark usable rows of retired builds; every reader skips the status.
 
-    The stale list holds one row per (architecture, build); it is broadcast only
-    when the caller states its size.
+    The stale list holds one row per (architecture, build).
     """
     marks = stale.select(F.col("arch").alias("__arch"), F.col("build").alias("__build"), F.lit(True).alias("__stale"))
-    if stale_rows is not None and stale_rows <= BROADCAST_ROWS:
-        marks = F.broadcast(marks)
     hit = (R.parsed("arch") == F.col("__arch")) & (F.col("provenance.runtime_sha256") == F.col("__build"))
     joined = records.join(marks, hit, "left")
     status = F.when(R.is_ok() & F.col("__stale"), F.lit("stale-runtime")).otherwise(F.col("status"))
@@ -190,7 +186,7 @@ def plan_order(plan: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         *[F.coalesce(c, F.lit("")) for c in ("spec_type", "draft", "mmproj")],
         *[F.col(c) for c in ("ctx", "ubatch", "parallel", "kv_type", "flash_attn")], ~F.col("served"), F.col("bench"), F.col("pos"),
     ]
-    return f.withColumn("model_bytes", size).orderBy(*[k if i == 0 else k for i, k in enumerate(keys)]).select(*plan.columns, "model_bytes")
+    return f.withColumn("model_bytes", size).orderBy(*keys).select(*plan.columns, "model_bytes")
 
 
 def factor_grid(axes: DataFrame, names: list[str]) -> DataFrame:
@@ -235,13 +231,17 @@ def trace_summary(trace: DataFrame, finals: DataFrame) -> DataFrame:
 # --- audits ----------------------------------------------------------------
 
 
-def coverage(records: DataFrame) -> DataFrame:
+Regimes = dict[str, tuple[Column, list[str]]]
+Reasons = list[tuple[Column, Column | str]]
+
+
+def coverage(records: DataFrame, regimes: Regimes) -> DataFrame:
     """Per regime: measured cells and its thinnest axis; regimes nobody measured are listed.
 
-    Values are made distinct per (regime, axis) before they are counted, so no
-    axis is ever gathered. A zero arena reading is no reading.
+    `regimes` names a predicate over factors and the axes it rests on. Values
+    are made distinct per (regime, axis) before they are counted, so no axis is
+    ever gathered. A zero arena reading is no reading.
     """
-    regimes = R.regimes()
     # Rules and axes read few factors: rows that share them are counted once first.
     measured = records.filter(R.is_ok() & (R.parsed("arena_mib") > 0))
     combined = measured.groupBy(*[R.factor(c).alias(c) for c in AUDITED]).agg(F.count(F.lit(1)).alias("n"))
@@ -251,30 +251,35 @@ def coverage(records: DataFrame) -> DataFrame:
             F.lit(name).alias("regime"),
             F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(a).alias("axis"), R.axis(a).alias("value")) for i, a in enumerate(axes)]).alias("axes"),
         ))
-        for name, (rule, axes, _) in regimes.items()
+        for name, (rule, axes) in regimes.items()
     ]))
     hits = combined.select(F.explode(points).alias("h"), "n").select("h.regime", F.explode("h.axes").alias("a"), "n").select("regime", "a.*", "n")
     values = hits.groupBy("regime", "rank", "axis", "value").agg(F.sum("n").alias("n"))
     axes = values.groupBy("regime", "rank", "axis").agg(F.count(F.lit(1)).alias("points"), F.sum("n").alias("cells"))
     thin = axes.groupBy("regime").agg(F.max("cells").alias("cells"), F.min(F.struct("points", "rank", "axis")).alias("t"))
-    listed = records.sparkSession.createDataFrame([(n, c) for n, (_, _, c) in regimes.items()], "regime string, feeds string")
+    listed = records.sparkSession.createDataFrame([(n,) for n in regimes], "regime string")
     out = listed.join(thin, "regime", "left")
     cells, axis_points = F.coalesce("cells", F.lit(0)), F.coalesce("t.points", F.lit(0))
     return out.select(
-        "regime", "feeds", cells.alias("cells"), axis_points.alias("points"),
+        "regime", cells.alias("cells"), axis_points.alias("points"),
         F.coalesce("t.axis", F.lit("never measured")).alias("thinnest"), ((cells > 0) & (axis_points < THIN_POINTS)).alias("thin"),
     )
 
 
-def regime_members(records: DataFrame) -> DataFrame:
-    """Records per regime (long form of the twelve predicates)."""
-    tags = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, (rule, _, _) in R.regimes().items()]))
+def regime_members(records: DataFrame, regimes: Regimes) -> DataFrame:
+    """Records per regime; a record counts in every regime it belongs to."""
+    tags = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, (rule, _) in regimes.items()]))
     return records.select(F.explode(tags).alias("regime")).groupBy("regime").count()
 
 
-def skip_counts(records: DataFrame, known: Column, duplicates: bool = True) -> DataFrame:
+def first_reason(reasons: Reasons) -> Column:
+    """Text of the first rule that applies to a row, null when none does."""
+    return F.coalesce(*[F.when(rule, text if isinstance(text, Column) else F.lit(text)) for rule, text in reasons])
+
+
+def skip_counts(records: DataFrame, rules: Reasons, duplicates: bool = True) -> DataFrame:
     """Records per exclusion reason, duplicates of a configuration counted as one more reason."""
-    reasons = records.withColumn("reason", R.skip_reason(known))
+    reasons = records.withColumn("reason", first_reason(rules))
     skipped = reasons.filter(F.col("reason").isNotNull()).groupBy("reason").count()
     if not duplicates:
         return skipped

@@ -52,16 +52,14 @@ def same_sitting(pairs: DataFrame, a_at: str, b_at: str, within_ms: int = 3_600_
     return pairs.filter(F.abs(F.col(a_at) - F.col(b_at)) <= within_ms)
 
 
-def rate_lookup(rows: DataFrame, key: Column, rates: DataFrame, default: Column | float, name: str = "rate", rate_rows: int | None = None) -> DataFrame:
+def rate_lookup(rows: DataFrame, key: Column, rates: DataFrame, default: Column | float, name: str = "rate") -> DataFrame:
     """Rate by key with a default for keys nobody listed.
 
-    `rates`: key, value. Broadcast only where the caller states the table's size.
+    `rates`: key, value.
     """
-    from meterloom.operators.telemetry import small
-
     listed = rates.select(F.col("key").alias("__key"), F.col("value").alias("__rate"))
     default = default if isinstance(default, Column) else F.lit(default)
-    joined = rows.withColumn("__want", key).join(small(listed, rate_rows), F.col("__want") == F.col("__key"), "left")
+    joined = rows.withColumn("__want", key).join(listed, F.col("__want") == F.col("__key"), "left")
     return joined.select(*rows.columns, F.coalesce("__rate", default).alias(name))
 
 
@@ -71,23 +69,21 @@ def worst_rate(rates: DataFrame):
     return 0 if found is None else found
 
 
-def coefficient_lookup(rows: DataFrame, entries: DataFrame, default: dict[str, float], entry_rows: int | None = None) -> DataFrame:
+def coefficient_lookup(rows: DataFrame, entries: DataFrame, default: dict[str, float]) -> DataFrame:
     """Coefficients in three tiers: for this runtime, for any runtime, the pooled default.
 
     `rows`: runtime, split, arch, variant. Row and tensor splits share an entry.
     `entries`: runtime (null = any), split, arch, variant, coefficients (struct).
     """
-    from meterloom.operators.telemetry import small
-
     split = F.when(F.col("split").isin("tensor", "row"), F.lit("tensor")).otherwise(F.lit("layer"))
     special = F.when(F.col("runtime") == "ik", F.lit("ik"))
     wide = rows.withColumn("__split", split).withColumn("__runtime", special)
     e = entries.select(*[F.col(c).alias(f"__e_{c}") for c in ("runtime", "split", "arch", "variant", "coefficients")])
     match = (F.col("arch") == F.col("__e_arch")) & (F.col("__split") == F.col("__e_split")) & F.col("variant").eqNullSafe(F.col("__e_variant"))
-    own = small(e.filter(F.col("__e_runtime").isNotNull()), entry_rows)
+    own = e.filter(F.col("__e_runtime").isNotNull())
     first = wide.join(own, match & (F.col("__runtime") == F.col("__e_runtime")), "left").withColumn("__own", F.col("__e_coefficients"))
     first = first.drop("__e_runtime", "__e_split", "__e_arch", "__e_variant", "__e_coefficients")
-    shared = small(e.filter(F.col("__e_runtime").isNull()), entry_rows)
+    shared = e.filter(F.col("__e_runtime").isNull())
     second = first.join(shared, match, "left")
     fallback = F.struct(*[F.lit(float(v)).alias(k) for k, v in default.items()])
     found = F.coalesce("__own", "__e_coefficients", fallback)
@@ -95,10 +91,4 @@ def coefficient_lookup(rows: DataFrame, entries: DataFrame, default: dict[str, f
     return second.select(*rows.columns, found.alias("coefficients"), tier.alias("tier"))
 
 
-def equal_weight_pairs(pairs: DataFrame, a: str, b: str, tolerance: float) -> DataFrame:
-    from meterloom.functions.records import same_weights
-
-    return pairs.filter(same_weights(F.col(a), F.col(b), tolerance))
-
-
-__all__ = ["pair_twins", "pair_medians", "same_sitting", "rate_lookup", "worst_rate", "coefficient_lookup", "equal_weight_pairs"]
+__all__ = ["pair_twins", "pair_medians", "same_sitting", "rate_lookup", "worst_rate", "coefficient_lookup"]

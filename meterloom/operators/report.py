@@ -12,13 +12,13 @@ from meterloom.operators import hygiene as H
 TOLERANCE_PCT = 5.0
 
 
-def validation_report(records: DataFrame, predictions: DataFrame, known: Column) -> DataFrame:
+def validation_report(records: DataFrame, predictions: DataFrame, skip: H.Reasons) -> DataFrame:
     """Each comparable configuration once, beside its prediction.
 
-    `predictions`: cell, predicted_mib, cards_placed. A prediction placed on a
+    `skip` lists why a record is left out. `predictions`: cell, predicted_mib, cards_placed. A prediction placed on a
     different number of cards than measured is not comparable.
     """
-    comparable = records.filter(R.skip_reason(known).isNull())
+    comparable = records.filter(H.first_reason(skip).isNull())
     rows = comparable.select(
         *[R.factor(c).alias(c) for c in R.CONFIGURATION], "cell", "pos", R.factor("label").alias("label"), R.parsed("arch").alias("arch"),
         R.gpu_used().alias("measured_mib"), R.cards_measured().alias("cards_measured"),

@@ -370,21 +370,19 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "step
     return scan.running(df, keys, order, {name: scan.count()}, width).withColumn(name, F.col(name) - 1)
 
 
-def pledge_changes_enough(held: int | None, wanted: int, min_mib: int) -> bool:
-    """First pledge, a crossing of the minimum, or a move of 5 % and at least 256 MiB."""
+def pledge_moves(held: int | None, wanted: int, low: int) -> bool:
+    """Whether a pledge is worth announcing: the first one, one on the other side of
+    the minimum, or one that is far enough away for the size of the pledge held."""
     if held is None:
         return True
-    if held == wanted:
-        return False
-    if (held > min_mib) != (wanted > min_mib):
-        return True
-    return abs(held - wanted) >= max(held * PLEDGE_PERMILLE // 1000, PLEDGE_FLOOR_MIB)
+    far = max(PLEDGE_FLOOR_MIB, held * PLEDGE_PERMILLE // 1000)
+    return min(held, wanted) <= low < max(held, wanted) or abs(wanted - held) >= far
 
 
 def pledge_step(state, row):
     held = None if state[0] is None else int(state[0])
     wanted = int(row["pledge_mib"])
-    emit = pledge_changes_enough(held, wanted, int(row["min_mib"]))
+    emit = pledge_moves(held, wanted, int(row["min_mib"]))
     held = wanted if emit else held
     return (held,), {"emitted": emit, "held_mib": held}
 

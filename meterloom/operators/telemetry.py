@@ -20,18 +20,9 @@ LOG_PAGE_MAX = 1000
 GAUGE_WINDOW_MS = 300_000
 SPARSE_GAP_S = 900.0
 
-# A dimension is broadcast only where it is known to hold at most this many
-# rows; above it the optimiser picks the join from table statistics.
-BROADCAST_ROWS = 1_000_000
-
 RATES = ["output", "input", "effective"]
 
 
-def small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Mark a side for broadcast when its stated row bound allows it."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
-
-
 # --- filters ---------------------------------------------------------------
 
 
@@ -71,10 +62,10 @@ def filter_events(feed: DataFrame, service: str | None = None, types: list[str]
 # --- joins -----------------------------------------------------------------
 
 
-def with_service(metrics: DataFrame, services: DataFrame, service_rows: int | None = None) -> DataFrame:
+def with_service(metrics: DataFrame, services: DataFrame) -> DataFrame:
     """Left join the service name; metrics of a vanished service keep a null name."""
     names = services.select("service_id", F.col("name").alias("service"))
-    return metrics.join(small(names, service_rows), "service_id", "left")
+    return metrics.join(names, "service_id", "left")
 
 
 def restarts_with_service(restarts: DataFrame, services: DataFrame, since=None, until=None, service_id=None) -> DataFrame:
@@ -513,11 +504,6 @@ def zero_fill_gaps(
     return limited.select(key, F.explode(every).alias("p")).select(key, F.col("p.t").alias(at), F.col("p.v").alias(value))
 
 
-def flat_zero(spark, x_min: int, x_max: int) -> DataFrame:
-    """What an empty series draws: zero from edge to edge."""
-    return spark.createDataFrame([(x_min, 0.0), (x_max, 0.0)], "ts bigint, value double")
-
-
 def evidence_per_group(df: DataFrame, keys: list[str], order: str, text: Column) -> DataFrame:
     """Group count and its details as one line in a fixed order."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), evidence(F.col(order), text).alias("evidence"))

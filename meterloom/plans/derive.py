@@ -376,7 +376,7 @@ def draft_host_slope(host: DataFrame) -> DataFrame:
 
 def slot_series(pairs: DataFrame) -> DataFrame:
     """Driver delta over slot counts at a fixed context, reported only."""
-    name = F.substring(R.file_name(F.col("model")), 1, 24)
+    name = R.file_name(F.col("model"))
     order = F.struct(F.when(F.col("shape") == "separate", 1).otherwise(0).alias("s"), "delta")
     points = pairs.groupBy(name.alias("name"), "ctx", "parallel").agg(F.max_by("delta", order).alias("delta"))
     text = F.format_string("np%d %d MiB", F.col("parallel"), F.col("delta"))

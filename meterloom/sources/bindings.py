@@ -18,16 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use the cores at hand when a table arrives in fewer pieces than there are.
-
-    A table of many files is left alone: it is already spread, and a shuffle
-    would only cost.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
-
-
 SERVICES = [
     "cast(n_nationkey as bigint) as service_id",
     "n_name as name",

@@ -34,9 +34,13 @@ def _dated(df: DataFrame, stamp: str) -> DataFrame:
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Append request metrics, partitioned by day so windows prune and retention drops folders."""
+    """Append request metrics, partitioned by day so windows prune and retention drops folders.
+
+    A rebalance before the write splits large days and joins small ones, so the
+    number of writers follows a day's size.
+    """
     rows = _dated(metrics.select(*REQUEST_METRICS.fieldNames()), "timestamp_ms")
-    rows.repartition("dt", F.pmod(F.hash("metric_id"), F.lit(16))).write.mode("append").partitionBy("dt").parquet(path)
+    rows.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
