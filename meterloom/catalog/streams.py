@@ -14,6 +14,9 @@ from meterloom.streaming import telemetry as ST
 from meterloom.streaming.keyed import run_to_table
 
 
+UPTIME, DEADLINE, MARGIN = 432_000_000, 7_200_000, 1 << 28
+
+
 def _stream(s, d, name: str) -> DataFrame:
     schema = B.table(s, d, name).schema
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
@@ -32,18 +35,18 @@ def _rollup(s, d):
 
 
 def _alerts(s, d):
-    alerts = ST.error_rate_alerts(_metrics(s, d), min_status=400, min_requests=6, max_rate=0.5, window="4 hours", poll="1 hour", delay="1 day")
-    table = run_to_table(alerts, "alerts", "update")
-    return table.groupBy("service_id", "run_id", "poll_ms").agg(F.max_by("total", "batch_id").alias("total"), F.max_by("errors", "batch_id").alias("errors"))
+    counts = ST.error_rate_counts(_metrics(s, d), min_status=400, window_ms=14_400_000, poll_ms=3_600_000, delay="1 day")
+    runs = B.request_metrics(s, d).groupBy("service_id", "run_id").agg(F.min("timestamp_ms").alias("spawned_at"))
+    return ST.finish_alerts(run_to_table(counts, "alerts", "update"), runs, min_requests=6, max_rate=0.5, min_uptime_ms=UPTIME)
 
 
 def _first_output(s, d):
     t = F.col("turn")
     events = _stream(s, d, "conversations").select(
         (F.col("conv_id") % 7).alias("service"), F.when(t == 0, "open").when(F.col("conv_id") % 3 == 0, "tick").otherwise("frame").alias("kind"),
-        F.col("conv_id").alias("request"), F.col("conv_id").alias("run_id"), (F.col("conv_id") * 20_000 + t * 70_000).alias("at_ms"),
+        F.col("conv_id").alias("request"), F.col("conv_id").alias("run_id"), (F.col("conv_id") * 20_000 + t * 70_000 + 1_000_000).alias("at_ms"),
     )
-    return run_to_table(ST.first_output_stalls(events), "first-output")
+    return run_to_table(ST.first_output_stalls(events, delay="601 seconds"), "first-output")
 
 
 def _decisions(s, d):
@@ -51,15 +54,15 @@ def _decisions(s, d):
         "user_id % 30 as service", "case event_type when 'signup' then 'spawn' when 'error' then 'firing' else 'request' end as kind", "'error_rate' as trigger",
         "cast(floor(value / 20) as bigint) as inflight", f"cast({Q.MS_SPARK} as bigint) div 12 as at_ms",
     )
-    return run_to_table(ST.restart_decisions(events, 7_200_000), "decisions")
+    return run_to_table(ST.restart_decisions(events, DEADLINE), "decisions")
 
 
 def _memory(s, d):
     rows = _rows(s, d, Q._memory).select(
-        "service", "at_ms", "slot", F.col("vram_bytes").alias("observed"), F.col("slot").isNotNull().alias("enforceable"),
+        "service", "at_ms", "sample_id", "slot", F.col("vram_bytes").alias("observed"), F.col("slot").isNotNull().alias("enforceable"),
         F.lit(Q.MIN_MIB).cast("long").alias("min_mib"), F.lit(Q.MAX_MIB).cast("long").alias("max_mib"),
     )
-    return run_to_table(ST.memory_stream(rows), "memory")
+    return run_to_table(ST.memory_stream(rows, MARGIN), "memory")
 
 
 def _correction(s, d):
@@ -108,9 +111,42 @@ ORACLE = {
     "t1_stream_rollup": TQ.ORACLE["a1_request_rollup"],
     "t2_error_rate_alerts": B.with_ctes(
         ["rm"],
-        """, w as (select *, unnest(generate_series(timestamp_ms // 3600000 * 3600000 + 3600000, timestamp_ms // 3600000 * 3600000 + 14400000, 3600000)) as poll_ms from rm)
-        select service_id, run_id, poll_ms, count(*) as total, sum(case when status_code >= 400 then 1 else 0 end) as errors from w group by 1, 2, 3 having count(*) >= 6 and sum(case when status_code >= 400 then 1 else 0 end) / count(*) >= 0.5""",
+        f""", r as (select service_id, run_id, min(timestamp_ms) as spawned_at from rm group by 1, 2),
+        w as (select *, unnest(generate_series(timestamp_ms // 3600000 * 3600000 + 3600000, timestamp_ms // 3600000 * 3600000 + 14400000, 3600000)) as poll_ms from rm),
+        c as (select service_id, run_id, poll_ms, count(*) as total, sum(case when status_code >= 400 then 1 else 0 end) as errors from w group by 1, 2, 3)
+        select c.* from c join r using (service_id, run_id) where total >= 6 and errors / total >= 0.5 and poll_ms - spawned_at >= {UPTIME}""",
+    ),
+    "t3_draft_collapse": B.with_ctes(
+        ["rm"],
+        """, done as (select *, timestamp_ms + coalesce(duration_ms, 0) as done_at from rm),
+        t as (select service_id, run_id, done_at // 21600000 * 21600000 + 21600000 as at_ms, sum(draft_tokens) as drafted, sum(coalesce(draft_tokens_accepted, 0)) as accepted from done where draft_tokens > 0 group by 1, 2, 3),
+        w as (select *, sum(drafted) over k as window_drafted, sum(accepted) over k as window_accepted, max(accepted) over (partition by service_id, run_id order by at_ms) > 0 as ever
+            from t window k as (partition by service_id, run_id order by at_ms range between 86399999 preceding and current row))
+        select service_id, run_id, at_ms, window_drafted, window_accepted, window_drafted >= 200 and window_accepted = 0 and ever as collapsed from w
+        where at_ms <= (select max(done_at) from done where draft_tokens > 0) - 3600000""",
     ),
+    "t4_first_output_stalls": """
+        with e as (select conv_id % 7 as service, case when turn = 0 then 'open' when conv_id % 3 = 0 then 'tick' else 'frame' end as kind, conv_id, conv_id * 20000 + turn * 70000 + 1000000 as at_ms from conversations),
+        o as (select *, at_ms + 60000 as due from e where kind = 'open'),
+        k as (select service, min(at_ms) as first, max(at_ms) as last from e group by 1),
+        f as (select o.service, o.conv_id, o.due, max(e.at_ms) as seen, max(case when e.conv_id = o.conv_id then 1 else 0 end) as answered
+            from o left join e on e.service = o.service and e.kind = 'frame' and e.at_ms < o.due group by 1, 2, 3)
+        select service, conv_id::varchar as request, conv_id as run_id, due as at_ms from f join k using (service)
+        where answered = 0 and due - coalesce(seen, first) >= 60000 and (due <= last or due <= (select max(at_ms) - 601000 from e))
+    """,
+    # Firings go through the same greedy budget as the batch query; a spawn's age limit ends with the next spawn or firing.
+    "t6_restart_decisions": f"""
+        with recursive e as (select user_id % 30 as service, case event_type when 'signup' then 'spawn' when 'error' then 'firing' else 'request' end as kind, {Q.MS_ANSI} // 12 as t, cast(floor(value / 20) as bigint) as inflight from events),
+        p as (select service, t, row_number() over (partition by service order by t) - 1 as step_no from e where kind = 'firing'),
+        r as (select service, (-1)::bigint as step_no, []::bigint[] as hist, 0::bigint as at_ms, '' as outcome from (select distinct service from p)
+          union all select service, step_no, case when len(kept) >= 3 then kept else list_append(kept, t) end, t, case when len(kept) >= 3 then 'disabled' else 'restarted' end from (
+            select p.service, p.step_no, p.t, [h for h in r.hist if p.t - h < 1800000] as kept from r join p on p.service = r.service and p.step_no = r.step_no + 1)),
+        k as (select service, max(t) as last from e group by 1),
+        s as (select service, t + {DEADLINE} as due, lead(t) over (partition by service order by t, kind) as ended, kind from e where kind <> 'request')
+        select service, at_ms, 'error_rate' as trigger, outcome from r where step_no >= 0
+        union all select service, due, 'periodic', 'restarted' from s join k using (service)
+        where kind = 'spawn' and (ended is null or ended >= due) and (due <= last or due <= (select max(t) - 600000 from e))
+    """,
     "t5_counter_stalls": Q.ORACLE["w19_counter_stalls"],
     "t8_rolling_correction": Q.ORACLE["w6_rolling_correction"],
     "t9_log_sequences": "with logs as (" + B.ansi_ctes()["logs"] + ") select service_id, run_id, timestamp_ms, row_number() over (partition by service_id, run_id order by timestamp_ms, stream, line) - 1 as seq, md5(line) as line_md5 from logs",

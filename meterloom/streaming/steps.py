@@ -81,6 +81,15 @@ def first_output_step(state, row, timeout_ms=60_000):
     return {"last": s["last"], "open": opened}, fired or None
 
 
+def first_output_due(state, timeout_ms=60_000):
+    """When the oldest open request runs out of time."""
+    return min((since + timeout_ms for since, _ in state["open"].values()), default=None)
+
+
+def budget_due(state):
+    return state["deadline"]
+
+
 def budget_step(state, row, max_age_ms=86_400_000, mode="immediate"):
     """Restart decisions: the flap budget for firings, and a periodic age limit outside it."""
     s = dict(state or {"recent": [], "deadline": None, "armed": False})
@@ -92,25 +101,15 @@ def budget_step(state, row, max_age_ms=86_400_000, mode="immediate"):
     if row["kind"] == "spawn":
         s["deadline"] = at + max_age_ms
     elif row["kind"] == "firing":
+        # The run is drained whatever the outcome, and its age limit goes with it.
         (recent,), found = S.flap_step((s["recent"],), row)
-        s["recent"] = [int(t) for t in recent]
+        s["recent"], s["deadline"] = [int(t) for t in recent], None
         out.append({"at_ms": at, "trigger": row["trigger"], "outcome": found["outcome"]})
     return s, out or None
 
 
-def grows(window: list[int], floor: int) -> bool:
-    n = len(window)
-    if n < S.WINDOW // 2 + 1:
-        return False
-    sx, sy = sum(range(n)), sum(window)
-    top = n * sum(i * v for i, v in enumerate(window)) - sx * sy
-    slope = int(abs(top) // (n * sum(i * i for i in range(n)) - sx * sx)) * (1 if top > 0 else -1)
-    steps = sum(b >= a for a, b in zip(window, window[1:]))
-    return slope > 0 and steps * 2 > n - 1 and window[-1] + slope > floor
-
-
 def memory_step(state, row):
-    """Growth, pledge and ceiling of one service; a kill clears the window."""
+    """Window, pledge and ceiling of one service; a kill clears the window, growth is judged on what is left."""
     s = dict(state or {"slot": None, "window": [], "held": None, "since": None})
     slot, seen, at = row["slot"], int(row["observed"]), row["at_ms"]
     if slot != s["slot"]:
@@ -118,15 +117,14 @@ def memory_step(state, row):
     window = [*s["window"], seen][-S.WINDOW:]
     low, high = int(row["min_mib"]), int(row["max_mib"])
     pledge = min(max(max(window) // MIB, low), high)
-    emitted = S.pledge_changes_enough(s["held"], pledge, low)
+    emitted = S.pledge_moves(s["held"], pledge, low)
     held = pledge if emitted else s["held"]
     ceiling = high * MIB * S.CEILING_PERMILLE // 1000
     (since, _), found = S.ceiling_step((s["since"], slot), {**row, "ceiling": ceiling})
-    growing = found["action"] != "kill" and grows(window, low * MIB)
     if found["action"] == "kill":
         window = []
     return {"slot": slot, "window": window, "held": held, "since": since}, {
-        "at_ms": at, "pledge_mib": pledge, "held_mib": held, "emitted": emitted, "action": found["action"], "growing": growing,
+        "at_ms": at, "sample_id": row["sample_id"], "low_mib": low, "pledge_mib": pledge, "held_mib": held, "emitted": emitted, "action": found["action"], "window": window,
     }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions import columns as C
+from meterloom.operators import sequences as S
 from meterloom.operators import telemetry as T
 from meterloom.streaming import steps
 from meterloom.streaming.keyed import fold_stream
@@ -37,24 +38,33 @@ def finish_rollup(batches: DataFrame, services: DataFrame) -> DataFrame:
     return T.with_service(sums, services).select("bucket_start", "service_id", "service", *T._rollup_columns())
 
 
-def error_rate_alerts(
-    metrics: DataFrame, runs: DataFrame | None = None, min_status: int = 500, min_requests: int = 20, max_rate: float = 0.5,
-    window: str = "120 seconds", poll: str = "30 seconds", min_uptime_ms: int = 300_000, delay: str = "10 minutes",
-) -> DataFrame:
-    """Windows of one run whose error share trips, once the run is old enough.
+def error_rate_counts(metrics: DataFrame, min_status: int = 500, window_ms: int = WINDOW_S * 1000, poll_ms: int = 30_000, delay: str = "10 minutes") -> DataFrame:
+    """Requests and errors of a run in the window that ends at each poll, in update mode.
 
-    `runs` (static): service_id, run_id, spawned_at. Update mode.
+    Windows go by the request's start, which is data here: rows appear when a
+    request completes, so lateness and the age of state go by completion.
     """
-    timed = metrics.withColumn("__at", F.timestamp_millis("timestamp_ms")).withWatermark("__at", delay)
-    counts = timed.groupBy(F.window("__at", window, poll).alias("w"), "service_id", "run_id").agg(
+    done = metrics.withColumn("__done", F.timestamp_millis(C.completion_time())).withWatermark("__done", delay)
+    first = C.time_bucket("timestamp_ms", poll_ms) + poll_ms
+    polls = done.withColumn("poll_ms", F.explode(F.sequence(first, first + (window_ms - poll_ms), F.lit(poll_ms).cast("long"))))
+    return polls.groupBy(F.window("__done", "1 hour").alias("completed"), "service_id", "run_id", "poll_ms").agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.when(F.col("status_code") >= min_status, 1).otherwise(0)).alias("errors")
     )
+
+
+def finish_alerts(batches: DataFrame, runs: DataFrame | None = None, min_requests: int = 20, max_rate: float = 0.5, min_uptime_ms: int = 300_000) -> DataFrame:
+    """Windows whose error share trips, once the run is old enough.
+
+    `runs`: service_id, run_id, spawned_at; without it every run is old enough.
+    """
+    keys = ["service_id", "run_id", "poll_ms"]
+    newest = batches.groupBy("completed", *keys).agg(F.max_by(F.struct("total", "errors"), "batch_id").alias("s"))
+    counts = newest.groupBy(*keys).agg(F.sum("s.total").alias("total"), F.sum("s.errors").alias("errors"))
     hit = counts.filter((F.col("total") >= min_requests) & (F.col("errors") / F.col("total") >= max_rate))
-    out = hit.select("service_id", "run_id", F.unix_millis("w.end").alias("poll_ms"), "total", "errors")
     if runs is None:
-        return out
-    aged = out.join(runs.select("service_id", "run_id", "spawned_at"), ["service_id", "run_id"])
-    return aged.filter(F.col("poll_ms") - F.col("spawned_at") >= min_uptime_ms).drop("spawned_at")
+        return hit
+    aged = hit.join(runs.select("service_id", "run_id", "spawned_at"), ["service_id", "run_id"])
+    return aged.filter(F.col("poll_ms") - F.col("spawned_at") >= min_uptime_ms).select(*keys, "total", "errors")
 
 
 def draft_ticks(metrics: DataFrame, delay: str = "10 seconds", tick: str = TICK) -> DataFrame:
@@ -72,26 +82,33 @@ def draft_collapse_alerts(metrics: DataFrame, window_ms: int = WINDOW_S * 1000,
     return fold_stream(draft_ticks(metrics, delay, tick), ["service_id", "run_id"], ["at_ms"], step, out)
 
 
-def first_output_stalls(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """`events`: service, kind (`open`, `frame`, `tick`), request, run_id, at_ms."""
-    return fold_stream(events, ["service"], ["at_ms", "request"], partial(steps.first_output_step, timeout_ms=timeout_ms), "request string, run_id bigint, at_ms bigint")
+def first_output_stalls(events: DataFrame, timeout_ms: int = 60_000, delay: str = "10 minutes") -> DataFrame:
+    """`events`: service, kind (`open`, `frame`, `tick`), request, run_id, at_ms. A service that has gone silent fires too."""
+    step, due = partial(steps.first_output_step, timeout_ms=timeout_ms), partial(steps.first_output_due, timeout_ms=timeout_ms)
+    return fold_stream(events, ["service"], ["at_ms", "request", "kind"], step, "request string, run_id bigint, at_ms bigint", due, delay)
 
 
 def counter_stall_stream(polls: DataFrame, timeout_ms: int) -> DataFrame:
     out = "at_ms bigint, poll_id bigint, flat_ms bigint, stalled boolean"
-    return fold_stream(polls, ["service"], ["at_ms"], partial(steps.stall_step, timeout_ms=timeout_ms), out)
+    return fold_stream(polls, ["service"], ["at_ms", "poll_id"], partial(steps.stall_step, timeout_ms=timeout_ms), out)
 
 
-def restart_decisions(events: DataFrame, max_age_ms: int = 86_400_000, mode: str = "immediate") -> DataFrame:
+def restart_decisions(events: DataFrame, max_age_ms: int = 86_400_000, mode: str = "immediate", delay: str = "10 minutes") -> DataFrame:
     """`events`: service, kind (`spawn`, `firing`, `request`), trigger, inflight, at_ms. Decisions only."""
     step = partial(steps.budget_step, max_age_ms=max_age_ms, mode=mode)
-    return fold_stream(events, ["service"], ["at_ms"], step, "at_ms bigint, trigger string, outcome string")
+    due = steps.budget_due if mode == "immediate" else None
+    return fold_stream(events, ["service"], ["at_ms", "kind", "trigger", "inflight"], step, "at_ms bigint, trigger string, outcome string", due, delay)
+
 
+def memory_stream(samples: DataFrame, margin_bytes: int = 0) -> DataFrame:
+    """`samples`: service, at_ms, sample_id, slot, observed, enforceable, min_mib, max_mib.
 
-def memory_stream(samples: DataFrame) -> DataFrame:
-    """`samples`: service, at_ms, slot, observed, enforceable, min_mib, max_mib."""
-    out = "at_ms bigint, pledge_mib bigint, held_mib bigint, emitted boolean, action string, growing boolean"
-    return fold_stream(samples, ["service"], ["at_ms"], steps.memory_step, out)
+    A service grows when its window does and heads past the minimum and the margin.
+    """
+    out = "at_ms bigint, sample_id bigint, low_mib bigint, pledge_mib bigint, held_mib bigint, emitted boolean, action string, window array<bigint>"
+    rows = fold_stream(samples, ["service"], ["at_ms", "sample_id"], steps.memory_step, out)
+    growing = (F.col("action") != "kill") & S.growth(F.col("window"), F.col("low_mib") * S.MIB + margin_bytes)
+    return rows.select("service", "at_ms", "sample_id", "pledge_mib", "held_mib", "emitted", "action", growing.alias("growing"))
 
 
 def correction_stream(events: DataFrame) -> DataFrame:

@@ -78,13 +78,37 @@ def test_periodic_restarts_stay_outside_the_budget():
     at = lambda t, kind, **kw: {"at_ms": t, "kind": kind, "trigger": "error_rate", "inflight": 1, **kw}
     rows = [at(0, "spawn"), *[at(60_000 * i, "firing") for i in range(1, 5)], at(200_000_000, "request")]
     got = [(d["trigger"], d["outcome"]) for d in run(steps.budget_step, rows)]
-    assert got == [("error_rate", "restarted")] * 3 + [("error_rate", "disabled"), ("periodic", "restarted")]
+    assert got == [("error_rate", "restarted")] * 3 + [("error_rate", "disabled")]  # a firing ends the run, and its age limit with it
+    calm = [at(0, "spawn"), at(50_000_000, "request"), at(90_000_000, "request")]
+    assert [(d["at_ms"], d["trigger"]) for d in run(steps.budget_step, calm)] == [(86_400_000, "periodic")]
     idle = run(steps.budget_step, [at(0, "spawn"), at(90_000_000, "request"), at(90_000_001, "request", inflight=0)], mode="on_idle")
     assert [d["at_ms"] for d in idle] == [90_000_001]
 
 
 def test_memory_step_clears_after_a_kill():
-    row = lambda at, mib: {"at_ms": at, "slot": "gpu:0", "observed": mib * steps.MIB, "enforceable": True, "min_mib": 100, "max_mib": 1000}
+    row = lambda at, mib: {"at_ms": at, "sample_id": at, "slot": "gpu:0", "observed": mib * steps.MIB, "enforceable": True, "min_mib": 100, "max_mib": 1000}
     got = run(steps.memory_step, [row(i * 10_000, 2000) for i in range(6)])
     assert [g["action"] for g in got] == ["arm", "wait", "wait", "wait", "kill", "arm"]
     assert [g["emitted"] for g in got] == [True] + [False] * 5 and got[0]["pledge_mib"] == 1000
+
+
+def test_silence_fires_once_the_stream_has_moved_on(spark, tmp_path):
+    rows = [("a", "open", 1, 7, 1_000), ("b", "frame", 2, 8, 50_000), ("b", "open", 3, 8, 61_000), ("b", "frame", 3, 8, 62_000), ("b", "tick", 3, 8, 900_000)]
+    df = spark.createDataFrame(rows, "service string, kind string, request bigint, run_id bigint, at_ms bigint")
+    got = run_to_table(ST.first_output_stalls(feed(spark, tmp_path, df, ["at_ms"], parts=5), delay="1 minute"), "silence").collect()
+    assert [(r["service"], r["request"], r["at_ms"]) for r in got] == [("a", "1", 61_000)]
+
+
+def test_streams_bring_their_own_state_store(spark, tmp_path):
+    from meterloom.streaming.keyed import PROVIDER
+
+    plain = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    held = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, plain)
+    try:
+        df = spark.createDataFrame([("a", "spawn", "x", 1, 1_000), ("b", "request", "x", 1, 90_000_000)], "service string, kind string, trigger string, inflight bigint, at_ms bigint")
+        got = run_to_table(ST.restart_decisions(feed(spark, tmp_path, df, ["at_ms"], parts=2)), "own-store").collect()
+        assert [(r["service"], r["at_ms"], r["trigger"]) for r in got] == [("a", 86_401_000, "periodic")]
+        assert spark.conf.get(PROVIDER) == plain
+    finally:
+        spark.conf.set(PROVIDER, held)
