@@ -193,7 +193,7 @@ ORACLE = {
         select key, greatest(max({_he('rem / greatest(n_cards, 1)')}), 0) as value, count(*) as n, 'ok' as status from t where rem > 0 group by 1"""
     ),
     "d11_baseline_offset": _sql(
-        f""", u as (select key, greatest({_he('hi')}, 0) as rate from {_agree('pts', 'key', 0.10, 4096.0)}),
+        f""", u as (select key, greatest({_he('hi')}, 0) as rate from {_agree('pts', 'key', 0.10, 4096.0)} where status = 'ok'),
         b as (select r.*, coalesce(u.rate, (select max(rate) from u)) as rate, case when cards1 > 1 and not ik then 4e0 else 1e0 end as c from r left join u on u.key = r.variant where {BASE_ROWS} and split_l = 'layer'),
         v as (select variant || case when ik then '@ik' else '' end || case when flash_attn <> 'on' then '@nofa' else '' end as key,
           (anon_kb + shmem_kb) * 1024 - (c * masks + hid) * {MIB} - case when flash_attn <> 'on' then rate * tokens * c else 0 end - 8 * {MIB} - 90 * {MIB} * (cards1 - 1) - (300 * {MIB} + n_layer * {MIB} + case when n_expert <> 0 then 20 * {MIB} else 0 end) as v from b)

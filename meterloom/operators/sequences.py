@@ -44,6 +44,8 @@ FLAP_MAX = 3
 STALL_TIMEOUT_MS = 300_000
 
 FAN = 256
+#: Levels of blocks of blocks: the last gathers rows / FAN ** LEVELS entries, 233 for 10^12 rows of one key.
+LEVELS = 4
 WIDE = 1e12
 
 
@@ -88,7 +90,7 @@ def _identity() -> Column:
     return _step(F.lit(1.0), F.lit(0.0), F.lit(-WIDE), F.lit(WIDE))
 
 
-def clamped_fold(df: DataFrame, keys: list[str], at: str, step: Column, start: Column, name: str, levels: int = 2, fan: int = FAN) -> DataFrame:
+def clamped_fold(df: DataFrame, keys: list[str], at: str, step: Column, start: Column, name: str, levels: int = LEVELS, fan: int = FAN) -> DataFrame:
     """State after each row when every row applies `x -> clamp(a*x + b, lo, hi)`.
 
     `at` numbers a key's rows from zero without holes; `start` is the state
@@ -130,7 +132,7 @@ def _gathered(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: int = 2, fan: int = FAN) -> DataFrame:
+def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: int = LEVELS, fan: int = FAN) -> DataFrame:
     """Learned correction per (service, pool) after each event.
 
     `events`: service, pool, seq (whole number, unique per service and pool),
@@ -308,9 +310,6 @@ def chunked_fold(
     out_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(at, T.LongType()), *_fields(out_type)])
     rows = df.withColumn("__block", F.expr(f"`{at}` div {int(fan)}"))
     part = [*keys, "__block"]
-    blocks = df.agg(F.max(at)).first()[0]
-    if blocks is None or blocks < fan:
-        return _run_blocks(rows, part, keys, at, step, initial, out_schema, None)
 
     spark = df.sparkSession
     state_fields = _fields(state_type)
@@ -347,7 +346,7 @@ def _run_blocks(rows, part, keys, at, step, initial, schema, mode):
         pdf = pdf.sort_values(at)
         records = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
         head = records[0]
-        state = tuple(initial) if mode is None else _as_tuple(head["__entry"])
+        state = _as_tuple(head["__entry"])
         out = []
         for record in records:
             state, result = step(state, record)

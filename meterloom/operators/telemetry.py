@@ -9,6 +9,7 @@ from meterloom.functions import columns as C
 from meterloom.functions import scan
 from meterloom.functions.reduce import evidence, medians
 
+# Retention, page sizes and windows.
 DAY_MS = 86_400_000
 LOG_RETENTION_MS = 7 * DAY_MS
 METRIC_RETENTION_MS = 7 * DAY_MS

@@ -20,6 +20,7 @@ from meterloom.operators.pairs import pair_medians, pair_twins, rate_lookup, wor
 from meterloom.session import settle
 
 MIB = R.MIB
+# Tolerances, floors and exceptions that the results depend on.
 E_VARIANT_FLOOR = 500.0
 MOE_PRESENT = 1024.0
 SITTING_MS = 3_600_000
@@ -43,6 +44,11 @@ def _agree(df: DataFrame, keys: list[str], tolerance: float = 0.15, floor: float
     return consensus(points, keys, "v", tolerance, floor)
 
 
+def _agreed(table: DataFrame) -> DataFrame:
+    """Key and value of a rate table; what a derivation refused is left out."""
+    return (table.filter("status = 'ok'") if "status" in table.columns else table).select("key", "value")
+
+
 def _maxima(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top")).withColumn("status", F.lit("ok"))
 
@@ -215,9 +221,23 @@ def _baseline_rows(records: DataFrame) -> DataFrame:
     )
 
 
+#: What the host baseline is measured against; without one of them there is no offset.
+BASELINE_TERMS = ["base", "base_per_layer", "base_moe", "pinned_extra", "base_per_device"]
+
+
 def baseline_offset(records: DataFrame, rates: R.Rates, unfused: DataFrame) -> DataFrame:
-    """Owned host bytes beyond everything modelled, by variant and environment: the largest."""
-    listed = unfused.select("key", "value")
+    """Owned host bytes beyond everything modelled, by variant and environment: the largest.
+
+    Refused, one row with the reason as its status, when a modelled term is not
+    known yet or no unfused rate was agreed on. Rates that were refused
+    themselves are not used.
+    """
+    listed = _agreed(unfused)
+    missing = [name for name in BASELINE_TERMS if name not in rates.values]
+    reason = f"no {', '.join(missing)}" if missing else "no unfused rate" if listed.isEmpty() else None
+    if reason:
+        refused = records.sparkSession.range(1).select(F.lit(0).cast("long").alias("n"), F.lit(reason).alias("status"))
+        return _out(refused, F.lit(None).cast("string"), F.lit(None))
     worst = worst_rate(listed)
     rows = _baseline_rows(records).filter((R.split_or_layer() == "layer") & (R.parsed("n_layer") != 0))
     rows = rate_lookup(rows, R.variant(), listed, float(worst), "__no_fa")
@@ -411,7 +431,7 @@ def recurrent_errors(records: DataFrame) -> DataFrame:
 def arena_check(records: DataFrame, rates: R.Rates, unfused: DataFrame, quantised: DataFrame, tolerance: float = ARENA_TOLERANCE) -> DataFrame:
     """Worst cell of the arena model per architecture, and whether it is within tolerance."""
     rows = records.filter(R.arena().isNotNull() & ~R.has_spec() & (R.split_or_layer() != "tensor") & ~R.is_hybrid() & R.fully_offloaded())
-    no_fa, quant = unfused.select("key", "value"), quantised.select("key", "value")
+    no_fa, quant = _agreed(unfused), _agreed(quantised)
     rows = rate_lookup(rows, R.variant(), no_fa, float(worst_rate(no_fa)), "__no_fa")
     rows = rate_lookup(rows, R.parsed("arch"), quant, float(worst_rate(quant)), "__quant")
     t = R.arena_terms(rates)
