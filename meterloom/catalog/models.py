@@ -45,6 +45,28 @@ def _gram(s, d):
     return sums.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in sums.columns if c[:2] in ("g_", "r_")], "v_mask", "v_quant")
 
 
+KNOWN = """select l_returnflag as flag, 1e0 as flat, cast(l_quantity as double) as mask, cast(l_quantity as double) * case when l_returnflag = 'R' then 0.05e0 else cast(l_discount as double) end as quant,
+  case l_returnflag when 'A' then 5e0 + 2e0 * cast(l_quantity as double) + 3e0 * cast(l_quantity as double) * cast(l_discount as double) when 'R' then 11e0 + 6e0 * cast(l_quantity as double)
+    else 900e0 + 30e0 * cast(l_quantity as double) - 8e0 * cast(l_quantity as double) * cast(l_discount as double) end as target from lineitem"""
+COLUMNS = ["flat", "mask", "quant"]
+
+
+def _known_rows(s, d):
+    """Line items with targets whose fit is known: exact, with a dependent column, with one that has to go."""
+    return s.sql(KNOWN.replace("from lineitem", "from {li}"), li=B.table(s, d, "lineitem"))
+
+
+def _known_fit(s, d):
+    fitted = M5.fit_groups(M5.normal_sums(_known_rows(s, d), ["flag"], COLUMNS), ["flag"], COLUMNS)
+    return fitted.select("flag", "n", "column", F.round("coef", 5).alias("coef"))
+
+
+def _known_residuals(s, d):
+    fitted = M5.fit_groups(M5.normal_sums(_known_rows(s, d), ["flag"], COLUMNS), ["flag"], COLUMNS)
+    found = M5.residuals(_known_rows(s, d), M5.wide_coefficients(fitted, ["flag"], COLUMNS), ["flag"], COLUMNS)
+    return found.select("flag", "n", F.round("worst", 6).alias("worst"), "outside")
+
+
 def _score(s, d):
     from meterloom.operators.pairs import coefficient_lookup
 
@@ -106,7 +128,14 @@ def _attributed(s, d):
     return K.attribute_memory(registered, proc, gpu, groups)
 
 
+KNOWN_SQL = f"""with t as ({KNOWN}),
+  l as (select count(*) as n, sum(1 / target) as w, sum(mask / target) as wq, sum(mask * mask / target) as wqq, sum(mask) as q from t where flag = 'N'),
+  k as (select 'A' as flag, 'flat' as "column", 5e0 as coef union all select 'A', 'mask', 2e0 union all select 'A', 'quant', 3e0 union all select 'R', 'flat', 11e0 union all select 'R', 'mask', 6e0
+    union all select 'N', 'flat', (wqq * n - wq * q) / (w * wqq - wq * wq) from l union all select 'N', 'mask', (w * q - wq * n) / (w * wqq - wq * wq) from l)"""
+
 QUERIES = {
+    "m3_m4_known_fit": _known_fit,
+    "m5_known_residuals": _known_residuals,
     "m1_observations": lambda s, d: _obs(s, d).groupBy(*M5.GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 6).alias(f"sum_{c}") for c in ["target", "mask", "quant", "hidden", "logits", "head_flat"]]),
     "m2_normal_sums": _gram,
     "m3_m4_fitted_coefficients": _coefs,
@@ -157,6 +186,10 @@ FOLDS = f"{_fold_sql('mask_copies', 'pa')} union all {_fold_sql('tensor_moe_rate
 ERR = "case when alone <> 0 then 100.0::double * (without - alone) / alone end"
 
 ORACLE = {
+    "m3_m4_known_fit": KNOWN_SQL + """ select k.flag, c.n, k."column", round(k.coef, 5) as coef from k join (select flag, count(*) as n from t group by 1) c on c.flag = k.flag""",
+    "m5_known_residuals": KNOWN_SQL + """, f as (select flag, sum(case when "column" = 'flat' then coef else 0 end) as a, sum(case when "column" = 'mask' then coef else 0 end) as b, sum(case when "column" = 'quant' then coef else 0 end) as c from k group by 1),
+      o as (select t.flag, abs(a + b * mask + c * quant - target) / target as off from t join f on f.flag = t.flag)
+      select flag, count(*) as n, round(max(off), 6) as worst, sum(case when off > 0.05 then 1 else 0 end) as outside from o group by 1""",
     "m1_observations": _sql(
         """, o as (select *, case when kv_unified then ctx else ctx // parallel end as nkv, case when split_l = 'layer' and n_cards > 1 and not hybrid then 4 else 1 end as cp, case when per_layer then 'e' end as variant_ from r
           where arch <> '' and flash_attn <> 'off' and coalesce(mmproj, '') = '' and not spec and card_used > 0 and n_cards > 0),
