@@ -11,11 +11,11 @@ routes give the same ids; the lexicon only decides how fast.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import os
 import tempfile
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.llm.common import PIECE_CHARS, map_text, pieces, ragged
+from meterloom.llm.common import map_text, pieces, ragged, sizes
 
 #: Bound of the lexicon: the most frequent words of the corpus.
 LEXICON = 60_000
 #: Longest word of the lexicon, in bytes; longer ones are merged.
 LONGEST = 48
 #: Distinct words a task counts before it hands them on.
-FLUSH = 400_000
+FLUSH = 150_000
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = 1, 2, 3, 4, 5
 # The white space of Unicode, and the word endings that are split off after an apostrophe.
@@ -306,7 +306,7 @@ _PARTS = ("key", "target", "skip", "final", "start", "ids", "root")
 def write_lexicon(lexicon: dict[str, np.ndarray], folder: str) -> str:
     """One file: the sizes of the arrays, then the arrays."""
     body = b"".join([np.array([len(lexicon[p]) for p in _PARTS], np.int64).tobytes(), *(lexicon[p].tobytes() for p in _PARTS)])
-    path = os.path.join(folder, f"lexicon-{hashlib.sha256(body).hexdigest()[:24]}.bin")
+    path = os.path.join(folder, f"lexicon-{uuid.uuid4().hex}.bin")  # a session takes each name once
     with open(path, "wb") as f:
         f.write(body)
     return path
@@ -354,9 +354,9 @@ def frequent_words(docs: DataFrame, text_col: str, special: list[str], words: in
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in pieces(list(map(len, texts)), 2 * PIECE_CHARS):
-                segments, _, _ = _segments(texts[a:b], special)
+            for a, b in pieces(sizes(batch.column(0))):
+                texts = [t or "" for t in batch.column(0).slice(a, b - a).to_pylist()]
+                segments, _, _ = _segments(texts, special)
                 seen.update(split_words(segments)[0])
                 if len(seen) > FLUSH:
                     yield _counted(seen)
@@ -467,7 +467,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str =
         raw = ids.astype("<u4").tobytes()
         return [pa.array([raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())]
 
-    return map_text(docs, text_col, T.StructType([T.StructField(ids_col, T.BinaryType())]), work, 2 * PIECE_CHARS)
+    return map_text(docs, text_col, T.StructType([T.StructField(ids_col, T.BinaryType())]), work)
 
 
 def decode(coded: DataFrame, codec: Codec, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters worked on at once in a task; a longer text makes a piece of its own.
-PIECE_CHARS = 2_000_000
+#: Characters (bytes) worked on at once in a task; a longer text makes a piece of its own.
+PIECE_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,11 @@ def pieces(lengths: list[int], bound: int = PIECE_CHARS) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def sizes(texts: pa.Array) -> list[int]:
+    """Bytes of each text, 0 for null, without making Python strings of them."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable[[list[str | None]], list], bound: int = PIECE_CHARS) -> DataFrame:
     """Add columns computed from whole texts, a bounded piece of rows at a time.
 
@@ -52,10 +58,10 @@ def map_text(df: DataFrame, text_col: str, outputs: T.StructType, work: Callable
     def run(batches):
         types = None
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in pieces([len(t) if t else 0 for t in texts], bound):
+            for a, b in pieces(sizes(batch.column(0)), bound):
+                texts = batch.column(0).slice(a, b - a).to_pylist()
                 types = types or [arrow_type(f.dataType) for f in outputs.fields]
-                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts[a:b]), types)]
+                made = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(work(texts), types)]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns[first:], *made], names=names)
 
