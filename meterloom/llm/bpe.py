@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.llm.common import map_text, pieces, ragged, sizes
+from meterloom.session import discard, settle
 
 #: Bound of the lexicon: the most frequent words of the corpus.
 LEXICON = 60_000
@@ -349,7 +350,11 @@ def look_up(words: list[bytes], lexicon: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def frequent_words(docs: DataFrame, text_col: str, special: list[str], words: int) -> list[bytes]:
-    """The most frequent words over all texts, ties by spelling; at most `words`."""
+    """The most frequent words over all texts, at most `words`; which of equally frequent ones is left to a hash.
+
+    Counts are written once; a histogram of their logarithms says from which
+    count on words fit, and only those come back.
+    """
 
     def count(batches):
         seen: Counter = Counter()
@@ -364,8 +369,19 @@ def frequent_words(docs: DataFrame, text_col: str, special: list[str], words: in
         yield _counted(seen)
 
     counted = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.where((F.length("word") <= LONGEST) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(words)
-    return [bytes(r["word"]) for r in top.select("word").collect()]
+    height = F.floor(F.log2("n") * 8)
+    counted = settle(counted.where((F.length("word") <= LONGEST) & (F.col("n") > 1)).withColumn("height", height), "word-counts")
+    room, cut, share = words, 0, 0.0
+    for row in sorted(counted.groupBy("height").count().collect(), reverse=True):
+        cut, share = row["height"], min(1.0, room / row["count"])
+        if share < 1:
+            break
+        room -= row["count"]
+    spread = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    top = counted.where((F.col("height") > cut) | ((F.col("height") == cut) & spread)).select("word").limit(words)
+    out = [bytes(r["word"]) for r in top.collect()]
+    discard(counted)
+    return out
 
 
 def _counted(seen: Counter) -> pa.RecordBatch:
