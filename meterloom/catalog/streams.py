@@ -148,6 +148,25 @@ ORACLE = {
         where kind = 'spawn' and (ended is null or ended >= due) and (due <= last or due <= (select max(t) - 600000 from e))
     """,
     "t5_counter_stalls": Q.ORACLE["w19_counter_stalls"],
+    # One row of every service at a time: window, pledge held and ceiling state travel along.
+    "t7_memory": f"""
+        with recursive p as (select user_id % 30 as service, {Q.MS_ANSI} as at_ms, event_id as sample_id, case when event_id % 97 < 40 then 'gpu:0' when event_id % 97 < 80 then 'gpu:1' end as slot,
+            cast(floor(60 * value) as bigint) * 1048576 as seen, row_number() over (partition by user_id % 30 order by {Q.MS_ANSI}, event_id) - 1 as step_no from events),
+        r as (select distinct service, (-1)::bigint as step_no, 0::bigint as at_ms, 0::bigint as sample_id, null::varchar as slot, []::bigint[] as win, null::bigint as held, null::bigint as since, 0::bigint as pledge, false as emitted, '' as action from p
+          union all
+          select service, step_no, at_ms, sample_id, slot, case when action = 'kill' then []::bigint[] else win end, case when emitted then pledge else held end,
+            case action when 'arm' then at_ms when 'wait' then since end, pledge, emitted, action
+          from (select *, held is null or (least(held, pledge) <= {Q.MIN_MIB} and {Q.MIN_MIB} < greatest(held, pledge)) or abs(pledge - held) >= greatest(256, held * 50 // 1000) as emitted,
+              case when slot is null or seen <= {Q.MAX_MIB} * 1048576::bigint * 1100 // 1000 then 'disarm' when since is null then 'arm' when at_ms - since > 30000 then 'kill' else 'wait' end as action
+            from (select *, least(greatest(list_max(win) // 1048576, {Q.MIN_MIB}), {Q.MAX_MIB})::bigint as pledge
+              from (select p.service, p.step_no, p.at_ms, p.sample_id, p.slot, p.seen, r.held, case when p.slot is distinct from r.slot then null else r.since end as since,
+                  list_append(case when p.slot is distinct from r.slot then []::bigint[] else r.win[-5:] end, p.seen) as win
+                from r join p on p.service = r.service and p.step_no = r.step_no + 1)))),
+        g as (select *, len(win) as n, list_sum([(i - 1) * win[i] for i in range(1, len(win) + 1)]) as sxy, list_sum(win) as sy, len([i for i in range(1, len(win)) if win[i + 1] >= win[i]]) as up from r where step_no >= 0),
+        k as (select *, (n * sxy - n * (n - 1) // 2 * sy) as top, n * ((n - 1) * n * (2 * n - 1) // 6) - (n * (n - 1) // 2) * (n * (n - 1) // 2) as under from g)
+        select service, at_ms, sample_id, pledge as pledge_mib, held as held_mib, emitted, action,
+          action <> 'kill' and n >= 4 and coalesce(top > 0 and top // nullif(under, 0) > 0 and up * 2 > n - 1 and win[-1] + top // nullif(under, 0) > {Q.MIN_MIB} * 1048576::bigint + {MARGIN}, false) as growing from k
+    """,
     "t8_rolling_correction": Q.ORACLE["w6_rolling_correction"],
     "t9_log_sequences": "with logs as (" + B.ansi_ctes()["logs"] + ") select service_id, run_id, timestamp_ms, row_number() over (partition by service_id, run_id order by timestamp_ms, stream, line) - 1 as seq, md5(line) as line_md5 from logs",
     "t10_event_feed": f"with feed as ({TQ.FEED_SQL}) select * from feed where coalesce(service = '4', true) and type in ('auto_restarted', 'config_reloaded') order by at_ms desc, type, service limit 100",
