@@ -83,7 +83,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
 
     def packed(df: DataFrame, parts: int, name: str) -> DataFrame:
         part = F.pmod(F.xxhash64(id_col, vector), F.lit(parts)).cast("int")
-        return df.groupBy(part.alias(name), F.size(vector).alias("width")).agg(F.collect_list(id_col).alias(f"{name}_ids"), F.flatten(F.collect_list(vector)).alias(f"{name}_values"))
+        rows = df.groupBy(part.alias(name), F.size(vector).alias("width")).agg(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(vector).alias("v"))).alias("rows"))
+        return rows.select(name, "width", F.col("rows.i").alias(f"{name}_ids"), F.flatten("rows.v").alias(f"{name}_values"))
 
     left = packed(queries, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     tiles = left.join(packed(candidates, shards, "shard"), ["shard", "width"])
