@@ -70,8 +70,10 @@ def eviction_set(requests: DataFrame, candidates: DataFrame) -> DataFrame:
     rows = asked.select(*kind).distinct().join(candidates.filter("mib > 0"), "slot").filter(
         evictable(F.col("priority"), F.col("idle"), F.col("lifecycle"), F.col("want_priority"), F.col("want_lifecycle"))
     )
-    ranked = rows.withColumn("rank", F.when(F.col("idle"), 0).otherwise(256) + F.col("priority"))
-    ranked = scan.running(ranked, kind, ["rank", "mib", "service"], {"freed": scan.total(F.col("mib")), "taken": scan.count()}, width=1)
+    # Rank and size make one line, so that services of one rank are spread by their size.
+    rank = F.when(F.col("idle"), 0).otherwise(256) + F.col("priority")
+    ranked = rows.withColumn("place", rank * F.lit(1 << 40) + F.col("mib"))
+    ranked = scan.running(ranked, kind, ["place", "service"], {"freed": scan.total(F.col("mib")), "taken": scan.count()}, width=256)
     ranked = settle(ranked.select(*kind, "service", "mib", "freed", "taken"), "evictable")
     # How far down the list a request reaches: requests and list positions share
     # one line by size, and each request reads the last position before it.
