@@ -93,21 +93,22 @@ def _predictions(s, d):
 
 
 # Configurations that a survey of the dataset asks about: predicate in SQL and as a column, axes.
-_SEVERAL = R.factor("parallel") > 1
-REGIMES = {
-    "no fused attention": (R.charged_unfused(), ["ctx", "ubatch", "gpus"]),
-    "cache below 16 bits": (R.kv_quantised(), ["ctx", "ubatch"]),
-    "split by tensor": (R.split_or_layer() == "tensor", ["ctx", "ubatch", "gpus"]),
-    "one cache for many slots": (R.factor("kv_unified") & _SEVERAL, ["ctx", "ubatch"]),
-    "many slots": (_SEVERAL, ["ctx", "ubatch", "parallel"]),
-    "requests in parallel": (R.factor("concurrency") > 1, ["concurrency", "ctx"]),
-    "prompt past a checkpoint": (R.factor("probe_prompt_tokens") >= R.CHECKPOINT_STEP, ["ctx", "gpus"]),
-    "speculation": (R.factor("spec_type").isNotNull(), ["ctx", "parallel"]),
-    "other fork": (R.is_ik(), ["ctx", "ubatch", "gpus"]),
-    "experts on the host": (R.factor("n_cpu_moe").isNotNull(), ["ctx", "ubatch"]),
-    "alone on a card": (R.cards_nonempty() == 1, ["ctx", "ubatch"]),
-    "weights read, not mapped": (R.factor("no_mmap"), ["ctx", "ubatch"]),
-}
+def _regimes():
+    several = R.factor("parallel") > 1
+    return {
+        "no fused attention": (R.charged_unfused(), ["ctx", "ubatch", "gpus"]),
+        "cache below 16 bits": (R.kv_quantised(), ["ctx", "ubatch"]),
+        "split by tensor": (R.split_or_layer() == "tensor", ["ctx", "ubatch", "gpus"]),
+        "one cache for many slots": (R.factor("kv_unified") & several, ["ctx", "ubatch"]),
+        "many slots": (several, ["ctx", "ubatch", "parallel"]),
+        "requests in parallel": (R.factor("concurrency") > 1, ["concurrency", "ctx"]),
+        "prompt past a checkpoint": (R.factor("probe_prompt_tokens") >= R.CHECKPOINT_STEP, ["ctx", "gpus"]),
+        "speculation": (R.factor("spec_type").isNotNull(), ["ctx", "parallel"]),
+        "other fork": (R.is_ik(), ["ctx", "ubatch", "gpus"]),
+        "experts on the host": (R.factor("n_cpu_moe").isNotNull(), ["ctx", "ubatch"]),
+        "alone on a card": (R.cards_nonempty() == 1, ["ctx", "ubatch"]),
+        "weights read, not mapped": (R.factor("no_mmap"), ["ctx", "ubatch"]),
+    }
 
 
 def _reasons(known):
@@ -255,7 +256,7 @@ QUERIES = {
     "f6_readings": _m(lambda m: m.select(
         "cell", F.col("pos.cents").alias("cents"), R.owned_bytes().alias("owned_bytes"), R.owned_mib().alias("owned_mib"), R.card_used(F.lit(0)).alias("card0"), R.cards_measured().alias("cards_measured"))),
     "f11_skip_reasons": _m(lambda m: H.skip_counts(m, _reasons(R.factor("model").contains("-0")))),
-    "f12_regime_members": _m(lambda m: H.regime_members(m, REGIMES)),
+    "f12_regime_members": _m(lambda m: H.regime_members(m, _regimes())),
     "f10_label_filter": _m(lambda m: H.label_filter(m.select("cell", R.factor("label").alias("label"), F.col("pos.cents").alias("cents")), "prod-")),
     "a19_trace_summary": _trace,
     "f13_query_heads": _m(lambda m: m.groupBy(R.parsed("arch").alias("arch"), R.query_heads().alias("heads")).count()),
@@ -285,7 +286,7 @@ QUERIES = {
     "a18_half_even": lambda s, d: B.table(s, d, "lineitem").select("l_quantity", "l_partkey").groupBy(RD.half_even((F.col("l_quantity") - 25) / F.lit(2.0)).alias("rounded"), RD.tenths_half_even(F.col("l_quantity") / F.lit(4.0)).alias("tenths")).count(),
     "a20_stale_builds": _m(H.stale_builds),
     "a21_build_disagreements": _m(lambda m: H.build_disagreements(m, 0.2)),
-    "a22_coverage": _m(lambda m: H.coverage(m, REGIMES)),
+    "a22_coverage": _m(lambda m: H.coverage(m, _regimes())),
     "a23_question_progress": lambda s, d: H.question_progress(_plan(s, d), M.measurements(s, d)),
     "a24_liveness": _liveness,
     "a25_headroom_line": _headroom,
