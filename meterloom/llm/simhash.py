@@ -159,10 +159,10 @@ def groups(edges: DataFrame) -> DataFrame:
         was = mark
 
 
-def _rooted(rows: DataFrame, best) -> DataFrame:
-    """(`fp`, `root`, `best`): the least `best` of a group, for every fingerprint of `rows`."""
+def _rooted(rows: DataFrame, best, edges: DataFrame | None = None) -> DataFrame:
+    """(`fp`, `root`, `best`): the least `best` of a group, for every fingerprint of `rows`; `edges` are `links` unless given."""
     per_fp = rows.groupBy("fp").agg(F.min(best).alias("best"))
-    grouped = groups(links(rows))
+    grouped = groups(links(rows) if edges is None else edges)
     rooted = per_fp.join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("best").alias("best"))
     return rooted.select("fp", "root").join(least, "root")
