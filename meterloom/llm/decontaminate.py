@@ -28,7 +28,7 @@ SHARE = 0.8
 K1, B = 1.2, 0.75
 #: Items per block of the index.
 BLOCK = 16
-#: Words from one passage's start to the next; a passage is twice as long.
+#: Words from one passage's start to the next; a passage is twice as long. Items of more than half as many words have longer ones.
 STRIDE = 128
 #: Items indexed at once; more are searched in further passes, so what is sent to the tasks stays bounded.
 ITEMS = 20_000
@@ -56,6 +56,7 @@ class Index:
     term: dict[str, int]
     question: list[set]  # shingles as tuples of term numbers
     answer: list[set]
+    words: np.ndarray  # of question and answer together
     need: np.ndarray  # score from which an item is retrieved
     first: np.ndarray  # postings of a term: items and weights
     items: np.ndarray
@@ -95,7 +96,7 @@ def build(rows: list[tuple], share: float = SHARE) -> Index:
     block_max = np.maximum.reduceat(w_all, start) if len(start) else np.zeros(0)
     need = np.array(need)
     block_need = np.minimum.reduceat(need, np.arange(0, len(need), BLOCK)) if len(need) else np.zeros(0)
-    return Index([r[0] for r in rows], term, question, answer, need, first, i_all, w_all, np.searchsorted(t_all[start], np.arange(len(term) + 1)), (i_all // BLOCK)[start], block_max, block_need)
+    return Index([r[0] for r in rows], term, question, answer, np.array([len(q) + len(a) for q, a in coded], np.int64), need, first, i_all, w_all, np.searchsorted(t_all[start], np.arange(len(term) + 1)), (i_all // BLOCK)[start], block_max, block_need)
 
 
 def _expand(first: np.ndarray, owner: np.ndarray, terms: np.ndarray):
@@ -121,12 +122,23 @@ def _retrieve(query: np.ndarray, terms: np.ndarray, index: Index) -> tuple[list,
     return number[r[hit]].tolist(), item[hit].tolist(), score[hit].tolist()
 
 
-def search(texts: list[str | None], index: Index, share: float = SHARE, stride: int = STRIDE) -> list[tuple]:
+def strides(index: Index) -> np.ndarray:
+    """Stride of every item: `STRIDE`, doubled until it is at least twice the item's words.
+
+    So a copy that spreads over up to twice its own length lies in one passage as
+    a whole, wherever it begins. It depends on the item alone, not on the others.
+    """
+    over = np.maximum(2 * index.words, STRIDE) / STRIDE
+    return STRIDE * (1 << np.ceil(np.log2(over)).astype(np.int64))
+
+
+def search(texts: list[str | None], index: Index, share: float = SHARE, stride: int | None = None) -> list[tuple]:
     """(text number, passage, item number, score, question overlap, answer overlap) of every verified hit.
 
     A passage holds the shingles that begin in `2 * stride` words; passages
-    begin every `stride` words. A text of fewer words than a shingle is one
-    shingle as a whole.
+    begin every `stride` words, and each item has the stride of its length
+    unless one is given. A text of fewer words than a shingle is one shingle as
+    a whole.
     """
     if not index.ids:
         return []
@@ -134,7 +146,13 @@ def search(texts: list[str | None], index: Index, share: float = SHARE, stride:
     counts = np.fromiter(map(len, per_text), np.int64, len(per_text))
     get = index.term.get
     coded = np.fromiter((get(w, -1) for ws in per_text for w in ws), np.int64, int(counts.sum()))
-    text = np.repeat(np.arange(len(texts)), counts)
+    own = strides(index) if stride is None else np.full(len(index.ids), stride)
+    return [hit for s in np.unique(own).tolist() for hit in _passages(coded, counts, index, share, s, own == s)]
+
+
+def _passages(coded: np.ndarray, counts: np.ndarray, index: Index, share: float, stride: int, wanted: np.ndarray) -> list[tuple]:
+    """The hits of the `wanted` items in passages of one stride."""
+    text = np.repeat(np.arange(len(counts)), counts)
     place = np.arange(len(coded)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = np.flatnonzero(coded >= 0)
     # A word lies in the passages that begin with its own stretch and with the one before. The last
@@ -160,6 +178,8 @@ def search(texts: list[str | None], index: Index, share: float = SHARE, stride:
     out = []
     begin = np.cumsum(counts) - counts
     for r, i, s in (x for part in found for x in zip(*part)):
+        if not wanted[i]:
+            continue
         t, part = divmod(int(r), most)
         a = int(begin[t]) + part * stride
         run = coded[a : min(a + 2 * stride + WORDS - 1, int(begin[t] + counts[t]))].tolist()
@@ -180,7 +200,7 @@ def _indexes(items: DataFrame, question_col: str, answer_col: str | None, item_c
         yield items.sparkSession.sparkContext.broadcast(build([tuple(r) for r in rows], share))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, question_col: str = "text", answer_col: str | None = None, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", share: float = SHARE, stride: int = STRIDE) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, question_col: str = "text", answer_col: str | None = None, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", share: float = SHARE, stride: int | None = None) -> DataFrame:
     """`doc_id`, `item_id`, `overlap`, `passages`: items whose question (and answer, where given) a text holds.
 
     `overlap` is the largest share of the item's distinct shingles in one
@@ -208,7 +228,7 @@ def contaminated(docs: DataFrame, items: DataFrame, question_col: str = "text",
     return found.groupBy("doc_id", "item_id").agg(F.max("overlap").alias("overlap"), F.countDistinct("passage").alias("passages"))
 
 
-def clean(docs: DataFrame, items: DataFrame, question_col: str = "text", answer_col: str | None = None, text_col: str = "text", item_col: str = "item_id", share: float = SHARE, stride: int = STRIDE) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, question_col: str = "text", answer_col: str | None = None, text_col: str = "text", item_col: str = "item_id", share: float = SHARE, stride: int | None = None) -> DataFrame:
     """`docs` without the rows whose text holds an item; all columns are kept, each row is judged by its own text."""
     for sent in _indexes(items, question_col, answer_col, item_col, share):
 
