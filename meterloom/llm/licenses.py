@@ -8,6 +8,9 @@ with the digests of known licences.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,13 +46,33 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
 }
 #: Whole lines that name a holder, and spellings that count as one.
-COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|all rights reserved)[^\n]*"
+COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright|all rights reserved|©|&copy;|\(c\)[^\n]*(19|20)[0-9][0-9]|\(c\)[ \t]*[<\[{](year|yyyy))[^\n]*"
 SPELLINGS = [("licenc", "licens"), ("(organi|authori|recogni)s(e|a|i)", r"\1z\2"), ("non infringement", "noninfringement")]
 
 
+#: Where the terms of a text end and hints on how to apply them begin.
+HINTS = r"(?i)\n[ \t]*(appendix: )?how to apply (these terms|the apache license)[^\n]*\n"
+#: A first line that names the licence and is often left out.
+TITLE = r"\A\s*[^\n]{0,40}licen[cs]e\s*\n"
+#: Texts whose title is their name only; that of others is part of the text.
+UNTITLED = ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause")
+
+
+def references() -> list[tuple[str, str]]:
+    """(licence, text) of `licence_texts`, the whole texts that come with this package: with and without hints on use."""
+    made = []
+    for file in sorted(resources.files("meterloom.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+            made += [(name, text), (name, re.split(HINTS, text)[0])]
+    return made
+
+
 def known(spark: SparkSession) -> DataFrame:
-    """`licence`, `text` of the licences this module names."""
-    return spark.createDataFrame([(k, t) for k, texts in KNOWN.items() for t in texts], "licence string, text string")
+    """`licence`, `text` of the licences this module names and of the whole texts that come with it."""
+    rows = [(k, t) for k, texts in KNOWN.items() for t in texts] + references()
+    rows += [(k, re.sub(TITLE, "", t, flags=re.I)) for k, t in rows if k in UNTITLED and "\n" in t]
+    return spark.createDataFrame(sorted(set(rows)), "licence string, text string")
 
 
 def canonical(text: str | Column) -> Column:
