@@ -17,8 +17,20 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import without
 
-#: A run of 16 or more signs with a digit, or what stands in quotes after `=` or `:`.
-CANDIDATE = r"""(?<=[=:] ?["'])[^\s"']{8,}|(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}"""
+_NAMED = r"(?i:passw|pass|pwd|secret|token|api[_.\-]?key|access[_.\-]?key|auth(?!or)|credential|private[_.\-]?key)[A-Za-z0-9_.\-]{0,24}"
+_CLOSE = r"""[^\s"',;.)\]}]"""
+#: What can be a secret. The first look behind is short, so most places are left at once.
+CANDIDATE = "|".join(
+    (
+        r"""(?<=[=:] ?["'])[^\s"']{8,}""",  # in quotes after = or :
+        # After a credential word and = or :, up to the next NAME= of a list.
+        rf"""(?<=[=:>][ \t]{{0,3}}["']?)(?<={_NAMED}["']?[ \t]{{0,3}}(?:[=:]{{1,2}}|=>|:=)[ \t]{{0,3}}["']?)(?!(?i:bearer|basic)\s)(?:(?![&,;][A-Za-z_]{{1,32}}=)[^\s"']){{5,}}(?![&,;][A-Za-z_]{{1,32}}=){_CLOSE}""",
+        rf"""(?<=[ \t])(?<=(?i:bearer|basic)[ \t]{{1,3}})[^\s"']{{7,}}{_CLOSE}""",
+        r"""(?<=:)(?<=://[^\s:/@"']{0,64}:)[^\s"'/]+(?=@)""",  # user:password@
+        # A run of 16 or more signs with a digit; of NAME=VALUE the value.
+        r"""(?<![A-Za-z0-9+/_.\-])(?![A-Za-z_][A-Za-z0-9_.\-]{0,64}={1,3}[A-Za-z0-9+/_.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}""",
+    )
+)
 MASK = "[SECRET]"
 AT_LEAST = 0.5
 TREES, DEPTH, SEED = 15, 6, 11
@@ -47,8 +59,10 @@ FEATURES = {
     "path": "float(coalesce(lower(path) rlike '(^|[^a-z])(test|tests|spec|example|examples|sample|samples|docs|fixture|fixtures|mock)([^a-z]|$)', false))",
     "assigned": r"""float(l rlike '[=:]\\s*["\']?$')""",
     "quoted": r"""float(r rlike '^["\']')""",
-    "credential": r"""float(lower(l) rlike '(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|credential|private)[^\\n]{0,16}$')""",
+    "credential": r"""float(lower(l) rlike '(token|secret|pass|pwd|api.?key|access.?key|auth|bearer|credential|private)[^\\n]{0,16}$')""",
     "harmless": r"""float(lower(l) rlike '(sha.?[0-9]*|md5|commit|checksum|digest|uuid|guid|version|https?|url|order|phone|card|example|sample|dummy|placeholder)[^\\n]{0,16}$')""",
+    "userinfo": r"""float(l rlike '://[^\\s:/@]*:$' and r rlike '^@')""",
+    "placeholder": r"""float(c rlike '^[$]?[{<(%]|[*]{4}|[(]')""",
     "address": r"""float(l rlike '[@/]$' or c rlike '^[a-z0-9.\\-]+[.](com|org|net|io|dev)$')""",
 }
 
@@ -77,7 +91,7 @@ def labelled_findings(spark: SparkSession, rows: int = 3_000) -> DataFrame:
     instead, or united with this one.
     """
     base = spark.range(0, rows, 1, 4).withColumn("h", F.sha2(F.col("id").cast("string"), 512)).withColumn("b", F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "x"))
-    kind, pick = F.pmod("id", F.lit(20)), F.pmod(F.xxhash64("id"), F.lit(6))
+    kind, pick = F.pmod("id", F.lit(36)), F.pmod(F.xxhash64("id"), F.lit(6))
     word = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     num = F.regexp_replace(F.col("h"), "[a-f]", "")
     two = F.concat(word(1), F.lit("_"), word(2))
@@ -87,15 +101,27 @@ def labelled_findings(spark: SparkSession, rows: int = 3_000) -> DataFrame:
         F.substring("h", 1, 40), F.substring("h", 1, 64), F.regexp_replace(F.substring("h", 1, 32), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5"), F.concat(word(3), F.substring(num, 1, 1), F.lit("."), word(4), F.lit(".com")), F.substring(num, 1, 16),
         F.concat(word(5), F.lit("/"), two, F.substring(num, 1, 2), F.lit(".py")), F.concat(F.lit("your_"), two, F.lit("_here_"), F.substring(num, 1, 1)), F.concat(two, F.lit("_"), word(6), F.substring(num, 1, 2)), F.concat(F.lit("20"), F.substring(num, 1, 2), F.lit("-01-0"), F.substring(num, 3, 1), F.lit("-"), two), F.concat(F.lit("xxxxxxxxxxxxxxxx"), F.substring(num, 1, 1)),
     ]
+    letters = F.translate("h", "0123456789", "ghkmnprstw")
+    one = lambda k, *options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(options))) + 1).cast("int"))
+    chosen = F.when(pick < 2, F.concat(F.initcap(F.substring(letters, 1, 6)), F.substring(num, 1, 4))).when(pick < 4, F.concat(one(8, "Winter", "Summer", "Dragon", "Monkey", "Sunshine", "Charlie"), F.substring(num, 1, 4))).otherwise(F.concat(one(9, "s3cr3t", "P@ssw0rd", "Tr0ub4dor", "L3tM3in", "p@ss$w0rd", "hunt3r"), one(10, "!", "!longer", "#1", "&3", "")))
+    made += [chosen, chosen, chosen, F.substring(letters, 1, 22), F.substring(letters, 9, 30), F.concat(F.substring("b", 1, 12), F.lit("/"), F.substring("b", 13, 14), F.lit("+"), F.substring("b", 30, 12)), F.concat(F.substring("b", 1, 7), F.lit("!$"), F.substring("b", 9, 5)), F.substring("b", 1, 32)]
+    long_word = one(11, "required", "optional", "disabled", "undefined", "changed", "something", "expired", "forgotten", "instructions", "therefore", "bondholder", "string", "function")
+    made += [long_word, F.concat(F.lit("${"), F.upper(two), F.lit("}")), F.concat(F.lit("<"), word(12), F.lit("-"), word(13), F.lit(">")), F.concat(F.lit("get_"), two, F.lit("()")), long_word, F.lit("********"), F.substring("h", 1, 40), F.concat(word(14), F.lit("."), two)]
     keyed = ['token = "', "api_key: '", 'SECRET="', "password = '", "Authorization: Bearer ", "access_key="]
     plain = [["commit ", "sha1 "], ["sha256:", "checksum "], ["uuid: ", "id "], ["someone@", "http://"], ["order ", "and "], ["in ", "from "], ['token = "', 'api_key = "'], ["call ", "name: "], ["at ", "date: "], ['password = "', "secret: '"]]
     at = lambda options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(pick, F.lit(len(options))) + 1).cast("int"))
+    asked = ["password: ", "DB_PASS=", "pass = ", "pwd=", 'passwd = "', "MYSQL_PASSWORD="]
+    named = ["AWS_SECRET_ACCESS_KEY=", "API_KEY=", "auth_token: ", "CLIENT_SECRET=", "token=", "secret: "]
+    urls = ["postgres://bob:", "https://user:", "DATABASE_URL=mysql://root:", "redis://:", "amqp://app:", "mongodb://admin:"]
     lefts = [at(keyed)] * 10 + [at(p) for p in plain]
+    lefts += [at(asked), at(asked), at(urls), F.lit("Authorization: Bearer "), at(named), at(named), at(asked), at(named)]
+    lefts += [at(asked + named), at(asked), at(named), at(asked), F.lit("the bearer "), at(asked), at(["commit=", "build_id=", "sha1=", "GIT_COMMIT=", "etag=", "digest="]), at(named)]
     choose = lambda columns: F.element_at(F.array(*columns), (kind + 1).cast("int"))
     left = F.concat(word(7), F.lit(" "), choose(lefts))
     right = F.when(F.substring(left, -1, 1).isin("'", '"'), F.substring(left, -1, 1)).otherwise(F.lit(" "))
+    right = F.when(kind == 22, F.lit("@db.internal")).otherwise(right)
     path = F.when(kind.isin(16, 19) & (pick < 3), "tests/fixture.py").otherwise(F.concat(F.lit("src"), kind.cast("string")))
-    return base.select(choose(made).alias("candidate"), left.alias("left"), right.alias("right"), path.alias("path"), (kind < 10).cast("double").alias("label"))
+    return base.select(choose(made).alias("candidate"), left.alias("left"), right.alias("right"), path.alias("path"), ((kind < 10) | kind.between(20, 27)).cast("double").alias("label"))
 
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Forest:
