@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions.scan import running, total
-from meterloom.llm import bpe, decontaminate, fixity, language, licenses, quality, secrets, simhash, topk, toxicity
+from meterloom.llm import bpe, decontaminate, divergence, fixity, language, licenses, periodic, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -88,6 +88,33 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Texts of a tenth of the ids with their tail replaced by one period, over and over."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = docs.withColumn("h", h).withColumn("w", F.when(F.col("h") % 10 == 0, F.expr(r"regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0)")))
+    tail = words.withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.expr("int(g % size(w))")).withColumn("p", F.expr("int(1 + floor((size(w) - a) / (3 + g % 8)))"))
+    periodic_text = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(0, size(w) - a - 1), i -> w[a + i % p])), ' ')")
+    return tail.select("doc_id", F.when(F.expr("size(w) > 0"), periodic_text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("best", periodic.greatest())
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_top_k": op2_top_k,
@@ -99,7 +126,11 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_divergence": op13_divergence,
 }
+
+
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{licenses.COPYRIGHT}', '\\1', 'g')"
     out = f"regexp_replace({out}, '[^a-z0-9\n]+', ' ', 'g')"
@@ -169,4 +200,37 @@ ORACLE: dict[str, str] = {
         select doc_id, item_id, max(k / n) as overlap, count(*) as passages from c join n using (item_id)
         where k / n >= {decontaminate.SHARE} - 1e-9 group by 1, 2
     """,
+    "op13_divergence": """
+        with d as (
+            select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w
+            from documents
+        ),
+        t as (select lang, source, r, unnest(w) as term from d),
+        c as (select lang, source, term, count(*) as n, count(distinct r) as m from t group by all),
+        k as (select lang, term, sum(n) as n from c group by all having sum(m) >= 10),
+        v as (select lang, count(*) as v, sum(n) as n from k group by lang),
+        s as (select c.lang, c.source, sum(c.n) as n from c join k using (lang, term) group by all),
+        f as (
+            select lang, source, coalesce(s.n, 0)::hugeint as n, coalesce(v.v, 0)::hugeint as v, coalesce(v.n, 0)::hugeint as ln
+            from (select distinct lang, source from d) left join s using (lang, source) left join v using (lang)
+        ),
+        e as (
+            select f.lang, f.source, k.term, coalesce(c.n, 0) as n,
+                1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (f.n + 2 * f.v) as p, 1 + (1000000000::hugeint * (k.n + 2)) // (f.ln + 2 * f.v) as q
+            from f join k using (lang) left join c on c.lang = f.lang and c.source = f.source and c.term = k.term
+        ),
+        m as (
+            select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+            from e a join e b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+        ),
+        o as (
+            select a.lang, a.source, 'pair' as part, b.source as item, coalesce(m.value, 0)::bigint as value
+            from f a join f b on a.lang = b.lang and a.source <> b.source left join m on m.lang = a.lang and m.source = a.source and m.item = b.source
+            union all
+            select lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::bigint from e where n > 0 and p > q
+        ),
+        r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from o)
+        select * from r where part = 'pair' or rank <= 10
+    """,
 }
