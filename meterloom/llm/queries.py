@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterloom.functions.scan import running, total
-from meterloom.llm import bpe, decontaminate, divergence, fixity, language, licenses, periodic, quality, secrets, simhash, topk, toxicity
+from meterloom.llm import bpe, chosenpath, decontaminate, divergence, fixity, language, licenses, periodic, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
 
@@ -88,6 +88,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """Texts of a tenth of the ids with their tail replaced by one period, over and over."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -126,6 +130,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op8_toxicity": _scored(toxicity, "toxic", 0.5),
     "op10_quality": _scored(quality, "quality", 0.3),
+    "op11_near_copies": op11_near_copies,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_divergence": op13_divergence,
 }
