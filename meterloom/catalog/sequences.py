@@ -82,7 +82,7 @@ def _ceiling(s, d):
     )
     # One clock tick per reading: the table's events are hours apart.
     rows = S.numbered(rows, ["service"], ORDER).withColumn("at_ms", F.col("step_no") * 8000)
-    return S.ceiling_actions(rows, ["service"])
+    return S.ceiling_actions(rows, ["service"]).select("service", "step_no", "action")
 
 
 def _budget(s, d):

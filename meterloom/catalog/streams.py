@@ -11,6 +11,7 @@ from meterloom.session import scratch_path
 from meterloom.sources import bindings as B
 from meterloom.sources import stores
 from meterloom.streaming import telemetry as ST
+from meterloom.streaming.carried import run_carried
 from meterloom.streaming.keyed import run_to_table
 
 
@@ -62,17 +63,17 @@ def _memory(s, d):
         "service", "at_ms", "sample_id", "slot", F.col("vram_bytes").alias("observed"), F.col("slot").isNotNull().alias("enforceable"),
         F.lit(Q.MIN_MIB).cast("long").alias("min_mib"), F.lit(Q.MAX_MIB).cast("long").alias("max_mib"),
     )
-    return run_to_table(ST.memory_stream(rows, MARGIN), "memory")
+    return run_carried(rows, ST.memory(MARGIN), "memory")
 
 
 def _correction(s, d):
-    out = run_to_table(ST.correction_stream(_rows(s, d, Q._correction)), "correction")
+    out = run_carried(_rows(s, d, Q._correction), ST.correction(width=64), "correction")
     return out.select("service", "pool", "seq", F.round("mean", 9).alias("mean"), "samples")
 
 
 def _logs(s, d):
     lines = _stream(s, d, "conversations").selectExpr(*B.SERVICE_LOGS).drop("seq")
-    out = run_to_table(ST.log_stream(lines), "log-stream")
+    out = run_carried(lines, ST.log_numbers(), "log-stream")
     return out.select("service_id", "run_id", "timestamp_ms", "seq", F.md5("line").alias("line_md5"))
 
 
@@ -96,9 +97,9 @@ QUERIES = {
     "s10_event_feed_source": _source,
     "t1_stream_rollup": _rollup,
     "t2_error_rate_alerts": _alerts,
-    "t3_draft_collapse": lambda s, d: run_to_table(ST.draft_collapse_alerts(_metrics(s, d), 86_400_000, 200, "1 hour", "6 hours"), "collapse"),
+    "t3_draft_collapse": lambda s, d: run_carried(ST.draft_ticks(_metrics(s, d), "1 hour", "6 hours"), ST.draft_collapse(86_400_000, 200), "collapse"),
     "t4_first_output_stalls": _first_output,
-    "t5_counter_stalls": lambda s, d: run_to_table(ST.counter_stall_stream(_rows(s, d, Q._polls), 7_200_000), "stalls").select("service", "poll_id", "flat_ms", "stalled"),
+    "t5_counter_stalls": lambda s, d: run_carried(_rows(s, d, Q._polls), ST.counter_stalls(7_200_000), "stalls").select("service", "poll_id", "flat_ms", "stalled"),
     "t6_restart_decisions": _decisions,
     "t7_memory": _memory,
     "t8_rolling_correction": _correction,

@@ -199,6 +199,20 @@ def trailing(
     return joined.select(*df.columns, F.transform(last, lambda e: e["v"]).alias(name))
 
 
+def within(df: DataFrame, keys: list[str], at: str, value: Column, name: str, span: int, width: int = CHUNK_MS) -> DataFrame:
+    """Add the array of a key's values with `at` in (at - span, at], oldest first.
+
+    `at` is a whole number, unique within a key. A row also rides along in the
+    next chunk, so chunks are at least as wide as the span; the span bounds the
+    arrays.
+    """
+    wide = max(int(width), int(span))
+    rows = df.withColumns({CHUNK: F.expr(f"cast(floor(`{at}` / {wide}) as bigint)"), "__v": value})
+    held = rows.withColumn("__ride", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(CHUNK, F.col(CHUNK) + F.col("__ride"))
+    seen = Window.partitionBy(*keys, CHUNK).orderBy(at).rangeBetween(-(span - 1), Window.currentRow)
+    return held.withColumn(name, F.collect_list("__v").over(seen)).where("__ride = 0").select(*df.columns, name)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """A key's first `k` rows in the order given.
 

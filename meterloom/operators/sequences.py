@@ -2,23 +2,21 @@
 
 Every operator keeps a busy service spread over many tasks. Where the step is
 an associative function (running sums, last value seen, clamped affine maps)
-the history is scanned in chunks and the chunks are combined. Where it is not
-(greedy budgets, hysteresis) `chunked_fold` runs chunks side by side and
-re-runs only those whose entry state turned out different.
+the history is scanned in chunks and the chunks are combined; hysteresis and
+grace periods are piecewise functions of one number and combine too
+(`functions/fold.py`). Only the restart budget runs blocks side by side and
+again those whose entry state turned out different.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from meterloom.functions import scan
-from meterloom.session import scratch_path, settle
+from meterloom.functions import fold, scan
+from meterloom.session import discard, settle
 
 MIB = 1024 * 1024
 
@@ -132,7 +130,12 @@ def _gathered(blocks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: int = LEVELS, fan: int = FAN) -> DataFrame:
+#: What a pool has learned: the lasting mean, its samples and drift streak; inside an out-of-memory
+#: episode also those on top of them.
+LEARNED = "struct<mean: double, samples: bigint, drift: bigint, inside: boolean, e_mean: double, e_samples: bigint, e_drift: bigint>"
+
+
+def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: int = LEVELS, fan: int = FAN, learned: DataFrame | None = None) -> DataFrame:
     """Learned correction per (service, pool) after each event.
 
     `events`: service, pool, seq (whole number, unique per service and pool),
@@ -140,39 +143,54 @@ def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: in
     its ratio and the mean is clamped after every step. An OOM raises the mean
     and passes the trust gate at once; the next clean run restores what had
     been learned before the first OOM, so samples of such an episode never
-    reach the lasting history.
+    reach the lasting history. `learned` (service, pool, `state` of `LEARNED`)
+    is what pools bring along; the last column, `state`, is what they have
+    learned after each event.
     """
     keys = ["service", "pool"]
     ratio = F.when((F.col("kind") == "sample") & (F.col("base") > 0), F.col("observed") / F.col("base"))
     rows = events.withColumn("ratio", ratio).filter((F.col("kind") != "sample") | F.col("ratio").isNotNull())
+    if learned is None:
+        rows = rows.withColumn("__old", F.lit(None).cast(LEARNED))
+    else:
+        rows = rows.join(learned.select(*keys, F.col("state").alias("__old")), keys, "left")
+    old = lambda name, default: F.coalesce(F.col(f"__old.{name}"), F.lit(default))
+    rows = rows.withColumns({"__n0": old("samples", 0).cast("long"), "__m0": old("mean", 1.0), "__s0": old("drift", 0).cast("long"), "__in0": old("inside", False)})
 
     mark = F.when(F.col("kind").isin("oom", "clean"), F.col("kind"))
     seen = scan.running(rows, keys, ["seq"], {"__last": scan.last_seen(mark), "__before": scan.seen_before(mark)}, width)
-    inside = F.coalesce(F.col("__last") == "oom", F.lit(False))
-    opens = (F.col("kind") == "oom") & ~F.coalesce(F.col("__before") == "oom", F.lit(False))
+    inside = F.coalesce(F.col("__last") == "oom", F.col("__in0"))
+    opens = (F.col("kind") == "oom") & ~F.coalesce(F.col("__before") == "oom", F.col("__in0"))
     tagged = seen.withColumn("__in", inside)
     lasting = (F.col("kind") == "sample") & ~F.col("__in")
     tagged = scan.running(tagged, keys, ["seq"], {
         "episode": scan.total(F.when(opens, 1).otherwise(0).cast("long")),
-        "n_lasting": scan.total(F.when(lasting, 1).otherwise(0).cast("long")),
+        "__new": scan.total(F.when(lasting, 1).otherwise(0).cast("long")),
     }, width)
-    tagged = settle(tagged.select(*keys, "seq", "kind", "ratio", "__in", "episode", "n_lasting"), "correction")
+    tagged = tagged.withColumn("n_lasting", F.col("__n0") + F.col("__new"))
+    tagged = settle(tagged.select(*keys, "seq", "kind", "ratio", "__in", "episode", "n_lasting", "__new", "__old", "__m0", "__s0"), "correction")
 
     # The lasting history: only samples outside an episode.
-    base = tagged.filter(lasting).withColumn("__at", F.col("n_lasting") - 1)
+    base = tagged.filter(lasting).withColumn("__at", F.col("__new") - 1)
     n = F.col("n_lasting").cast("double")
     mean_step = _step((n - 1) / n, F.col("ratio") / n, F.lit(MEAN_LOW), F.lit(MEAN_HIGH))
-    base = settle(clamped_fold(base, keys, "__at", mean_step, F.lit(1.0), "mean", levels, fan), "correction-base")
+    base = settle(clamped_fold(base, keys, "__at", mean_step, F.col("__m0"), "mean", levels, fan), "correction-base")
     far = F.abs(F.col("mean") - 1.0) > DRIFT_BAND
     base = scan.running(base, keys, ["seq"], {"__calm": scan.last_seen(F.when(~far, F.col("n_lasting")))}, width)
-    base = base.select(*keys, "seq", F.col("mean").alias("__m"), (F.col("n_lasting") - F.coalesce("__calm", F.lit(0))).alias("__s"))
+    run = F.when(F.col("__calm").isNull(), F.col("__s0") + F.col("__new")).otherwise(F.col("n_lasting") - F.col("__calm"))
+    base = base.select(*keys, "seq", F.col("mean").alias("__m"), run.alias("__s"))
     all_rows = tagged.join(base, [*keys, "seq"], "left")
     all_rows = scan.running(all_rows, keys, ["seq"], {
         "base_mean": scan.last_seen(F.col("__m")), "base_streak": scan.last_seen(F.col("__s")),
     }, width)
-    all_rows = all_rows.withColumn("base_mean", F.coalesce("base_mean", F.lit(1.0))).withColumn(
-        "base_streak", F.coalesce("base_streak", F.lit(0).cast("long"))
-    )
+    all_rows = all_rows.withColumn("base_mean", F.coalesce("base_mean", "__m0")).withColumn("base_streak", F.coalesce("base_streak", "__s0"))
+    # An episode that was open before goes on from where it stood.
+    goes_on = (F.col("episode") == 0) & F.col("__old.inside")
+    all_rows = all_rows.withColumns({
+        "__em0": F.when(goes_on, F.col("__old.e_mean")).otherwise(F.col("base_mean")),
+        "__en0": F.when(goes_on, F.col("__old.e_samples")).otherwise(F.greatest(F.col("n_lasting"), F.lit(TRUSTED_SAMPLES))),
+        "__es0": F.when(goes_on, F.col("__old.e_drift")).otherwise(F.col("base_streak")),
+    })
     all_rows = settle(all_rows.drop("__m", "__s"), "correction-lasting")
 
     # Episodes: start from what was learned, then raise and sample on top.
@@ -181,18 +199,17 @@ def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: in
     episode = scan.running(episode, part, ["seq"], {
         "__row": scan.count(), "__taken": scan.total(F.when(F.col("kind") == "sample", 1).otherwise(0).cast("long")),
     }, width)
-    start_n = F.greatest(F.col("n_lasting"), F.lit(TRUSTED_SAMPLES))
-    en = (start_n + F.col("__taken")).cast("double")
+    en = (F.col("__en0") + F.col("__taken")).cast("double")
     raised = _step(F.lit(1.0), F.lit(0.0), F.lit(OOM_BUMP), F.lit(WIDE))
     sampled = _step((en - 1) / en, F.col("ratio") / en, F.lit(MEAN_LOW), F.lit(MEAN_HIGH))
     step = F.when(F.col("kind") == "oom", raised).otherwise(sampled)
-    episode = clamped_fold(episode.withColumn("__at", F.col("__row") - 1), part, "__at", step, F.col("base_mean"), "__em", levels, fan)
+    episode = clamped_fold(episode.withColumn("__at", F.col("__row") - 1), part, "__at", step, F.col("__em0"), "__em", levels, fan)
     episode = settle(episode, "correction-episodes")
     efar = F.abs(F.col("__em") - 1.0) > DRIFT_BAND
     episode = scan.running(episode, part, ["seq"], {
         "__ecalm": scan.last_seen(F.when((F.col("kind") == "sample") & ~efar, F.col("__taken"))),
     }, width)
-    streak = F.when(F.col("__ecalm").isNull(), F.col("base_streak") + F.col("__taken")).otherwise(F.col("__taken") - F.col("__ecalm"))
+    streak = F.when(F.col("__ecalm").isNull(), F.col("__es0") + F.col("__taken")).otherwise(F.col("__taken") - F.col("__ecalm"))
     episode = episode.select(*keys, "seq", "__em", streak.alias("__es"), en.cast("long").alias("__en"))
 
     out = all_rows.join(episode, [*keys, "seq"], "left").select(
@@ -200,17 +217,19 @@ def rolling_correction(events: DataFrame, width: int = scan.CHUNK_MS, levels: in
         F.coalesce("__em", "base_mean").alias("mean"),
         F.coalesce("__en", "n_lasting").alias("samples"),
         F.coalesce("__es", "base_streak").alias("drift_samples"),
+        F.when(F.coalesce("__old.inside", F.lit(False)), F.col("__old.e_mean")).otherwise(F.col("__m0")).alias("__start"),
+        F.struct(F.col("base_mean").alias("mean"), F.col("n_lasting").alias("samples"), F.col("base_streak").alias("drift"), F.col("__in").alias("inside"), F.col("__em").alias("e_mean"), F.col("__en").alias("e_samples"), F.col("__es").alias("e_drift")).alias("state"),
     )
     out = settle(out, "correction-all")
     out = scan.running(out, keys, ["seq"], {"__prev": scan.previous(F.col("mean"))}, width)
-    prev = F.coalesce("__prev", F.lit(1.0))
+    prev = F.coalesce("__prev", "__start")
     sample = F.col("kind") == "sample"
     return out.select(
         *keys, "seq", "kind", "mean", "samples", "drift_samples",
         trusted_factor(F.col("mean"), F.col("samples")).alias("factor"),
         (sample & (F.col("drift_samples") >= DRIFT_ALERT)).alias("drift_alert"),
         (sample & (F.abs((F.col("mean") - prev) / prev) > DRIFT_EVENT)).alias("drift_event"),
-        F.when(F.col("mean") > UNDER_ESTIMATE, "under-estimate").when(F.col("mean") < OVER_RESERVE, "over-reservation").otherwise("steady").alias("class"),
+        F.when(F.col("mean") > UNDER_ESTIMATE, "under-estimate").when(F.col("mean") < OVER_RESERVE, "over-reservation").otherwise("steady").alias("class"), "state",
     )
 
 
@@ -277,91 +296,18 @@ def whole_div(a: Column, b: Column) -> Column:
     return (F.signum(a.cast("double")) * F.signum(d.cast("double")) * quotient).cast("long")
 
 
+def floor_div(a: Column, b: int) -> Column:
+    """Whole-number division, downwards."""
+    return ((a - F.pmod(a, F.lit(b).cast("long"))) / b).cast("long")
+
+
 def window_pledge(window: Column, min_mib: Column, max_mib: Column) -> Column:
     """Recent peak in whole MiB inside [min, max]."""
     peak = F.array_max(window)
     return F.least(F.greatest((peak - peak % MIB) / MIB, min_mib), max_mib).cast("long")
 
 
-# --- folds whose step does not combine -------------------------------------
-
-Step = Callable[[Any, dict], tuple[Any, dict]]
-
-
-def chunked_fold(
-    df: DataFrame,
-    keys: list[str],
-    at: str,
-    step: Step,
-    initial: tuple,
-    state_type: str,
-    out_type: str,
-    fan: int = 4096,
-) -> DataFrame:
-    """Run an ordered per-key state machine with a key's history split in blocks.
-
-    `at` numbers a key's rows from zero. Every block is folded from the initial
-    state at first; a block whose predecessor ended elsewhere is folded again
-    from the right state, until no entry changes. State machines forget, so
-    this settles after a round or two; in the worst case it walks the blocks in
-    order, and the result is exact either way. Between rounds only the small
-    table of block states is kept, written to the shared folder.
-    """
-    out_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(at, T.LongType()), *_fields(out_type)])
-    rows = df.withColumn("__block", F.expr(f"`{at}` div {int(fan)}"))
-    part = [*keys, "__block"]
-
-    spark = df.sparkSession
-    state_fields = _fields(state_type)
-    state_schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("__block", T.LongType()), T.StructField("__exit", T.StructType(state_fields))])
-    base = rows.groupBy(*part).agg(F.lit(None).cast(T.StructType(state_fields)).alias("__entry"))
-    todo, known = base.select(*part, F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(initial, state_fields)]).alias("__entry")), None
-    while True:
-        exits = _run_blocks(rows.join(todo, part), part, keys, at, step, initial, state_schema, "exit")
-        fresh = todo.join(exits, part)
-        table = fresh if known is None else known.join(todo.select(*part), part, "left_anti").unionByName(fresh)
-        path = scratch_path(spark, "fold")
-        table.write.parquet(path)
-        known = spark.read.parquet(path)
-        w = Window.partitionBy(*keys).orderBy("__block")
-        linked = known.withColumn("__want", F.lag("__exit").over(w)).withColumn("__first", F.row_number().over(w) == 1)
-        todo = linked.filter(~F.col("__first") & ~F.col("__want").eqNullSafe(F.col("__entry"))).select(
-            *part, F.col("__want").alias("__entry")
-        )
-        if todo.isEmpty():
-            return _run_blocks(rows.join(known.select(*part, "__entry"), part), part, keys, at, step, initial, out_schema, "rows")
-        todo_path = scratch_path(spark, "fold-todo")
-        todo.write.parquet(todo_path)
-        todo = spark.read.parquet(todo_path)
-
-
-def _fields(ddl: str) -> list[T.StructField]:
-    return T.StructType.fromDDL(ddl).fields
-
-
-def _run_blocks(rows, part, keys, at, step, initial, schema, mode):
-    names = [f.name for f in schema.fields]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        records = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
-        head = records[0]
-        state = _as_tuple(head["__entry"])
-        out = []
-        for record in records:
-            state, result = step(state, record)
-            if mode != "exit":
-                out.append({**{k: record[k] for k in keys}, at: record[at], **result})
-        if mode == "exit":
-            fields = schema["__exit"].dataType.fieldNames()
-            out = [{**{k: head[k] for k in part}, "__exit": dict(zip(fields, state))}]
-        return pd.DataFrame(out, columns=names)
-
-    return rows.groupBy(*part).applyInPandas(run, schema)
-
-
-def _as_tuple(entry) -> tuple:
-    return tuple(entry.values()) if isinstance(entry, dict) else tuple(entry)
+# --- hysteresis, grace periods and budgets ---------------------------------
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "step_no", width: int = scan.CHUNK_MS) -> DataFrame:
@@ -369,35 +315,32 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "step
     return scan.running(df, keys, order, {name: scan.count()}, width).withColumn(name, F.col(name) - 1)
 
 
-def pledge_moves(held: int | None, wanted: int, low: int) -> bool:
-    """Whether a pledge is worth announcing: the first one, one on the other side of
-    the minimum, or one that is far enough away for the size of the pledge held."""
-    if held is None:
-        return True
-    far = max(PLEDGE_FLOOR_MIB, held * PLEDGE_PERMILLE // 1000)
-    return min(held, wanted) <= low < max(held, wanted) or abs(wanted - held) >= far
+def pledge_band(wanted: Column, low: Column) -> tuple[Column, Column]:
+    """The pledges (whole MiB, from, to) that a reading leaves as they are.
 
+    A pledge moves when it lies on the other side of the minimum, or so far
+    from the reading that the difference reaches the floor and the share of the
+    pledge held.
+    """
+    share, whole = PLEDGE_PERMILLE, 1000
+    # held - wanted < floor(held * share / whole), and wanted - held likewise, solved for held.
+    up = F.greatest(wanted + (PLEDGE_FLOOR_MIB - 1), floor_div(whole * (wanted - 1), whole - share))
+    down = F.least(wanted - (PLEDGE_FLOOR_MIB - 1), -floor_div(-whole * (wanted + 1), whole + share))
+    return F.when(wanted > low, F.greatest(down, low + 1)).otherwise(down), F.when(wanted <= low, F.least(up, low)).otherwise(up)
 
-def pledge_step(state, row):
-    held = None if state[0] is None else int(state[0])
-    wanted = int(row["pledge_mib"])
-    emit = pledge_moves(held, wanted, int(row["min_mib"]))
-    held = wanted if emit else held
-    return (held,), {"emitted": emit, "held_mib": held}
 
+def pledge_updates(samples: DataFrame, keys: list[str], fan: int = fold.FAN, held: Column | None = None) -> DataFrame:
+    """Which pledge readings (numbered by `step_no`) are emitted, and the pledge then held.
 
-def ceiling_step(state, row):
-    """Arm on the first reading above the ceiling, kill after the grace, disarm below."""
-    since, slot = state
-    if slot != row["slot"]:
-        since = None
-    if not row["enforceable"] or row["observed"] <= row["ceiling"]:
-        return (None, row["slot"]), {"action": "disarm"}
-    if since is None:
-        return (int(row["at_ms"]), row["slot"]), {"action": "arm"}
-    if row["at_ms"] - since > CEILING_GRACE_MS:
-        return (None, row["slot"]), {"action": "kill"}
-    return (since, row["slot"]), {"action": "wait"}
+    `held` is the pledge before a key's first reading, null for none: the first
+    reading is then emitted.
+    """
+    wanted, least = F.col("pledge_mib").cast("long"), F.col("min_mib").cast("long")
+    low, high = pledge_band(wanted, least)
+    rows = samples.withColumns({"__low": low, "__high": high, "__from": F.lit(-fold.NOTHING) if held is None else F.coalesce(held, F.lit(-fold.NOTHING))})
+    out = fold.held_fold(rows, keys, "step_no", F.col("__low"), F.col("__high"), wanted, wanted, F.col("__from"), "__held", fan)
+    emitted = ~F.col("__held").between(F.col("__low"), F.col("__high"))
+    return out.select(*keys, "step_no", emitted.alias("emitted"), F.when(emitted, wanted).otherwise(F.col("__held")).alias("held_mib"))
 
 
 def ceiling_bytes(max_mib: Column) -> Column:
@@ -405,50 +348,123 @@ def ceiling_bytes(max_mib: Column) -> Column:
     return ((scaled - scaled % 1000) / 1000).cast("long")
 
 
-def flap_step(state, row):
-    """A firing restarts while fewer than three restarts lie in the window, else disables."""
-    at = int(row["at_ms"])
-    kept = [int(t) for t in state[0] if at - int(t) < FLAP_WINDOW_MS]
-    if len(kept) >= FLAP_MAX:
-        return (kept,), {"outcome": "disabled", "recent": len(kept)}
-    return ([*kept, at],), {"outcome": "restarted", "recent": len(kept)}
+def ceiling_actions(samples: DataFrame, keys: list[str], fan: int = fold.FAN, slot: Column | None = None, since: Column | None = None) -> DataFrame:
+    """Arm on the first reading above the ceiling, kill after the grace, disarm below; another slot starts anew.
 
+    The state is the time of arming. `slot` and `since` are those before a
+    key's first reading (null: none). Adds `action` and `since_ms`, the time of
+    arming after the reading.
+    """
+    none = F.lit(fold.NOTHING)
+    rows = scan.running(samples, keys, ["step_no"], {"__slot": scan.previous(F.struct(F.col("slot").alias("s")))}, fan)
+    before = F.when(F.col("__slot").isNotNull(), F.col("__slot.s")).otherwise(F.lit(None).cast("string") if slot is None else slot)
+    over = F.coalesce(F.col("enforceable") & (F.col("observed") > F.col("ceiling")), F.lit(False))
+    rows = rows.withColumns({"__over": over, "__anew": ~before.eqNullSafe(F.col("slot")), "__from": none if since is None else F.coalesce(since, none)})
+    over, anew, at = F.col("__over"), F.col("__anew"), F.col("at_ms").cast("long")
+    # While it lasts, a breach keeps a time of arming inside the grace; whatever else came before is replaced.
+    keeps = over & ~anew
+    low = F.when(keeps, at - CEILING_GRACE_MS).otherwise(F.lit(fold.WIDEST))
+    high = F.when(keeps, none - 1).otherwise(F.lit(-fold.WIDEST))
+    below = F.when(over & anew, at).otherwise(none)
+    above = F.when(over, at).otherwise(none)
+    out = fold.held_fold(rows, keys, "step_no", low, high, below, above, F.col("__from"), "__since", fan)
+    since_now = F.when(anew, none).otherwise(F.col("__since"))
+    action = F.when(~over, "disarm").when(since_now == none, "arm").when(at - since_now > CEILING_GRACE_MS, "kill").otherwise("wait")
+    after = F.when(action == "arm", at).when(action == "wait", since_now)
+    return out.select(*keys, "step_no", action.alias("action"), after.alias("since_ms"))
 
-def pledge_updates(samples: DataFrame, keys: list[str], fan: int = 4096) -> DataFrame:
-    """Which pledge readings (numbered by `step_no`) are emitted, and the pledge then held."""
-    return chunked_fold(samples, keys, "step_no", pledge_step, (None,), "held bigint", "emitted boolean, held_mib bigint", fan)
 
+def restart_budget(firings: DataFrame, keys: list[str], fan: int = 4096) -> DataFrame:
+    """Outcome of each firing; a disabling one is recorded but does not use the budget.
 
-def ceiling_actions(samples: DataFrame, keys: list[str], fan: int = 4096) -> DataFrame:
-    return chunked_fold(samples, keys, "step_no", ceiling_step, (None, None), "since bigint, slot string", "action string", fan)
+    A firing restarts while fewer than three restarts lie in the window, else
+    disables. Blocks of firings are folded from no restarts at first, and again
+    where the block before ended with others; restarts age out of the window, so
+    a quiet window ends that. Firings without one are walked block by block.
+    """
+    item = F.struct(F.col("step_no").alias("n"), F.col("at_ms").cast("long").alias("at"))
+    rows = firings.withColumn("__block", F.expr(f"step_no div {int(fan)}")).select(*keys, "__block", item.alias("e"))
+    part = [*keys, "__block"]
+    blocks = settle(rows.groupBy(*part).agg(F.array_sort(F.collect_list("e")).alias("list")), "firings")
+    empty = F.array().cast("array<bigint>")
 
+    def step(acc: Column, e: Column) -> Column:
+        kept = F.filter(acc["recent"], lambda t: e["at"] - t < FLAP_WINDOW_MS)
+        free = F.size(kept) < FLAP_MAX
+        seen = F.struct(e["n"].alias("n"), F.when(free, "restarted").otherwise("disabled").alias("outcome"), F.size(kept).alias("recent"))
+        return F.struct(F.when(free, F.concat(kept, F.array(e["at"]))).otherwise(kept).alias("recent"), F.concat(acc["out"], F.array(seen)).alias("out"))
 
-def restart_budget(firings: DataFrame, keys: list[str], fan: int = 4096) -> DataFrame:
-    """Outcome of each firing; a disabling one is recorded but does not use the budget."""
-    return chunked_fold(firings, keys, "step_no", flap_step, ([],), "recent array<bigint>", "outcome string, recent int", fan)
+    def run(todo: DataFrame) -> DataFrame:
+        start = F.struct(F.col("entry").alias("recent"), F.array().cast("array<struct<n: bigint, outcome: string, recent: int>>").alias("out"))
+        return blocks.join(todo, part).select(*part, "entry", F.aggregate("list", start, step).alias("s")).select(*part, "entry", F.col("s.recent").alias("exit"), F.col("s.out").alias("out"))
+
+    known = settle(run(blocks.select(*part, empty.alias("entry"))), "budget")
+    while True:
+        linked = known.withColumn("want", F.coalesce(F.lag("exit").over(Window.partitionBy(*keys).orderBy("__block")), empty))
+        todo = settle(linked.where(~F.col("want").eqNullSafe(F.col("entry"))).select(*part, F.col("want").alias("entry")), "budget-todo")
+        if todo.isEmpty():
+            discard(todo)
+            break
+        again = settle(known.join(todo.select(*part), part, "left_anti").unionByName(run(todo)), "budget")
+        for done in (known, todo):
+            discard(done)
+        known = again
+    return known.select(*keys, F.explode("out").alias("o")).select(*keys, F.col("o.n").alias("step_no"), F.col("o.outcome").alias("outcome"), F.col("o.recent").alias("recent"))
 
 
 # --- stalls and latches ----------------------------------------------------
 
 
-def counter_stalls(polls: DataFrame, keys: list[str], timeout_ms: int = STALL_TIMEOUT_MS, width: int = scan.CHUNK_MS) -> DataFrame:
+def counter_stalls(polls: DataFrame, keys: list[str], timeout_ms: int = STALL_TIMEOUT_MS, width: int = scan.CHUNK_MS, order: tuple[str, ...] = ("at_ms", "poll_id"), value: Column | None = None, advance: Column | None = None) -> DataFrame:
     """Polls at which progress has been flat for the timeout with requests in flight.
 
-    `polls`: keys, at_ms, progress (null when unreadable), inflight. An advance or
-    a regression reseeds, an idle poll resets, a missing reading never fires.
+    `polls`: keys, at_ms, poll_id, progress (null when unreadable), inflight;
+    `order` is total within a key. An advance or a regression reseeds, an idle
+    poll resets, a missing reading never fires. `value` and `advance` are the
+    progress and the time it last moved before a key's first poll, null for
+    none. Adds `flat_ms`, `stalled`, and both as they are after the poll.
     """
-    order = ["at_ms"]
-    rows = scan.running(polls, keys, order, {"__prior": scan.seen_before(F.col("progress")), "__first": scan.lowest(F.col("at_ms"))}, width)
-    moved = F.col("progress").isNotNull() & (F.col("__prior").isNull() | (F.col("progress") != F.col("__prior")))
+    nothing = F.lit(None).cast("bigint")
+    known, moved_at = (nothing if c is None else c for c in (value, advance))
+    rows = polls.withColumns({"__value": known, "__moved": moved_at})
+    rows = scan.running(rows, keys, list(order), {"__prior": scan.seen_before(F.col("progress")), "__first": scan.lowest(F.col("at_ms"))}, width)
+    prior = F.coalesce("__prior", "__value")
+    moved = F.col("progress").isNotNull() & (prior.isNull() | (F.col("progress") != prior))
     reset = F.when(moved | (F.col("inflight") == 0), F.col("at_ms"))
-    rows = scan.running(rows, keys, order, {"__advance": scan.last_seen(reset)}, width)
-    flat = F.col("at_ms") - F.coalesce("__advance", "__first")
+    rows = scan.running(rows, keys, list(order), {"__advance": scan.last_seen(reset)}, width)
+    since = F.coalesce("__advance", "__moved", "__first")
+    flat = F.col("at_ms") - since
     fires = F.col("progress").isNotNull() & (F.col("inflight") > 0) & (flat >= timeout_ms)
-    return rows.select(*polls.columns, flat.alias("flat_ms"), fires.alias("stalled"))
+    return rows.select(*polls.columns, flat.alias("flat_ms"), fires.alias("stalled"), F.coalesce("progress", "__prior", "__value").alias("value_after"), since.alias("advance_after"))
 
 
-def acceptance_latch(ticks: DataFrame, keys: list[str], width: int = scan.CHUNK_MS) -> DataFrame:
-    """Once a run has accepted a draft token it stays armed, whatever retention removes."""
+def acceptance_latch(ticks: DataFrame, keys: list[str], width: int = scan.CHUNK_MS, order: tuple[str, ...] = ("at_ms",)) -> DataFrame:
+    """Once a run has accepted a draft token it stays armed, whatever retention removes. `order` is total within a key."""
     armed = F.when(F.col("run_accepted") > 0, 1).otherwise(0)
-    rows = scan.running(ticks, keys, ["at_ms"], {"__armed": scan.highest(armed)}, width)
+    rows = scan.running(ticks, keys, list(order), {"__armed": scan.highest(armed)}, width)
     return rows.withColumn("ever_accepted", F.col("__armed") > 0).drop("__armed")
+
+
+def draft_windows(ticks: DataFrame, keys: list[str], window_ms: int, floor: int, width: int = scan.CHUNK_MS, earlier: Column | None = None, ever: Column | None = None) -> DataFrame:
+    """Draft counts of the window that ends at each tick, and whether drafting has collapsed.
+
+    `ticks`: keys, at_ms (unique within a key), drafted, accepted. A window
+    collapses when enough was drafted, none accepted, and some had been before.
+    `earlier` (array of at_ms, drafted, accepted) and `ever` are what a key
+    brings along. Adds `window_drafted`, `window_accepted`, `collapsed`,
+    `ticks_after` and `ever_after`.
+    """
+    one = F.struct(F.col("at_ms"), F.col("drafted").cast("bigint").alias("drafted"), F.col("accepted").cast("bigint").alias("accepted"))
+    known = F.lit(False) if ever is None else F.coalesce(ever, F.lit(False))
+    rows = scan.running(ticks.withColumn("__ever", known), keys, ["at_ms"], {"__now": scan.highest(F.when(F.col("accepted") > 0, 1).otherwise(0))}, width)
+    new = rows.select(*keys, "at_ms", one.alias("__tick"), F.col("__ever") | (F.col("__now") > 0), F.lit(True).alias("__new")).toDF(*keys, "at_ms", "__tick", "__armed", "__new")
+    if earlier is not None:
+        # What a key brings along rides on its first tick.
+        first = scan.running(ticks.withColumn("__earlier", earlier), keys, ["at_ms"], {"__n": scan.count()}, width).where("__n = 1")
+        old = first.select(*keys, F.explode("__earlier").alias("__tick")).select(*keys, F.col("__tick.at_ms").alias("at_ms"), "__tick", F.lit(None).cast("boolean").alias("__armed"), F.lit(False).alias("__new"))
+        new = new.unionByName(old)
+    seen = scan.within(new, keys, "at_ms", F.col("__tick"), "__seen", window_ms, width).where("__new")
+    total = lambda name: F.aggregate("__seen", F.lit(0).cast("bigint"), lambda acc, t: acc + F.coalesce(t[name], F.lit(0)))
+    out = seen.select(*keys, "at_ms", total("drafted").alias("window_drafted"), total("accepted").alias("window_accepted"), F.col("__armed").alias("ever_after"), F.col("__seen").alias("ticks_after"))
+    collapsed = (F.col("window_drafted") >= floor) & (F.col("window_accepted") == 0) & F.col("ever_after")
+    return out.withColumn("collapsed", collapsed)

@@ -8,55 +8,14 @@ from __future__ import annotations
 
 from meterloom.operators import sequences as S
 
-MIB = S.MIB
 
-
-def stall_step(state, row, timeout_ms=S.STALL_TIMEOUT_MS):
-    """Counter stall: flat progress for the timeout while requests are in flight."""
-    state = state or {"value": None, "advance": row["at_ms"]}
-    value, at = row["progress"], row["at_ms"]
-    advance, held = state["advance"], state["value"]
-    if value is not None and value != held:
-        held, advance = value, at
-    if row["inflight"] == 0:
-        advance = at
-    stalled = value is not None and row["inflight"] > 0 and at - advance >= timeout_ms
-    return {"value": held, "advance": advance}, {"at_ms": at, "poll_id": row["poll_id"], "flat_ms": at - advance, "stalled": stalled}
-
-
-def correction_step(state, row):
-    """Rolling correction of one pool; see the batch operator for the rules."""
-    s = dict(state or {"mean": 1.0, "samples": 0, "drift": 0, "before": None})
-    kind, prev = row["kind"], s["mean"]
-    if kind == "oom":
-        s["before"] = s["before"] or [s["mean"], s["samples"], s["drift"]]
-        s["mean"], s["samples"] = max(s["mean"], S.OOM_BUMP), max(s["samples"], S.TRUSTED_SAMPLES)
-    elif kind == "clean":
-        if s["before"]:
-            s["mean"], s["samples"], s["drift"] = s["before"]
-            s["before"] = None
-    else:
-        if not row["base"]:
-            return state, None
-        n = s["samples"] + 1
-        mean = (s["mean"] * (n - 1) + row["observed"] / row["base"]) / n
-        s["mean"], s["samples"] = min(max(mean, S.MEAN_LOW), S.MEAN_HIGH), n
-        s["drift"] = s["drift"] + 1 if abs(s["mean"] - 1.0) > S.DRIFT_BAND else 0
-    sample = kind == "sample"
-    return s, {
-        "seq": row["seq"], "kind": kind, "mean": s["mean"], "samples": s["samples"], "drift_samples": s["drift"],
-        "drift_alert": sample and s["drift"] >= S.DRIFT_ALERT, "drift_event": sample and abs((s["mean"] - prev) / prev) > S.DRIFT_EVENT,
-    }
-
-
-def collapse_step(state, row, window_ms=120_000, floor=200):
-    """Draft collapse over ticks: enough drafted, none accepted, and accepted before."""
-    s = dict(state or {"ticks": [], "ever": False})
-    at = row["at_ms"]
-    s["ticks"] = [t for t in s["ticks"] if at - t[0] < window_ms] + [[at, row["drafted"], row["accepted"]]]
-    s["ever"] = s["ever"] or row["accepted"] > 0
-    drafted, accepted = sum(t[1] for t in s["ticks"]), sum(t[2] for t in s["ticks"])
-    return s, {"at_ms": at, "window_drafted": drafted, "window_accepted": accepted, "collapsed": drafted >= floor and accepted == 0 and s["ever"]}
+def flap_step(state, row):
+    """A firing restarts while fewer than three restarts lie in the window, else disables."""
+    at = int(row["at_ms"])
+    kept = [int(t) for t in state[0] if at - int(t) < S.FLAP_WINDOW_MS]
+    if len(kept) >= S.FLAP_MAX:
+        return (kept,), {"outcome": "disabled", "recent": len(kept)}
+    return ([*kept, at],), {"outcome": "restarted", "recent": len(kept)}
 
 
 def first_output_step(state, row, timeout_ms=60_000):
@@ -102,33 +61,7 @@ def budget_step(state, row, max_age_ms=86_400_000, mode="immediate"):
         s["deadline"] = at + max_age_ms
     elif row["kind"] == "firing":
         # The run is drained whatever the outcome, and its age limit goes with it.
-        (recent,), found = S.flap_step((s["recent"],), row)
+        (recent,), found = flap_step((s["recent"],), row)
         s["recent"], s["deadline"] = [int(t) for t in recent], None
         out.append({"at_ms": at, "trigger": row["trigger"], "outcome": found["outcome"]})
     return s, out or None
-
-
-def memory_step(state, row):
-    """Window, pledge and ceiling of one service; a kill clears the window, growth is judged on what is left."""
-    s = dict(state or {"slot": None, "window": [], "held": None, "since": None})
-    slot, seen, at = row["slot"], int(row["observed"]), row["at_ms"]
-    if slot != s["slot"]:
-        s.update(slot=slot, window=[], since=None)
-    window = [*s["window"], seen][-S.WINDOW:]
-    low, high = int(row["min_mib"]), int(row["max_mib"])
-    pledge = min(max(max(window) // MIB, low), high)
-    emitted = S.pledge_moves(s["held"], pledge, low)
-    held = pledge if emitted else s["held"]
-    ceiling = high * MIB * S.CEILING_PERMILLE // 1000
-    (since, _), found = S.ceiling_step((s["since"], slot), {**row, "ceiling": ceiling})
-    if found["action"] == "kill":
-        window = []
-    return {"slot": slot, "window": window, "held": held, "since": since}, {
-        "at_ms": at, "sample_id": row["sample_id"], "low_mib": low, "pledge_mib": pledge, "held_mib": held, "emitted": emitted, "action": found["action"], "window": window,
-    }
-
-
-def sequence_step(state, row):
-    """Number lines of one run, going on across batches."""
-    n = state or 0
-    return n + 1, {"timestamp_ms": row["timestamp_ms"], "seq": n, "stream": row["stream"], "line": row["line"]}

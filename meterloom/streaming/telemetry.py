@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterloom.functions import columns as C
+from meterloom.functions import scan
 from meterloom.operators import sequences as S
 from meterloom.operators import telemetry as T
+from meterloom.session import settle
 from meterloom.streaming import steps
+from meterloom.streaming.carried import Carried
 from meterloom.streaming.keyed import fold_stream
 
 TICK = "30 seconds"
@@ -76,10 +79,22 @@ def draft_ticks(metrics: DataFrame, delay: str = "10 seconds", tick: str = TICK)
     return per.select("service_id", "run_id", F.unix_millis("w.end").alias("at_ms"), "drafted", "accepted")
 
 
-def draft_collapse_alerts(metrics: DataFrame, window_ms: int = WINDOW_S * 1000, floor: int = 200, delay: str = "10 seconds", tick: str = TICK) -> DataFrame:
-    step = partial(steps.collapse_step, window_ms=window_ms, floor=floor)
-    out = "at_ms bigint, window_drafted bigint, window_accepted bigint, collapsed boolean"
-    return fold_stream(draft_ticks(metrics, delay, tick), ["service_id", "run_id"], ["at_ms"], step, out)
+def _carrying(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what their key brings along, as `carried`."""
+    return rows.join(carry.withColumnRenamed("state", "carried"), keys, "left")
+
+
+def draft_collapse(window_ms: int = WINDOW_S * 1000, floor: int = 200, forget: int | None = 7 * 86_400_000) -> Carried:
+    """Draft collapse over `draft_ticks`. A run without a tick for `forget` ms is over."""
+    keys = ["service_id", "run_id"]
+
+    def fold(ticks: DataFrame, carry: DataFrame) -> DataFrame:
+        rows = _carrying(ticks, carry, keys)
+        out = S.draft_windows(rows, keys, window_ms, floor, earlier=F.col("carried.ticks"), ever=F.col("carried.ever"))
+        return out.withColumn("state", F.struct(F.col("ticks_after").alias("ticks"), F.col("ever_after").alias("ever")))
+
+    state = "struct<ticks: array<struct<at_ms: bigint, drafted: bigint, accepted: bigint>>, ever: boolean>"
+    return Carried(keys, ["at_ms"], state, ["at_ms", "window_drafted", "window_accepted", "collapsed"], fold, forget)
 
 
 def first_output_stalls(events: DataFrame, timeout_ms: int = 60_000, delay: str = "10 minutes") -> DataFrame:
@@ -88,9 +103,15 @@ def first_output_stalls(events: DataFrame, timeout_ms: int = 60_000, delay: str
     return fold_stream(events, ["service"], ["at_ms", "request", "kind"], step, "request string, run_id bigint, at_ms bigint", due, delay)
 
 
-def counter_stall_stream(polls: DataFrame, timeout_ms: int) -> DataFrame:
-    out = "at_ms bigint, poll_id bigint, flat_ms bigint, stalled boolean"
-    return fold_stream(polls, ["service"], ["at_ms", "poll_id"], partial(steps.stall_step, timeout_ms=timeout_ms), out)
+def counter_stalls(timeout_ms: int, forget: int | None = 7 * 86_400_000) -> Carried:
+    """Counter stalls over polls (service, at_ms, poll_id, progress, inflight)."""
+    keys = ["service"]
+
+    def fold(polls: DataFrame, carry: DataFrame) -> DataFrame:
+        rows = S.counter_stalls(_carrying(polls, carry, keys), keys, timeout_ms, value=F.col("carried.value"), advance=F.col("carried.advance"))
+        return rows.withColumn("state", F.struct(F.col("value_after").alias("value"), F.col("advance_after").alias("advance")))
+
+    return Carried(keys, ["at_ms", "poll_id"], "struct<value: bigint, advance: bigint>", ["at_ms", "poll_id", "flat_ms", "stalled"], fold, forget)
 
 
 def restart_decisions(events: DataFrame, max_age_ms: int = 86_400_000, mode: str = "immediate", delay: str = "10 minutes") -> DataFrame:
@@ -100,25 +121,53 @@ def restart_decisions(events: DataFrame, max_age_ms: int = 86_400_000, mode: str
     return fold_stream(events, ["service"], ["at_ms", "kind", "trigger", "inflight"], step, "at_ms bigint, trigger string, outcome string", due, delay)
 
 
-def memory_stream(samples: DataFrame, margin_bytes: int = 0) -> DataFrame:
-    """`samples`: service, at_ms, sample_id, slot, observed, enforceable, min_mib, max_mib.
+def memory(margin_bytes: int = 0, forget: int | None = 7 * 86_400_000) -> Carried:
+    """Window, pledge, ceiling and growth of every sample.
 
-    A service grows when its window does and heads past the minimum and the margin.
+    Samples: service, at_ms, sample_id, slot, observed, enforceable, min_mib,
+    max_mib. Another slot and a kill clear the window; a service grows when what
+    is left rises and heads past the minimum and the margin.
     """
-    out = "at_ms bigint, sample_id bigint, low_mib bigint, pledge_mib bigint, held_mib bigint, emitted boolean, action string, window array<bigint>"
-    rows = fold_stream(samples, ["service"], ["at_ms", "sample_id"], steps.memory_step, out)
-    growing = (F.col("action") != "kill") & S.growth(F.col("window"), F.col("low_mib") * S.MIB + margin_bytes)
-    return rows.select("service", "at_ms", "sample_id", "pledge_mib", "held_mib", "emitted", "action", growing.alias("growing"))
-
-
-def correction_stream(events: DataFrame) -> DataFrame:
-    out = "seq bigint, kind string, mean double, samples bigint, drift_samples bigint, drift_alert boolean, drift_event boolean"
-    return fold_stream(events, ["service", "pool"], ["seq"], steps.correction_step, out)
-
-
-def log_stream(lines: DataFrame) -> DataFrame:
-    """Number streamed lines per (service, run); the micro-batch is the write batch."""
-    return fold_stream(lines, ["service_id", "run_id"], ["timestamp_ms", "stream", "line"], steps.sequence_step, "timestamp_ms bigint, seq bigint, stream string, line string")
+    keys, fold_width = ["service"], 4096
+
+    def fold(samples: DataFrame, carry: DataFrame) -> DataFrame:
+        rows = settle(_carrying(S.numbered(samples, keys, ["at_ms", "sample_id"]), carry, keys).withColumn("ceiling", S.ceiling_bytes(F.col("max_mib"))), "samples")
+        acts = S.ceiling_actions(rows, keys, slot=F.col("carried.slot"), since=F.col("carried.since"))
+        rows = rows.join(acts, [*keys, "step_no"])
+        killed = F.when(F.col("action") == "kill", 1).otherwise(0).cast("bigint")
+        rows = scan.running(rows, keys, ["step_no"], {"kills": scan.total(killed)}, fold_width).withColumn("epoch", F.struct("slot", (F.col("kills") - killed).alias("kills")))
+        rows = settle(rows, "samples")
+        # The readings a service brings along stand before its first sample.
+        old = rows.where("step_no = 0").select(*keys, "carried", F.posexplode("carried.window").alias("n", "observed"))
+        old = old.select(*keys, (F.col("n") - F.size("carried.window")).cast("bigint").alias("step_no"), F.struct(F.col("carried.slot").alias("slot"), F.lit(0).cast("bigint").alias("kills")).alias("epoch"), "observed")
+        windows = S.sample_windows(rows.select(*old.columns).unionByName(old), keys, ["step_no"], "observed", "epoch", width=fold_width)
+        rows = rows.join(windows.where("step_no >= 0").select(*keys, "step_no", "window"), [*keys, "step_no"])
+        rows = settle(rows.withColumn("pledge_mib", S.window_pledge(F.col("window"), F.col("min_mib"), F.col("max_mib"))), "samples")
+        moves = S.pledge_updates(rows, keys, held=F.col("carried.held"))
+        rows = rows.join(moves, [*keys, "step_no"]).withColumn("window", F.when(F.col("action") == "kill", F.array().cast("array<bigint>")).otherwise(F.col("window")))
+        growing = (F.col("action") != "kill") & S.growth(F.col("window"), F.col("min_mib") * S.MIB + margin_bytes)
+        return rows.withColumns({"growing": growing, "state": F.struct("slot", "window", F.col("held_mib").alias("held"), F.col("since_ms").alias("since"))})
+
+    state = "struct<slot: string, window: array<bigint>, held: bigint, since: bigint>"
+    return Carried(keys, ["at_ms", "sample_id"], state, ["at_ms", "sample_id", "pledge_mib", "held_mib", "emitted", "action", "growing"], fold, forget)
+
+
+def correction(width: int = scan.CHUNK_MS) -> Carried:
+    """Rolling correction over events (service, pool, seq, kind, observed, base). What was learned is never forgotten."""
+    output = ["seq", "kind", "mean", "samples", "drift_samples", "drift_alert", "drift_event"]
+    return Carried(["service", "pool"], ["seq"], S.LEARNED, output, lambda events, carry: S.rolling_correction(events, width, learned=carry))
+
+
+def log_numbers(forget: int | None = 7 * 86_400_000) -> Carried:
+    """Number streamed lines per (service, run), going on across batches; the micro-batch is the write batch."""
+    keys, order = ["service_id", "run_id"], ["timestamp_ms", "stream", "line"]
+
+    def fold(lines: DataFrame, carry: DataFrame) -> DataFrame:
+        rows = S.numbered(_carrying(lines, carry, keys), keys, order, "seq")
+        rows = rows.withColumn("seq", F.col("seq") + F.coalesce("carried.next", F.lit(0)))
+        return rows.withColumn("state", F.struct((F.col("seq") + 1).alias("next")))
+
+    return Carried(keys, [*order, "seq"], "struct<next: bigint>", ["timestamp_ms", "seq", "stream", "line"], fold, forget)
 
 
 def feed_stream(feed: DataFrame, service: str | None = None, types: list[str] | None = None) -> DataFrame:

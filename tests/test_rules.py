@@ -122,20 +122,15 @@ def test_growth(spark, window, grows):
     assert df.select(S.growth(F.col("w"), F.lit(12)).alias("g")).first()["g"] is grows
 
 
-def test_ceiling_needs_a_sustained_breach():
-    state, seen = (None, None), []
-    for at, v in [(0, 5), (10_000, 20), (20_000, 20), (41_000, 20), (43_000, 20), (44_000, 5), (50_000, 20)]:
-        state, out = S.ceiling_step(state, {"at_ms": at, "slot": "g0", "observed": v, "ceiling": 10, "enforceable": True})
-        seen.append(out["action"])
-    assert seen == ["disarm", "arm", "wait", "kill", "arm", "disarm", "arm"]
-
-
-def test_flap_budget_ignores_disabled_firings():
-    state, seen = ([],), []
-    for at in (0, 60_000, 120_000, 180_000, 1_800_001, 1_800_002):
-        state, out = S.flap_step(state, {"at_ms": at})
-        seen.append(out["outcome"])
-    assert seen == ["restarted"] * 3 + ["disabled", "restarted", "disabled"]
+def test_ceiling_needs_a_sustained_breach(spark):
+    rows = [(0, 5), (10_000, 20), (20_000, 20), (41_000, 20), (43_000, 20), (44_000, 5), (50_000, 20)]
+    df = spark.createDataFrame([(1, n, at, "g0", v, 10, True) for n, (at, v) in enumerate(rows)], "k bigint, step_no bigint, at_ms bigint, slot string, observed bigint, ceiling bigint, enforceable boolean")
+    assert [r["action"] for r in S.ceiling_actions(df, ["k"]).orderBy("step_no").collect()] == ["disarm", "arm", "wait", "kill", "arm", "disarm", "arm"]
+
+
+def test_flap_budget_ignores_disabled_firings(spark):
+    df = spark.createDataFrame([(1, n, at) for n, at in enumerate((0, 60_000, 120_000, 180_000, 1_800_001, 1_800_002))], "k bigint, step_no bigint, at_ms bigint")
+    assert [r["outcome"] for r in S.restart_budget(df, ["k"]).orderBy("step_no").collect()] == ["restarted"] * 3 + ["disabled", "restarted", "disabled"]
 
 
 def test_counter_stall_cases(spark):

@@ -90,19 +90,6 @@ def test_clamped_fold_levels(spark, fan, levels):
             assert got[k, i] == pytest.approx(x)
 
 
-@pytest.mark.parametrize("fan", [3, 4096])
-def test_chunked_fold_equals_one_pass(spark, fan):
-    rng = random.Random(11)
-    data = [(k, i, rng.choice([600, 700, 1000, 1300, 512])) for k in range(4) for i in range(31)]
-    df = spark.createDataFrame([(k, i, p, 512) for k, i, p in data], "k bigint, step_no bigint, pledge_mib bigint, min_mib bigint").repartition(5)
-    got = {(r["k"], r["step_no"]): (r["emitted"], r["held_mib"]) for r in S.pledge_updates(df, ["k"], fan).collect()}
-    for k in range(4):
-        state = (None,)
-        for _, i, p in sorted(r for r in data if r[0] == k):
-            state, out = S.pledge_step(state, {"pledge_mib": p, "min_mib": 512})
-            assert got[k, i] == (out["emitted"], out["held_mib"])
-
-
 def test_trim_logs_ties_leave_together(spark):
     from meterloom.operators import telemetry as T
 
