@@ -2,7 +2,7 @@
 
 Everything on the scanning path is a column expression: candidates are extracted
 by regular expression, their features are built from the candidate, the text
-around it and the path, and the trained trees are one SQL expression.
+around it and the path, and the trained trees are walked by one SQL expression.
 """
 
 from __future__ import annotations
@@ -17,20 +17,24 @@ from pyspark.sql import functions as F
 
 from meterloom.llm.common import without
 
-_NAMED = r"(?i:passw|pass|pwd|secret|token|api[_.\-]?key|access[_.\-]?key|auth(?!or)|credential|private[_.\-]?key)[A-Za-z0-9_.\-]{0,24}"
+_NAMED = r"(?=[AaCcPpSsTt])(?i:passw|pass|pwd|secret|token|api[_.\-]?key|access[_.\-]?key|auth(?!or)|credential|private[_.\-]?key)[A-Za-z0-9_.\-]{0,24}"
+_OPEN = rf"""{_NAMED}["']?[ \t]{{0,3}}(?:[=:]{{1,2}}|=>|:=)[ \t]{{0,3}}"""
 _CLOSE = r"""[^\s"',;.)\]}]"""
-#: What can be a secret. The first look behind is short, so most places are left at once.
+#: What can be a secret, each with what stands before it. A place is tried once: what comes before
+#: a run of signs is part of the match, and runs are entered at their first sign only.
 CANDIDATE = "|".join(
     (
-        r"""(?<=[=:] ?["'])[^\s"']{8,}""",  # in quotes after = or :
-        # After a credential word and = or :, up to the next NAME= of a list.
-        rf"""(?<=[=:>][ \t]{{0,3}}["']?)(?<={_NAMED}["']?[ \t]{{0,3}}(?:[=:]{{1,2}}|=>|:=)[ \t]{{0,3}}["']?)(?!(?i:bearer|basic)\s)(?:(?![&,;][A-Za-z_]{{1,32}}=)[^\s"']){{5,}}(?![&,;][A-Za-z_]{{1,32}}=){_CLOSE}""",
-        rf"""(?<=[ \t])(?<=(?i:bearer|basic)[ \t]{{1,3}})[^\s"']{{7,}}{_CLOSE}""",
-        r"""(?<=:)(?<=://[^\s:/@"']{0,64}:)[^\s"'/]+(?=@)""",  # user:password@
-        # A run of 16 or more signs with a digit; of NAME=VALUE the value.
-        r"""(?<![A-Za-z0-9+/_.\-])(?![A-Za-z_][A-Za-z0-9_.\-]{0,64}={1,3}[A-Za-z0-9+/_.\-])(?=[A-Za-z+/_=.\-]*[0-9])[A-Za-z0-9+/_=.\-]{16,}""",
+        # 1-5: after a credential word and = or :, in quotes, or up to the next NAME= of a list.
+        rf"""({_OPEN})(?:(["'])([^\s"']{{8,}})|(["']?)(?!(?i:bearer|basic)\s)((?:(?![&,;][A-Za-z_]{{1,32}}=)[^\s"']){{5,}}(?![&,;][A-Za-z_]{{1,32}}=){_CLOSE}))""",
+        r"""([=:] ?["'])([^\s"']{8,})""",  # 6, 7: in quotes after = or :
+        rf"""((?i:bearer|basic)[ \t]{{1,3}})([^\s"']{{7,}}{_CLOSE})""",  # 8, 9
+        r"""(://[^\s:/@"']{0,64}:)([^\s"'/]+)(?=@)""",  # 10, 11: user:password@
+        # 12, 13: a run of 16 or more signs with a digit; of NAME=VALUE the value.
+        rf"""(?<![A-Za-z0-9+/_.\-=])(?=[A-Za-z0-9+/_=.\-]{{16}})(?![A-Za-z0-9_.\-]{{0,64}}?{_OPEN})((?:[A-Za-z_][A-Za-z0-9_.\-]{{0,64}}+={{1,3}}+(?=[A-Za-z0-9+/_.\-]))?+)((?=[A-Za-z+/_=.\-]*+[0-9])[A-Za-z0-9+/_=.\-]{{16,}}+)""",
     )
 )
+#: Groups of the pattern that stand before a candidate, and those that are one.
+BEFORE, FOUND = (1, 2, 4, 6, 8, 10, 12), (3, 5, 7, 9, 11, 13)
 MASK = "[SECRET]"
 AT_LEAST = 0.5
 TREES, DEPTH, SEED = 15, 6, 11
@@ -68,6 +72,7 @@ FEATURES = {
 
 
 _STRUCT = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in FEATURES.items()) + ")"
+_ARRAY = f"array({', '.join(FEATURES.values())})"
 
 
 def _bound(sql: str) -> str:
@@ -77,9 +82,25 @@ def _bound(sql: str) -> str:
 
 @dataclass(frozen=True)
 class Forest:
-    """Trees as one SQL expression over a struct `f` of features."""
-
-    sql: str
+    """Trees as lists over all nodes: feature and threshold of a split, its children, the share of label 1; leaves are their own children."""
+
+    roots: tuple = (0,)
+    feature: tuple = (0,)
+    threshold: tuple = (0.0,)
+    left: tuple = (0,)
+    right: tuple = (0,)
+    share: tuple = (1.0,)
+    depth: int = 0
+
+    @property
+    def sql(self) -> str:
+        """The score of an array `f` of features. The lists are constants, so the expression stays small however large the trees."""
+        held = lambda values, kind: f"cast(split('{' '.join(map(repr, values))}', ' ') as array<{kind}>)"
+        feature, left, right, roots = (held(v, "int") for v in (self.feature, self.left, self.right, self.roots))
+        threshold, share = held(self.threshold, "double"), held(self.share, "double")
+        step = f"if(f[{feature}[n]] <= {threshold}[n], {left}[n], {right}[n])"
+        leaf = f"aggregate(sequence(1, {self.depth}), r, (n, d) -> {step})" if self.depth else "r"
+        return f"aggregate({roots}, 0D, (a, r) -> a + {share}[{leaf}]) / {len(self.roots)}"
 
 
 def labelled_findings(spark: SparkSession, rows: int = 3_000) -> DataFrame:
@@ -92,7 +113,8 @@ def labelled_findings(spark: SparkSession, rows: int = 3_000) -> DataFrame:
     """
     base = spark.range(0, rows, 1, 4).withColumn("h", F.sha2(F.col("id").cast("string"), 512)).withColumn("b", F.regexp_replace(F.base64(F.unhex("h")), "[+/=]", "x"))
     kind, pick = F.pmod("id", F.lit(36)), F.pmod(F.xxhash64("id"), F.lit(6))
-    word = lambda k: F.element_at(F.array(*map(F.lit, DICTIONARY)), (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
+    listed = F.split(F.lit(" ".join(DICTIONARY)), " ")  # one constant, where an array would be a literal for each word
+    word = lambda k: F.element_at(listed, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     num = F.regexp_replace(F.col("h"), "[a-f]", "")
     two = F.concat(word(1), F.lit("_"), word(2))
     made = [
@@ -133,39 +155,67 @@ def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH) -> Forest
     known = findings.where("candidate is not null and candidate <> '' and label is not null")
     share = known.agg(F.avg("label"), F.min("label"), F.max("label")).first()
     if share[0] is None or share[1] == share[2]:
-        return Forest(str(float(1.0 if share[0] is None else share[0])) + "D")
+        return Forest(share=(1.0 if share[0] is None else float(share[0]),))
     rows = known.selectExpr(f"transform(array(named_struct('c', candidate, 'l', coalesce(left, ''), 'r', coalesce(right, ''), 'path', path)), x -> {_bound(_STRUCT)})[0] as f", "double(label) as label").select("f.*", "label")
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows).select("features", "label")
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED).fit(vector)
-    names = list(FEATURES)
+    nodes: list = []
 
-    def spelled(node) -> str:
+    def add(node) -> int:
+        number = len(nodes)
+        nodes.append((0, 0.0, number, number, 0.0))
         if node.subtreeDepth() == 0:
             counts = list(node.impurityStats().stats())
-            return f"{counts[1] / sum(counts):.6f}D"
-        split = node.split()
-        return f"if(f.{names[split.featureIndex()]} <= {split.threshold()!r}D, {spelled(node.leftChild())}, {spelled(node.rightChild())})"
+            nodes[number] = (0, 0.0, number, number, round(counts[1] / sum(counts), 6))
+        else:
+            split = node.split()
+            nodes[number] = (split.featureIndex(), split.threshold(), add(node.leftChild()), add(node.rightChild()), 0.0)
+        return number
+
+    roots = tuple(add(t._call_java("rootNode")) for t in model.trees)
+    return Forest(roots, *zip(*nodes), depth=max(t.depth for t in model.trees))
+
+
+_MARK = "\ufdd0"
 
-    parts = [spelled(t._call_java("rootNode")) for t in model.trees]
-    return Forest(f"({' + '.join(parts)}) / {len(parts)}")
 
+def _named_groups(pattern: str) -> str:
+    """Number the plain groups of a pattern by name, so that the next digit of a replacement can't be misread."""
+    count = iter(range(1, 100))
+    return re.sub(r"(?<!\\)\((?!\?)", lambda _: f"(?<g{next(count)}>", pattern)
 
-def _parts(text_col: str, path_col: str | None) -> dict[str, str]:
-    """SQL of the steps: candidates, the gaps between them, features and scores."""
-    quoted = CANDIDATE.replace("\\", "\\\\").replace("'", "\\'")
-    text, path = f"`{text_col}`", f"`{path_col}`" if path_col else "cast(null as string)"
-    has = f"coalesce({text} rlike '{quoted}', false)"
-    return {
-        "__cands": f"if({has}, regexp_extract_all({text}, '{quoted}', 0), cast(array() as array<string>))",
-        "__gaps": f"if({has}, split({text}, '{quoted}', -1), array({text}))",
-        "__feats": f"transform(__cands, (c, i) -> transform(array(named_struct('c', c, 'l', right(__gaps[i], 80), 'r', left(__gaps[i + 1], 20), 'path', {path})), x -> {_bound(_STRUCT)})[0])",
-    }
+
+def _let(value: str, name: str, body: str) -> str:
+    """SQL with a value computed once, however often the body (and its lambdas) use it."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
 def _scored(docs: DataFrame, forest: Forest, text_col: str, path_col: str | None) -> DataFrame:
-    for name, sql in _parts(text_col, path_col).items():
-        docs = docs.withColumn(name, F.expr(sql))
-    return docs.withColumn("__scores", F.expr(f"transform(__feats, f -> {forest.sql})"))
+    """Add `__found`: candidates `c`, the gaps around them `g` and a score for each.
+
+    The pattern runs once: it sets marks around candidates, and the text is cut
+    at the marks.
+    """
+    text, path = F.col(f"`{text_col}`"), f"`{path_col}`" if path_col else "cast(null as string)"
+    # A sign that Unicode keeps free for such use; a text that has it gets a mark made of its own hash.
+    mark = F.when(F.instr(text, _MARK) == 0, F.lit(_MARK)).otherwise(F.concat(F.lit(_MARK), F.hex(F.xxhash64(text)), F.lit(_MARK)))
+    before, found = ("".join(f"${{g{k}}}" for k in ks) for ks in (BEFORE, FOUND))
+    rows = docs.withColumn("__mark", mark)
+    marked = F.regexp_replace(text, F.lit(_named_groups(CANDIDATE)), F.concat(F.lit(before), F.col("__mark"), F.lit(found), F.col("__mark")))
+    rows = rows.withColumn("__cut", F.coalesce(F.split(marked, F.col("__mark"), -1), F.array(F.lit(""))))
+    place = f"named_struct('c', c, 'l', right(s.g[i], 80), 'r', left(s.g[i + 1], 20), 'path', {path})"
+    scores = f"transform(s.c, (c, i) -> transform(transform(array({place}), x -> {_bound(_ARRAY)}), f -> {forest.sql})[0])"
+    parts = _let("__cut", "u", _let("named_struct('c', filter(u, (x, i) -> i % 2 = 1), 'g', filter(u, (x, i) -> i % 2 = 0))", "s", f"named_struct('c', s.c, 'g', s.g, 'score', {scores})"))
+    return rows.withColumn("__found", F.expr(parts))
+
+
+def _starts(step: int = 512) -> str:
+    """SQL of the offsets of candidates, from the lengths of `s.c` and `s.g`; added up in steps, since an array that grows is copied."""
+    empty = "named_struct('at', 0, 'out', cast(array() as array<int>))"
+    inside = f"aggregate(slice(z, k * {step} + 1, {step}), {empty}, (a, e) -> named_struct('at', a.at + e.g + e.c, 'out', array_append(a.out, a.at + e.g)))"
+    parts = f"transform(sequence(0, greatest(size(z) - 1, 0) div {step}), k -> {inside})"
+    bases = f"aggregate(p, {empty}, (a, e) -> named_struct('at', a.at + e.at, 'out', array_append(a.out, a.at)), a -> a.out)"
+    return _let("transform(s.c, (c, i) -> named_struct('g', length(s.g[i]), 'c', length(c)))", "z", _let(parts, "p", f"flatten(zip_with(p, {bases}, (e, b) -> transform(e.out, o -> o + b)))"))
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, at_least: float = AT_LEAST) -> DataFrame:
@@ -175,14 +225,14 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
     others pass through; repeated rows are scanned each.
     """
     kept = without(docs, ["findings"])
-    starts = "aggregate(__cands, named_struct('at', 0, 'i', 0, 'out', cast(array() as array<int>)), (a, c) -> named_struct('at', a.at + length(__gaps[a.i]) + length(c), 'i', a.i + 1, 'out', array_append(a.out, a.at + length(__gaps[a.i]))), a -> a.out)"
-    found = "filter(transform(__cands, (c, i) -> named_struct('start', __starts[i], 'end', __starts[i] + length(c), 'score', __scores[i])), s -> s.score >= {})"
-    rows = _scored(kept, forest, text_col, path_col).withColumn("__starts", F.expr(starts))
-    return rows.select(*kept.columns, F.expr(found.format(float(at_least))).alias("findings"))
+    places = f"zip_with({_starts()}, s.c, (o, c) -> named_struct('start', o, 'end', o + length(c)))"
+    found = f"filter(zip_with({places}, s.score, (p, q) -> named_struct('start', p.start, 'end', p.end, 'score', q)), s -> s.score >= {float(at_least)})"
+    return _scored(kept, forest, text_col, path_col).select(*[F.col(f"`{c}`") for c in kept.columns], F.expr(_let("__found", "s", found)).alias("findings"))
 
 
 def redact(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str | None = None, at_least: float = AT_LEAST, mask: str = MASK) -> DataFrame:
     """`docs` with every secret in the text replaced by `mask`; null texts stay null, all rows stay."""
     rows = _scored(docs, forest, text_col, path_col)
-    tail = F.expr(f"array_join(transform(__cands, (c, i) -> concat(if(__scores[i] >= {float(at_least)}, '{mask}', c), __gaps[i + 1])), '')")
-    return rows.withColumn(text_col, F.concat(F.element_at("__gaps", 1), tail)).select(*docs.columns)
+    masked = f"concat(s.g[0], array_join(transform(s.c, (c, i) -> concat(if(s.score[i] >= {float(at_least)}, '{mask}', c), s.g[i + 1])), ''))"
+    whole = F.when(F.col(f"`{text_col}`").isNotNull(), F.expr(_let("__found", "s", masked)))
+    return rows.withColumn(text_col, whole).select(*[F.col(f"`{c}`") for c in docs.columns])
