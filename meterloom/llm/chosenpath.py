@@ -8,13 +8,15 @@ two branches a pair reaches a small node of a tree with probability 0.969 at
 any depth: the chance that it is never in one follows q = (1 - s + s q)^2, whose
 solution is 0.031. `TREES` independent trees miss it with probability 3e-8.
 
-Nodes stop in one of two ways. A small one is compared exhaustively, by tokens
-first. A large one whose child holds most of it is not taken further, since
-branching no longer separates it: such a crowd is dealt out in pieces that each
-get the crowd's centre, the set nearest to its most common tokens; what the
-centre does not bring together is then compared with the whole crowd. Either
-way sets that are alike by tokens go to exact comparison on whole sets in groups
-of bounded size, and a group gives at most one link per set.
+Branching goes on over the whole cluster while nodes are too large for a task;
+a node that fits is branched further inside one. It stops in one of two ways. A
+small node is compared exhaustively, by tokens first. A node whose child holds
+most of it is not taken further, since branching no longer separates it: such a
+crowd is dealt out in pieces that each get the crowd's centre, the set nearest
+to its most common tokens; what the centre does not bring together is then
+compared with the whole crowd. Either way sets that are alike by tokens go to
+exact comparison on whole sets in groups of bounded size, and a group gives at
+most one link per set.
 
 Texts with the same set take part once.
 """
@@ -38,10 +40,10 @@ SEED = 42
 TREES, BRANCHES, DEPTH = 5, 2, 5
 #: Minwise tokens of a set; the first TREES * BRANCHES name the children of the roots.
 TOKENS = 64
-#: Equal tokens of 64 that a pair needs to be compared exactly: a pair at 0.85 has fewer with probability below 1e-8.
-ALIKE = 34
-#: Sets of a node compared exhaustively, and shingles of a group compared exactly, at most.
-NODE, SHINGLES = 256, 1_000_000
+#: Equal tokens of 64 that a pair needs to be compared exactly: a pair at 0.85 has fewer with probability 4e-8.
+ALIKE = 36
+#: Sets of a node compared exhaustively, sets of a node branched inside a task, and shingles of a group compared exactly, at most.
+NODE, LOCAL, SHINGLES = 256, 4_096, 1_000_000
 #: A child with this share of its parent shows that branching does not separate the parent.
 CROWDED = 0.6
 #: Token comparisons held at once in a task.
@@ -119,93 +121,126 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> t
     return ids[some], root[some]
 
 
-def alike_groups(nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]], percent: int = PERCENT, shingles: int = SHINGLES) -> tuple[np.ndarray, np.ndarray]:
-    """Groups of sets to be compared exactly: (`gid`, `fp`), a name made of the members and each member.
+def alike(size: np.ndarray, tokens: np.ndarray, classes: np.ndarray | None = None, percent: int = PERCENT):
+    """Pairs (i < j) of sets that may be linked, a bounded number at a time: enough equal tokens, sizes near enough.
 
-    A node has ids, sizes, tokens and, or None, classes: sets of one class need
-    not be compared. Every pair of a node that may be linked is in a group.
+    `classes` is read again for every piece: pairs of one class are left out.
     """
-    import xxhash
-
-    gids: list = []
-    members: list = []
-
-    def named(fps: np.ndarray) -> None:
-        fps = np.sort(fps)
-        gids.append(np.full(len(fps), xxhash.xxh64_intdigest(fps.tobytes(), SEED), np.uint64))
-        members.append(fps)
-
-    for ids, size, tokens, classes in nodes:
-        n = len(ids)
-        label, edges = np.arange(n), []
-        step = max(1, PAIRS // n)
-        for a in range(0, n, step):
-            rows = slice(a, min(n, a + step))
-            near = (tokens[rows, None, :] == tokens[None, :, :]).sum(axis=2) >= ALIKE
-            near &= np.arange(n)[None, :] > np.arange(n)[rows, None]
-            near &= 100 * np.minimum(size[rows, None], size[None, :]) >= percent * np.maximum(size[rows, None], size[None, :])
+    n = len(size)
+    step = max(1, PAIRS // n)
+    for a in range(0, n, step):
+        rows = slice(a, min(n, a + step))
+        near = np.minimum(size[rows, None], size[None, :]) * 100 >= percent * np.maximum(size[rows, None], size[None, :])
+        near &= np.arange(n)[None, :] > np.arange(n)[rows, None]
+        i, j = np.nonzero(near)
+        for k in range(0, len(i), max(1, PAIRS // 8)):
+            x, y = i[k : k + max(1, PAIRS // 8)] + a, j[k : k + max(1, PAIRS // 8)]
             if classes is not None:
-                near &= classes[rows, None] != classes[None, :]
-            i, j = np.nonzero(near)
-            edges.append((i + a, j))
-            label = simhash._join(label, i + a, j)
+                some = classes[x] != classes[y]
+                x, y = x[some], y[some]
+            some = (tokens[x] == tokens[y]).sum(axis=1) >= ALIKE
+            yield x[some], y[some]
+
+
+class Found:
+    """Groups of sets to be compared exactly.
+
+    A group goes by its least member, so what several trees find of the same
+    copies falls together; `apart` keeps groups as they are. Very long texts
+    meet in pairs of their own.
+    """
+
+    def __init__(self, node: int = NODE, shingles: int = SHINGLES, apart: bool = False):
+        self.node, self.shingles, self.apart = node, shingles, apart
+        self.gids: list = []
+        self.members: list = []
+
+    def add(self, ids: np.ndarray, size: np.ndarray, tokens: np.ndarray, classes: np.ndarray | None = None) -> None:
+        """Compare all sets by tokens: what may be linked, directly or in steps, makes a group."""
+        label = np.arange(len(ids))
+        for i, j in alike(size, tokens, classes if classes is not None else label):
+            label[:] = simhash._join(label.copy(), i, j)
         order = np.argsort(label, kind="stable")
-        cuts = np.flatnonzero(np.diff(label[order])) + 1
-        for group in np.split(order, cuts):
-            if len(group) < 2:
-                continue
-            if len(group) == 2 or size[group].sum() <= shingles:
-                named(ids[group])
-                continue
-            inside = np.zeros(n, bool)
-            inside[group] = True
-            for i, j in edges:
-                for k in np.flatnonzero(inside[i]):
-                    named(ids[[i[k], j[k]]])
-    if not gids:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(gids).view(np.int64), np.concatenate(members)
-
-
-def _compared(nodes: DataFrame, classes: bool = False) -> DataFrame:
-    """Distinct (`gid`, `fp`) of nodes given as arrays `m` of fp, size, tokens and, if told so, class."""
+        for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            if len(group) > 1 and (len(group) > self.node or size[group].sum() <= self.shingles):
+                self._named(ids[group], _hash(*sorted(ids[group].tolist())) if self.apart else int(ids[group].min()))
+            elif len(group) > 1:
+                for i, j in alike(size[group], tokens[group], None if classes is None else classes[group]):
+                    for pair in zip(i.tolist(), j.tolist()):
+                        two = ids[group[list(pair)]]
+                        self._named(two, _hash(*sorted(two.tolist())))
+
+    def branch(self, ids: np.ndarray, size: np.ndarray, tokens: np.ndarray, name: int, depth: int, crowded: float) -> None:
+        """Branch a node until its parts are small, or branching no longer separates them."""
+        if len(ids) <= self.node or depth == 0:
+            self.add(ids, size, tokens)
+            return
+        parts = []
+        for b in range(BRANCHES):
+            token = tokens[:, TREES * BRANCHES + _hash(name, b) % (TOKENS - TREES * BRANCHES)]
+            order = np.argsort(token, kind="stable")
+            parts += [(b, p) for p in np.split(order, np.flatnonzero(np.diff(token[order])) + 1)]
+        if max(len(p) for _, p in parts) >= crowded * len(ids):
+            self.add(ids, size, tokens)
+            return
+        for b, p in parts:
+            if len(p) > 1:
+                self.branch(ids[p], size[p], tokens[p], _hash(name, b, int(tokens[p[0], 0])), depth - 1, crowded)
+
+    def _named(self, fps: np.ndarray, name: int) -> None:
+        self.gids.append(np.full(len(fps), name))
+        self.members.append(fps)
+
+    def batch(self) -> pa.RecordBatch:
+        """`gid` and `fp` of every member."""
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(p) if p else np.zeros(0), pa.int64()) for p in (self.gids, self.members)], names=["gid", "fp"])
+
+
+def _hash(*parts: int) -> int:
+    import xxhash
+
+    return xxhash.xxh64_intdigest(np.array(parts, np.int64).tobytes(), SEED) >> 1
+
+
+def _compared(nodes: DataFrame, node: int, depth: int, crowded: float, classes: bool = False) -> DataFrame:
+    """Distinct (`gid`, `fp`) of nodes given as `key` and an array `m` of fp, size, tokens and, if told so, class."""
 
     def run(batches):
         for batch in batches:
-            made = alike_groups([read(row.values) for row in batch.column(0)])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["gid", "fp"])
+            found = Found(node, apart=classes)
+            for key, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                members = row.values
+                ids, size = (members.field(name).to_numpy() for name in ("fp", "size"))
+                tokens = np.frombuffer(b"".join(members.field("tokens").to_pylist()), "<u2").reshape(len(ids), -1)
+                if classes:
+                    found.add(ids, size, tokens, members.field("class").to_numpy())
+                else:
+                    found.branch(ids, size, tokens, key, depth, crowded)
+            yield found.batch()
 
-    def read(members: pa.StructArray):
-        ids, size = (members.field(name).to_numpy() for name in ("fp", "size"))
-        tokens = np.frombuffer(b"".join(members.field("tokens").to_pylist()), "<u2").reshape(len(ids), -1)
-        return ids, size, tokens, members.field("class").to_numpy() if classes else None
-
-    return nodes.select("m").mapInArrow(run, "gid long, fp long").distinct()
+    return nodes.select("key", "m").mapInArrow(run, "gid long, fp long").distinct()
 
 
 def _stats(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("mix"), *more).where("n > 1")
 
 
-def _leaves(rows: DataFrame, stats: DataFrame, sets: DataFrame, node: int) -> DataFrame:
-    """Groups of the small nodes; nodes with the same members are one."""
-    small = stats.where(F.col("n") <= node).groupBy("n", "lo", "hi", "mix").agg(F.min("key").alias("key")).select("key")
-    held = rows.select("key", "fp").join(small, "key").join(sets.select("fp", "size", "tokens"), "fp")
-    return _compared(held.groupBy("key").agg(F.collect_list(F.struct("fp", "size", "tokens")).alias("m")))
-
-
-def grow(sets: DataFrame, node: int = NODE, depth: int = DEPTH, crowded: float = CROWDED) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Groups found in small nodes, and the members (`key`, `fp`, `n`) of crowds, level by level."""
+def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEPTH, crowded: float = CROWDED) -> list[DataFrame]:
+    """Groups (`gid`, `fp`) level by level: those of nodes that fit a task, and whole nodes that branching does not separate."""
     rows = sets.select(F.posexplode("roots").alias("token", "value"), "fp").select(F.xxhash64("token", "value").alias("key"), "fp")
-    found, crowds, stats = [], [], settle(_stats(rows), "nodes")
+    found, stats = [], settle(_stats(rows), "nodes")
     for level in range(1, depth + 1):
-        found.append(settle(_leaves(rows, stats, sets, node), "groups"))
-        large = stats.where(F.col("n") > node)
+        # Nodes with the same members are one.
+        alone = stats.groupBy("n", "lo", "hi", "mix").agg(F.min("key").alias("node"))
+        held = rows.join(alone.where(F.col("n") <= local).select("node"), F.col("key") == F.col("node")).select("key", "fp").join(sets.select("fp", "size", "tokens"), "fp")
+        lists = held.groupBy("key").agg(F.collect_list(F.struct("fp", "size", "tokens")).alias("m"))
+        found.append(settle(_compared(lists, node, depth - level, crowded), "groups"))
+        large = alone.where(F.col("n") > local).select(F.col("node").alias("large"), "n", "lo")
         if large.isEmpty():
             break
-        open_ = settle(rows.select("key", "fp").join(large.groupBy("n", "lo", "hi", "mix").agg(F.min("key").alias("key")).select("key", "n"), "key"), "open")
+        open_ = settle(rows.join(large, F.col("key") == F.col("large")).select("key", "fp", "n", "lo"), "open")
         if level == depth:
-            crowds.append(open_)
+            found.append(open_.select(F.col("lo").alias("gid"), "fp"))
             break
         # A node's tokens are chosen by its name, from those that no root uses.
         own = open_.join(sets.select("fp", "tokens"), "fp").withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
@@ -213,21 +248,21 @@ def grow(sets: DataFrame, node: int = NODE, depth: int = DEPTH, crowded: float =
         value = F.substring(F.col("tokens"), (2 * token + 1).cast("int"), F.lit(2))
         below = settle(own.select(F.xxhash64("key", "b", value).alias("key"), F.col("key").alias("parent"), F.col("n").alias("up"), "fp"), "children")
         stats = settle(_stats(below, F.first("parent").alias("parent"), F.first("up").alias("up")), "nodes")
-        full = stats.groupBy("parent").agg((F.max("n") >= crowded * F.first("up")).alias("full")).where("full").select("parent")
-        crowds.append(open_.join(full.select(F.col("parent").alias("key")), "key", "left_semi"))
+        full = settle(stats.groupBy("parent").agg((F.max("n") >= crowded * F.first("up")).alias("full")).where("full").select("parent"), "full")
+        found.append(open_.join(full, F.col("key") == F.col("parent"), "left_semi").select(F.col("lo").alias("gid"), "fp"))
         rows = below.join(full, "parent", "left_anti")
         stats = stats.join(full, "parent", "left_anti")
-    return found, crowds
+    return found
 
 
 def _centres(crowd: DataFrame, sets: DataFrame) -> DataFrame:
-    """(`key`, `centre`): of each crowd the set that agrees most with the most common tokens.
+    """(`gid`, `centre`): of each crowd the set that agrees most with the most common tokens.
 
     The tokens are counted on about `NODE` members per crowd, chosen by hash;
     that decides which set is the centre and nothing else.
     """
     held = crowd.join(sets.select("fp", "tokens"), "fp")
-    some = held.where(F.pmod(F.xxhash64("fp", "key"), "n") < NODE).groupBy("key").agg(F.collect_list("tokens").alias("some"))
+    some = held.where(F.pmod(F.xxhash64("fp", "gid"), "n") < NODE).groupBy("gid").agg(F.collect_list("tokens").alias("some"))
 
     def common(batches):
         for batch in batches:
@@ -235,48 +270,49 @@ def _centres(crowd: DataFrame, sets: DataFrame) -> DataFrame:
             for row in batch.column(1):
                 t = np.frombuffer(b"".join(row.as_py()), "<u2").reshape(-1, TOKENS)
                 made.append(np.array([np.bincount(t[:, c]).argmax() for c in range(TOKENS)], "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "mode"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["gid", "mode"])
 
     def agreeing(batches):
         for batch in batches:
             t, m = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, TOKENS) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((t != m).sum(axis=1))], names=["key", "fp", "off"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((t != m).sum(axis=1))], names=["gid", "fp", "off"])
 
-    modes = some.mapInArrow(common, "key long, mode binary")
-    scored = held.join(modes, "key").select("key", "fp", "tokens", "mode").mapInArrow(agreeing, "key long, fp long, off long")
-    return scored.groupBy("key").agg(F.min(F.struct("off", "fp")).alias("best")).select("key", F.col("best.fp").alias("centre"))
+    modes = some.mapInArrow(common, "gid long, mode binary")
+    scored = held.join(modes, "gid").select("gid", "fp", "tokens", "mode").mapInArrow(agreeing, "gid long, fp long, off long")
+    return scored.groupBy("gid").agg(F.min(F.struct("off", "fp")).alias("best")).select("gid", F.col("best.fp").alias("centre"))
 
 
 def _stars(crowd: DataFrame, centres: DataFrame, node: int) -> DataFrame:
-    """Crowds in pieces, each with the crowd's centre."""
-    parts = F.ceil(F.col("n") / (node // 2)).cast("long")
-    dealt = crowd.join(centres, "key").withColumn("part", F.pmod(F.xxhash64("fp"), parts))
-    heads = crowd.select("key", "n").distinct().join(centres, "key").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    both = dealt.select("key", "part", "fp").unionByName(heads.select("key", "part", F.col("centre").alias("fp")))
-    return both.select(F.xxhash64("key", "part").alias("gid"), "fp").distinct()
-
-
-def _strangers(crowd: DataFrame, classes: DataFrame, sets: DataFrame, node: int) -> DataFrame:
-    """Groups of what a crowd's centre left out, with all of the crowd: every piece of the one meets every piece of the other."""
-    known = crowd.join(classes, "fp", "left").withColumn("class", F.coalesce("root", "fp")).select("key", "fp", "n", "class")
-    sizes = known.groupBy("key", "class").agg(F.count(F.lit(1)).alias("k"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("k", "class")).alias("main"), F.sum("k").alias("all")).select("key", "main.class", F.col("all"), (F.col("all") - F.col("main.k")).alias("out")).where("out > 0").withColumnRenamed("class", "main")
-    here = known.join(main, "key").join(sets.select("fp", "size", "tokens"), "fp")
-    half = node // 2
-    many, few = F.ceil(F.col("all") / half).cast("long"), F.ceil(F.col("out") / half).cast("long")
+    """Crowds in pieces, each with the crowd's centre: `crowd`, `gid` of the piece, `fp`, `centre`, `n`."""
+    parts = F.ceil(F.col("n") / node).cast("long")
+    named = [F.col("gid").alias("crowd"), F.xxhash64("gid", "part").alias("gid")]
+    dealt = crowd.join(centres, "gid").withColumn("part", F.pmod(F.xxhash64("fp"), parts)).select(*named, "fp", "centre", "n")
+    heads = centres.join(crowd.groupBy("gid").agg(F.first("n").alias("n")), "gid").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    return dealt.where("fp <> centre").unionByName(heads.select(*named, F.col("centre").alias("fp"), "centre", "n"))
+
+
+def _strangers(pieces: DataFrame, made: DataFrame, sets: DataFrame, node: int) -> DataFrame:
+    """Groups of what a crowd's centre left out, with all of the crowd: every part of the one meets every part of the other."""
+    rooted = pieces.join(made.select("gid", F.col("u").alias("fp"), "v"), ["gid", "fp"], "left").withColumn("root", F.coalesce("v", "fp"))
+    heart = rooted.where("fp = centre").select("gid", F.col("root").alias("heart"))
+    known = rooted.join(heart, "gid").withColumn("out", F.col("root") != F.col("heart"))
+    known = settle(known.groupBy("crowd", "fp").agg(F.min("out").alias("out"), F.first("centre").alias("centre")), "crowd-members")
+    sizes = known.groupBy("crowd").agg(F.sum(F.col("out").cast("long")).alias("few"), F.count(F.lit(1)).alias("many")).where("few > 0")
+    here = known.join(sizes, "crowd").join(sets.select("fp", "size", "tokens"), "fp")
+    many, few = (F.ceil(F.col(c) / (node // 2)).cast("long") for c in ("many", "few"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    own = F.pmod(F.xxhash64("fp"), many)
-    out = F.pmod(F.xxhash64("fp", F.lit(SEED)), few)
-    member = F.struct("fp", "size", "tokens", "class").alias("m")
-    left = here.where(F.col("class") != F.col("main")).select("key", out.alias("a"), F.explode(upto(many)).alias("b"), member)
-    right = here.select("key", F.explode(upto(few)).alias("a"), own.alias("b"), member)
-    tiles = left.unionByName(right).groupBy("key", "a", "b").agg(F.collect_set("m").alias("m"))
-    return _compared(tiles, classes=True)
+    # What the centre has brought together need not be compared again.
+    kind = F.when(F.col("out"), F.col("fp")).otherwise(F.col("centre")).alias("class")
+    member = F.struct("fp", "size", "tokens", kind).alias("m")
+    left = here.where("out").select("crowd", F.pmod(F.xxhash64("fp", F.lit(SEED)), few).alias("a"), F.explode(upto(many)).alias("b"), member)
+    right = here.select("crowd", F.explode(upto(few)).alias("a"), F.pmod(F.xxhash64("fp"), many).alias("b"), member)
+    tiles = left.unionByName(right).groupBy("crowd", "a", "b").agg(F.collect_set("m").alias("m"))
+    return _compared(tiles.withColumnRenamed("crowd", "key"), node, 0, 1.0, classes=True)
 
 
 def verified(groups: DataFrame, rows: DataFrame, sets: DataFrame, text_col: str, percent: int) -> DataFrame:
-    """Links (`u`, `v`), v the smaller, that whole sets confirm within each group."""
-    wanted = groups.join(sets.select("fp", "row"), "fp")
+    """(`gid`, `u`, `v`): the sets u of each group that whole sets link to a smaller one, and the smallest v they reach in it."""
+    wanted = groups.select("gid", "fp").join(sets.select("fp", "row"), "fp")
     texts = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
     # One side is a list of row numbers: where it is small the texts of other rows need not move at all.
     needed = wanted.select("row").distinct()
@@ -290,41 +326,42 @@ def verified(groups: DataFrame, rows: DataFrame, sets: DataFrame, text_col: str,
         for batch in batches:
             for gid, fp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if gid != now:
-                    yield from _links(ids, sets, percent)
+                    yield from _links(now, ids, sets, percent)
                     now, ids, sets = gid, [], []
                 ids.append(fp)
                 sets.append(shingle_set(text.as_py()))
-        yield from _links(ids, sets, percent)
+        yield from _links(now, ids, sets, percent)
 
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    return settle(dealt.mapInArrow(compare, "gid long, u long, v long"), "links")
 
 
 #: Row numbers (8 bytes each) sent to every executor at most.
 BROADCAST_ROWS = 500_000
 
 
-def _links(ids: list, sets: list, percent: int):
+def _links(gid: int, ids: list, sets: list, percent: int):
     if len(ids) > 1:
         u, v = linked(np.array(ids, np.int64), sets, percent)
         if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), gid), pa.int64()), pa.array(u), pa.array(v)], names=["gid", "u", "v"])
 
 
-def links(rows: DataFrame, text_col: str, percent: int = PERCENT, node: int = NODE, depth: int = DEPTH, crowded: float = CROWDED) -> DataFrame:
-    """Links that join the sets of `rows` (with `__row` and the columns of the sketch) into groups."""
+def links(rows: DataFrame, text_col: str, percent: int = PERCENT, node: int = NODE, local: int = LOCAL, depth: int = DEPTH, crowded: float = CROWDED) -> DataFrame:
+    """(`fp`, `root`): every set of `rows` (with `__row` and the sketch) that is linked, with the smallest one it reaches."""
     distinct = rows.where("__size > 0").groupBy(F.col("__set").alias("fp")).agg(F.min("__row").alias("row"), F.first("__size").alias("size"), F.first("__roots").alias("roots"), F.first("__tokens").alias("tokens"))
     sets = settle(distinct, "sets")
-    found, crowds = grow(sets, node, depth, crowded)
-    wanted = [*found]
-    crowd = settle(_all(crowds), "crowds") if crowds else None
-    if crowd is not None and not crowd.isEmpty():
-        wanted.append(_stars(crowd, _centres(crowd, sets), node))
-    edges = settle(verified(_all(wanted).distinct(), rows, sets, text_col, percent), "links")
-    if len(wanted) > len(found):
-        rest = settle(_strangers(crowd, simhash.groups(edges), sets, node), "groups")
+    found = settle(_all(grow(sets, node, local, depth, crowded)).distinct(), "groups")
+    crowds = found.groupBy("gid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * node)
+    crowd = settle(found.join(crowds, "gid"), "crowds")
+    if crowd.isEmpty():
+        made = verified(found, rows, sets, text_col, percent)
+    else:
+        pieces = settle(_stars(crowd, _centres(crowd, sets), node), "pieces")
+        made = verified(found.join(crowds, "gid", "left_anti").unionByName(pieces.select("gid", "fp")), rows, sets, text_col, percent)
+        rest = settle(_strangers(pieces, made, sets, node), "groups")
         if not rest.isEmpty():
-            edges = edges.unionByName(settle(verified(rest, rows, sets, text_col, percent), "links"))
-    return edges
+            made = made.unionByName(verified(rest, rows, sets, text_col, percent))
+    return simhash.groups(made.select("u", "v").distinct())
 
 
 def _all(tables: list[DataFrame]) -> DataFrame:
@@ -334,7 +371,7 @@ def _all(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, node: int = NODE, depth: int = DEPTH, crowded: float = CROWDED) -> DataFrame:
+def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT, node: int = NODE, local: int = LOCAL, depth: int = DEPTH, crowded: float = CROWDED) -> DataFrame:
     """Add `n_shingles`, `component_id` (the smallest id reachable) and `kept` (the row has that id).
 
     One row per input row, repeated rows included. Texts without words and null
@@ -347,9 +384,12 @@ def near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     kept = without(docs, ["n_shingles", "component_id", "kept", "__row", *_SCHEMA.names])
     sketched = map_text(kept, text_col, _SCHEMA, _sketched)
     rows = settle(sketched.withColumn("__row", F.monotonically_increasing_id()), "sketched")
-    full = rows.where("__size > 0").select(F.col("__set").alias("fp"), F.col(f"`{id_col}`").alias("id"))
-    found = simhash._rooted(full, F.col("id"), links(rows, text_col, percent, node, depth, crowded)).select("fp", "best")
-    own = F.when(F.col("__size") > 0, F.col("best")).otherwise(F.col(f"`{id_col}`"))
-    out = rows.drop(text_col).join(found.withColumnRenamed("fp", "__set"), "__set", "left")
+    grouped = links(rows, text_col, percent, node, local, depth, crowded)
+    least = rows.where("__size > 0").groupBy(F.col("__set").alias("fp")).agg(F.min(F.col(f"`{id_col}`")).alias("best"))
+    rooted = least.join(grouped, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("__best"))
+    found = rooted.select("fp", "root").join(best, "root").select(F.col("fp").alias("__set"), "__best")
+    own = F.when(F.col("__size") > 0, F.col("__best")).otherwise(F.col(f"`{id_col}`"))
+    out = rows.drop(text_col).join(found, "__set", "left")
     passed = [F.col(f"`{c}`") for c in without(kept, [text_col]).columns]
     return out.select(*passed, F.col("__size").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col(f"`{id_col}`") == own, F.lit(False)).alias("kept"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterloom.functions.scan import running, total
 from meterloom.llm import bpe, chosenpath, decontaminate, divergence, fixity, language, licenses, periodic, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
 
@@ -41,16 +40,15 @@ PER_FILE = 4_096
 
 
 def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as WARC records, against a replica with changed, lost and added records."""
-    pages = table(spark, sf_dir, "pages")
-    whole = pages.select("page_id", F.floor(F.col("page_id") / PER_FILE).alias("file"), fixity.record("url", "page_id", "html").alias("record"))
+    """Pages as WARC records, against a second copy with records changed, cut out and added; what follows them moves."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html", F.floor(F.col("page_id") / PER_FILE).alias("file"))
+    record = fixity.record("url", "page_id", "html")
+    primary = pages.select("file", "page_id", F.lit(0).alias("part"), record.alias("record"))
     bad = F.overlay("record", F.lit(b"#"), F.octet_length("record") - 4)
-    slim = whole.select("page_id", "file", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("digest"), F.when(F.col("page_id") % 97 == 5, F.sha2(bad, 256)).alias("bad"))
-    placed = running(slim, ["file"], ["page_id", "digest"], {"through": total(F.col("size"))}, width=256).withColumn("offset", F.col("through") - F.col("size"))
-    primary = placed.select("file", "offset", "digest")
-    kept = placed.where("page_id % 193 <> 7").select("file", "offset", F.coalesce("bad", "digest").alias("digest"))
-    added = placed.where("page_id % 389 = 11").select("file", (F.col("offset") + 1).alias("offset"), "digest")
-    return fixity.audit(primary, kept.unionByName(added))
+    kept = primary.where("page_id % 192 <> 40").withColumn("record", F.when(F.col("page_id") % 96 == 5, bad).otherwise(F.col("record")))
+    added = pages.where("page_id % 384 = 200").withColumn("page_id", -F.col("page_id")).select("file", (-F.col("page_id")).alias("page_id"), F.lit(1).alias("part"), record.alias("record"))
+    sides = (fixity.leaves(x, offset_col=None, order=["page_id", "part"]) for x in (primary, kept.unionByName(added)))
+    return fixity.audit(*sides)
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,21 +162,23 @@ ORACLE: dict[str, str] = {
         select doc_id, line::int as line, licence, digest from (select doc_id, line, sha256(unit) as digest from u where unit <> '') join k using (digest)
     """,
     "op7_fixity": f"""
-        with r as (
-            select page_id, page_id // {PER_FILE} as file, html,
-                'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url
+        with i as (select page_id, page_id // {PER_FILE} as file, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+        x as (select *, 0 as part, page_id as name from i union all select *, 1, -page_id from i where page_id % 384 = 200),
+        r as (
+            select page_id, file, part, html, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || name || '>\r\nWARC-Target-URI: ' || url
                 || '\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' || html as body
-            from (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages)
+            from x
         ),
         d as (
-            select page_id, file, sha256(body || '\r\n\r\n') as digest,
-                sha256(encode(body)[: strlen(body) - 1] || encode('#\r\n\r\n')) as bad, strlen(body) + 4 as size
+            select page_id, file, part, strlen(body) + 4 as size, sha256(body || '\r\n\r\n') as digest,
+                case when part = 0 and page_id % 96 = 5 then sha256(encode(body)[: strlen(body) - 1] || encode('#\r\n\r\n')) else sha256(body || '\r\n\r\n') end as other
             from r
         ),
-        p as (select *, sum(size) over (partition by file order by page_id, digest rows unbounded preceding) - size as begins from d)
-        select file, begins::bigint as "offset", 'missing' as fault, digest as primary_digest, null as replica_digest from p where page_id % 193 = 7
-        union all select file, begins::bigint, 'changed', digest, bad from p where page_id % 97 = 5 and page_id % 193 <> 7
-        union all select file, begins::bigint + 1, 'extra', null, digest from p where page_id % 389 = 11
+        p as (select *, sum(size) over (partition by file order by page_id, digest rows unbounded preceding) - size as begins from d where part = 0),
+        q as (select *, sum(size) over (partition by file order by page_id, part, other rows unbounded preceding) - size as begins from d where part = 1 or page_id % 192 <> 40)
+        select file, p.begins::bigint as "offset", null::bigint as replica_offset, 'missing' as fault, digest as primary_digest, null as replica_digest from p where page_id % 192 = 40
+        union all select p.file, p.begins::bigint, q.begins::bigint, 'changed', p.digest, q.other from p join q on p.page_id = q.page_id and p.part = q.part where p.page_id % 96 = 5
+        union all select file, begins::bigint, begins::bigint, 'extra', null, other from q where part = 1
     """,
     "op2_top_k": """
         with v as (

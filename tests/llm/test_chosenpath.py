@@ -63,7 +63,7 @@ def expected(rows):
     return {i: (n, c, c == i) for i, (n, c) in plain_components(rows).items()}
 
 
-@pytest.mark.parametrize("settings", [{}, {"node": 4, "depth": 3}, {"node": 6, "depth": 1}, {"node": 4, "depth": 4, "crowded": 0.3}])
+@pytest.mark.parametrize("settings", [{}, {"node": 4, "local": 4, "depth": 3}, {"node": 6, "local": 20, "depth": 1}, {"node": 2, "local": 12, "depth": 4, "crowded": 0.3}])
 def test_components_against_brute_force_jaccard(spark, settings):
     rows = texts(12)
     want = expected(rows)
@@ -81,8 +81,8 @@ def test_a_crowd_around_one_text(spark):
     rows = list(enumerate(rows))
     want = expected(rows)
     assert 1 < len({w[1] for w in want.values()}) < 40
-    for node in (8, 16, 256):
-        assert found(chosenpath.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), node=node)) == want
+    for node, local in ((8, 8), (16, 1000), (256, 4096)):
+        assert found(chosenpath.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), node=node, local=local)) == want
 
 
 def test_groups_hold_every_alike_pair(monkeypatch):
@@ -95,7 +95,9 @@ def test_groups_hold_every_alike_pair(monkeypatch):
     assert len(near) > 8
     for pairs, shingles in ((1, 10**6), (200_000, 150)):
         monkeypatch.setattr(chosenpath, "PAIRS", pairs)
-        gid, fp = chosenpath.alike_groups([(ids, size, tokens, None)], shingles=shingles)
+        made = chosenpath.Found(shingles=shingles)
+        made.add(ids, size, tokens)
+        gid, fp = (c.to_numpy() for c in made.batch().columns)
         held = [set(fp[gid == g].tolist()) for g in np.unique(gid)]
         assert all(any({a, b} <= h for h in held) for a, b in near)
         assert shingles > 1000 or max(map(len, held)) == 2

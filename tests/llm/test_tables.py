@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from meterloom.llm import decontaminate, fixity, licenses, secrets, simhash, topk, toxicity
 from meterloom.llm.common import table
+from test_nearcopies import plain_kept
 from test_texts import SCHEMA, empty, odd  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -188,7 +189,35 @@ def test_fixity_finds_every_fault(spark):
         assert got == [(0, 100, "changed"), (1, 500, "missing"), (1, 2999, "extra"), (2, 2950, "changed"), (6, 0, "extra")]
     assert fixity.audit(made(rows), made(rows)).count() == 0
     nothing = made(rows).where("false")
-    assert fixity.audit(nothing, nothing).count() == 0 and fixity.audit(made(rows), nothing).where("fault = 'missing'").count() == len(rows) - 1
+    assert fixity.audit(nothing, nothing).count() == 0 and fixity.audit(made(rows), nothing).where("fault = 'missing'").count() == len(rows)
+
+
+def test_records_behind_a_cut_only_move(spark):
+    """Records cut out, changed and added; equal records, one after another and apart."""
+    rows = [(f, i, 0, f"{f}-{i % 7 if f == 2 else i}" * (1 + i % 3)) for f in (0, 1, 2, 3) for i in range(40)]
+    bad = []
+    for f, i, part, r in rows:
+        if (f, i) in ((0, 10), (0, 11), (1, 0), (2, 39)):
+            continue
+        bad.append((f, i, part, "changed" if (f, i) in ((0, 20), (1, 1)) else r))
+        if (f, i) in ((0, 30), (3, 39)):
+            bad += [(f, i, 1, "added"), (f, i, 2, "added")]
+    made = lambda x: fixity.leaves(spark.createDataFrame(x, "file long, n long, part int, record string").withColumn("record", F.col("record").cast("binary")), offset_col=None, order=["n", "part"])
+
+    def offsets(x):
+        at, out = defaultdict(int), {}
+        for f, i, part, r in x:
+            out[f, i, part] = at[f]
+            at[f] += len(r)
+        return out
+
+    mine, theirs = offsets(rows), offsets(bad)
+    want = [(0, mine[0, i, 0], "missing", None) for i in (10, 11)] + [(0, mine[0, 20, 0], "changed", theirs[0, 20, 0])] + [(f, theirs[f, i, k], "extra", theirs[f, i, k]) for f, i in ((0, 30), (3, 39)) for k in (1, 2)]
+    # At the start of a file nothing stands before: the changed record takes the place of the one cut out.
+    want += [(1, mine[1, 0, 0], "changed", theirs[1, 1, 0]), (1, mine[1, 1, 0], "missing", None), (2, mine[2, 39, 0], "missing", None)]
+    for stretch, fan in ((16, 2), (1 << 18, 16)):
+        got = [(r["file"], r["offset"], r["fault"], r["replica_offset"]) for r in fixity.audit(made(rows), made(bad), stretch, fan).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 # Pipeline
@@ -211,12 +240,7 @@ def test_pipeline_against_a_plain_version(spark):
     learn = fold("doc_id", 5) != 0
     model = toxicity.train(docs.where(learn), table(spark, SMALL, "labels").where(learn))
     left = {r["doc_id"] for r in toxicity.score(docs, model).where("score < 0.5").collect()}
-    prints = {i: simhash.fingerprint_of(rows[i]["text"]) for i in left}
-    group = plain_groups(prints.values())
-    first = {}
-    for i in sorted(left):
-        first.setdefault(group[prints[i]], i)
-    left = set(first.values())
+    left = plain_kept([(i, rows[i]["text"]) for i in left])
     items = [(r[0], r[1]) for r in table(spark, SMALL, "benchmark").select("item_id", "text").collect()]
     left -= {h[0] for h in plain_hits([(i, rows[i]["text"]) for i in left], items, decontaminate.STRIDE)}
     import public_tokenizers
