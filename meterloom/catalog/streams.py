@@ -10,6 +10,7 @@ from meterloom.catalog import telemetry as TQ
 from meterloom.session import scratch_path
 from meterloom.sources import bindings as B
 from meterloom.sources import stores
+from meterloom.streaming import sinks
 from meterloom.streaming import telemetry as ST
 from meterloom.streaming.carried import run_carried
 from meterloom.streaming.keyed import run_to_table
@@ -77,6 +78,57 @@ def _logs(s, d):
     return out.select("service_id", "run_id", "timestamp_ms", "seq", F.md5("line").alias("line_md5"))
 
 
+def _in_batches(s, df: DataFrame, by: str, label: str, parts: int = 3) -> DataFrame:
+    """A table as a stream of several micro-batches, one file each."""
+    path = scratch_path(s, label)
+    df.repartition(parts, F.pmod(F.xxhash64(by), F.lit(parts))).sortWithinPartitions(by).write.parquet(path)
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _twice(save):
+    """Every batch is saved, and saved once more, as after a lost executor."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        save(batch, batch_id)
+        save(batch, batch_id)
+
+    return run
+
+
+def _appended(s, d):
+    path = scratch_path(s, "metrics")
+    stream = _in_batches(s, B.request_metrics(s, d), "metric_id", "metrics-in")
+    sinks.drain(stream, _twice(lambda batch, n: sinks.save_metrics(batch, n, path)), scratch_path(s, "metrics-checkpoint"))
+    rows = sinks.read_appended_metrics(s, path)
+    return rows.groupBy(F.col("dt").cast("string").alias("dt"), "service_id").agg(F.count(F.lit(1)).alias("n"), F.sum("duration_ms").alias("duration"), F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
+def _tally(s, d):
+    """The tally after the last batch, beside what the capped history still holds."""
+    base, history = scratch_path(s, "tally"), scratch_path(s, "history")
+    seen = []
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        sinks.save_tally(batch, batch_id, base)
+        sinks.save_history(batch, batch_id, history, 5)
+        seen.append(batch_id)
+
+    stream = _in_batches(s, B.service_restarts(s, d), "restart_id", "restarts-in")
+    sinks.drain(stream, _twice(save), scratch_path(s, "tally-checkpoint"))
+    left = s.read.schema(stream.schema).parquet(f"{history}/batch_id={seen[-1]}")
+    left = left.groupBy("service_id", "trigger_name").agg(F.count(F.lit(1)).alias("in_history"))
+    return sinks.read_tally(s, base, seen[-1]).join(left, ["service_id", "trigger_name"], "left").fillna(0, ["in_history"])
+
+
+def _log_union(s, d):
+    logs = B.service_logs(s, d)
+    seed = logs.filter(F.col("seq") <= 3).withColumn("live", F.lit(False))
+    live = logs.filter(F.col("seq") >= 2).withColumns({"line": F.concat(F.lit("live "), F.col("line")), "live": F.lit(True)})
+    both = seed.unionByName(live).select("service_id", "run_id", "seq", "timestamp_ms", "line", "live")
+    rows = run_carried(_in_batches(s, both, "line", "log-union-in"), sinks.log_union(10**12), "log-union")
+    return sinks.current_lines(rows).select("service_id", "run_id", "seq", "timestamp_ms", F.md5("line").alias("line_md5"))
+
+
 def _feed(s, d):
     feed = _stream(s, d, "events").selectExpr(
         "case event_type when 'error' then 'auto_restarted' when 'signup' then 'config_reloaded' else 'state_changed' end as type",
@@ -94,6 +146,9 @@ def _source(s, d):
 
 
 QUERIES = {
+    "s1_stream_append": _appended,
+    "a10_stream_tally": _tally,
+    "j18_stream_log_union": _log_union,
     "s10_event_feed_source": _source,
     "t1_stream_rollup": _rollup,
     "t2_error_rate_alerts": _alerts,
@@ -108,6 +163,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "s1_stream_append": B.with_ctes(["rm"], "select cast(cast(make_timestamp(timestamp_ms * 1000) as date) as varchar) as dt, service_id, count(*) as n, sum(duration_ms) as duration, sum(prompt_tokens) as prompt_tokens from rm group by 1, 2"),
+    "a10_stream_tally": B.with_ctes(
+        ["restarts"],
+        """, h as (select service_id, trigger_name, count(*) as in_history from (select * from restarts qualify row_number() over (partition by service_id order by at_ms desc, restart_id desc) <= 5) group by 1, 2)
+        select service_id, trigger_name, count(*) as count, coalesce(any_value(in_history), 0) as in_history from restarts left join h using (service_id, trigger_name) group by 1, 2""",
+    ),
+    "j18_stream_log_union": TQ.ORACLE["j18_log_seed_union"],
     "s10_event_feed_source": f"with feed as ({TQ.FEED_SQL}) select type, count(*) as n, count(service) as with_service, max(at_ms) as newest from feed group by 1",
     "t1_stream_rollup": TQ.ORACLE["a1_request_rollup"],
     "t2_error_rate_alerts": B.with_ctes(

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from meterloom.functions import columns as C
 from meterloom.operators import telemetry as T
+from meterloom.session import scratch_path
 from meterloom.sources import bindings as B
+from meterloom.sources import stores
 
 DAY = T.DAY_MS
 HOUR = 3_600_000
@@ -158,6 +160,23 @@ def _seed_union(s, d):
     return T.merge_log_seed(seed, live).select("service_id", "run_id", "seq", "timestamp_ms", F.md5("line").alias("line_md5"))
 
 
+def _dated_retention(s, d):
+    """Both dated tables appended, pruned at the newest row's cutoff and read back: rows per table and day."""
+    out = None
+    samples, metrics = B.device_samples(s, d), B.request_metrics(s, d)
+    for name, df, append, read, keep in (
+        ("samples", samples, stores.append_device_samples, stores.read_device_samples, T.SAMPLE_RETENTION_MS),
+        ("metrics", metrics, stores.append_metrics, stores.read_metrics, T.METRIC_RETENTION_MS),
+    ):
+        path = scratch_path(s, f"dated-{name}")
+        append(df, path)
+        stores.prune_days(s, path, _latest(df) - keep)
+        left = read(s, path).groupBy(F.col("dt").cast("string").alias("dt")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp_ms").alias("oldest"))
+        left = left.select(F.lit(name).alias("name"), "dt", "n", "oldest")
+        out = left if out is None else out.unionByName(left)
+    return out
+
+
 def _with_now(fn):
     def run(s, d):
         m = B.request_metrics(s, d)
@@ -204,6 +223,7 @@ QUERIES = {
     "w5_sample_retention": lambda s, d: T.keep_recent(
         B.device_samples(s, d), "timestamp_ms", 1_706_000_000_000, T.SAMPLE_RETENTION_MS
     ).select("sample_id"),
+    "w5_dated_retention": _dated_retention,
     "w21_gap_zero_fill": _gap_series,
     "w22_latest_run": lambda s, d: T.latest_run_per_service(runs(s, d)),
     "l1_log_page": lambda s, d: T.log_page(B.service_logs(s, d), 40).select(
@@ -365,6 +385,13 @@ ORACLE = {
         "rm",
         f"select sum(case when timestamp_ms < {NOW} - {7 * DAY} then 1 else 0 end) as removed, sum(case when timestamp_ms < {NOW} - {7 * DAY} then 0 else 1 end) as kept from rm",
     ),
+    "w5_dated_retention": _sql(
+        "samples rm",
+        f"""select 'samples' as name, cast(cast(make_timestamp(timestamp_ms * 1000) as date) as varchar) as dt, count(*) as n, min(timestamp_ms) as oldest from samples
+        where timestamp_ms >= (select max(timestamp_ms) from samples) - {T.SAMPLE_RETENTION_MS} group by 2
+        union all select 'metrics', cast(cast(make_timestamp(timestamp_ms * 1000) as date) as varchar), count(*), min(timestamp_ms) from rm
+        where timestamp_ms >= (select max(timestamp_ms) from rm) - {T.METRIC_RETENTION_MS} group by 2""",
+    ),
     "w5_sample_retention": _sql("samples", f"select sample_id from samples where timestamp_ms >= {1_706_000_000_000 - DAY}"),
     "w21_gap_zero_fill": GAP_SQL,
     "w22_latest_run": _sql(

@@ -9,88 +9,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterloom.session import discard, settle
+
 DEFAULT_TOLERANCE = 0.15
 OUTLIER_RATIO = 4.0
 
-# How wide a rank bracket the exact selection keeps, and how finely the
-# sketch that proposes it is built. The bracket is ten times the sketch's
-# rank error, and the selection checks that it holds the wanted rank.
-BRACKET = 1e-3
-SKETCH_ACCURACY = 10_000
-
-# Tasks a single group's distinct values are spread over.
-SALTS = 32
+#: Values of a group that are sorted in one place; a larger group is narrowed down to that first.
+SORTED = 16_384
+#: Approximate quantiles that cut a group, and how finely the sketch that proposes them is built.
+CUTS, SKETCH_ACCURACY = 64, 2_000
 
 
 def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str]) -> DataFrame:
     """Exact order statistics per group without gathering a group in one task.
 
     `ranks` maps an output name to a 0-based rank expression over `n`, the
-    number of non-null values. A mergeable sketch proposes a narrow bracket
-    around each rank; one more pass counts what lies below it and keeps only the
-    distinct values inside. If the sketch ever missed, the bracket falls back to
-    the group's whole range, so the answer is always exact.
-
-    Returns the keys, `n`, `lowest`, `highest` and one column per rank.
+    number of non-null values. Values of a small group are sorted. A large one
+    is cut at approximate quantiles from a mergeable sketch, values are counted
+    between the cuts and at each cut (combined before the shuffle), and only the
+    piece that holds a rank goes on, until it is small or a single value. The
+    counts are exact, so the sketch decides how fast this ends and nothing else.
+
+    Returns the keys, `n`, `lowest`, `highest` and one column per rank. Groups
+    without a value give no row.
     """
     rows = df.select(*keys, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
-    # Equal values travel as one row from here on.
-    weights = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__w"))
-    stats = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("lowest"), F.max("__v").alias("highest")
-    )
-    names = list(ranks)
-    wanted = stats.select("*", *[F.expr(f"cast({ranks[r]} as bigint)").alias(f"__rank_{r}") for r in names])
-    grid = [max(0.0, min(1.0, 0.5 + side * BRACKET)) for side in (-1.0, 1.0)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("__v", F.array(*[F.lit(g) for g in grid]), SKETCH_ACCURACY).alias("__near")
-    )
-    bounds = _null_safe_join(wanted, sketch, keys)
-    low, high = F.col("__near")[0], F.col("__near")[1]
-    # A group's values are spread over salts; the bounds, one row per group, are repeated.
-    weights = weights.withColumn("__salt", F.pmod(F.hash("__v"), F.lit(SALTS)))
-    placed = _null_safe_join(weights, _salted(bounds), [*keys, "__salt"])
-    parts = placed.groupBy(*keys, "__salt").agg(
-        F.sum(F.when(F.col("__v") < low, F.col("__w")).otherwise(0)).alias("__below"),
-        F.sum(F.when(F.col("__v") <= high, F.col("__w")).otherwise(0)).alias("__upto"),
-    )
-    below = parts.groupBy(*keys).agg(F.sum("__below").alias("__below"), F.sum("__upto").alias("__upto"))
-    checked = _null_safe_join(bounds, below, keys)
-    holds = F.lit(True)
-    for r in names:
-        holds = holds & (F.col(f"__rank_{r}") >= F.col("__below")) & (F.col(f"__rank_{r}") < F.col("__upto"))
-    checked = checked.select(
-        *keys,
-        "n",
-        "lowest",
-        "highest",
-        *[f"__rank_{r}" for r in names],
-        F.when(holds, low).otherwise(F.col("lowest")).alias("__low"),
-        F.when(holds, high).otherwise(F.col("highest")).alias("__high"),
-        F.when(holds, F.col("__below")).otherwise(F.lit(0)).alias("__below"),
-    )
-    inside = _null_safe_join(weights, _salted(checked), [*keys, "__salt"]).filter(
-        (F.col("__v") >= F.col("__low")) & (F.col("__v") <= F.col("__high"))
-    )
-    walk = Window.partitionBy(*keys).orderBy("__v") if keys else Window.partitionBy(F.lit(1)).orderBy("__v")
-    until = F.col("__below") + F.sum("__w").over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = inside.withColumn("__until", until)
-    return ranked.groupBy(*keys).agg(
-        F.first("n").alias("n"),
-        F.first("lowest").alias("lowest"),
-        F.first("highest").alias("highest"),
-        *[F.min(F.when(F.col("__until") > F.col(f"__rank_{r}"), F.col("__v"))).alias(r) for r in names],
-    )
-
-
-def _salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("lowest"), F.max("__v").alias("highest")).where("n > 0")
+    stats = settle(stats, "rank-groups")
+    large = stats.where(F.col("n") > SORTED)
+    narrowed = not large.isEmpty()
+    small = stats.where(F.col("n") <= SORTED)
+    few = _null_safe_join(rows, small.select(*keys), keys) if narrowed else rows
+    lists = few.groupBy(*keys).agg(F.array_sort(F.collect_list("__v")).alias("__list"))
+    out = _null_safe_join(small, lists, keys)
+    out = out.select(*keys, "n", "lowest", "highest", *[F.element_at("__list", F.expr(f"cast({r} + 1 as int)")).alias(name) for name, r in ranks.items()])
+    if not narrowed:
+        return out
+    picked = _narrowed(rows, large, keys, ranks)
+    return out.unionByName(_null_safe_join(large, picked, keys).select(*out.columns))
+
+
+def _narrowed(rows: DataFrame, groups: DataFrame, keys: list[str], ranks: dict[str, str]) -> DataFrame:
+    """One column per rank of groups that are too large to be sorted."""
+    kind = rows.schema["__v"].dataType
+    nothing = F.lit(None).cast(kind)
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.expr(f"cast({r} as bigint)").alias("rank")) for name, r in ranks.items()]))
+    # Where a rank is looked for: values above `low` and below `high` (null: no bound); `below` come before them.
+    todo = groups.select(*keys, "n", wanted.alias("w")).select(*keys, F.col("w.name").alias("__name"), F.col("w.rank").alias("__rank"), nothing.alias("__low"), nothing.alias("__high"), F.lit(0).cast("long").alias("__below"), F.col("n").alias("__inside"), nothing.alias("__found"))
+    part = [*keys, "__name"]
+    known = settle(todo, "ranks")
+    while True:
+        todo = known.where(F.col("__found").isNull() & (F.col("__inside") > SORTED))
+        if todo.isEmpty():
+            break
+        held = _held(rows, todo, keys)
+        cuts = F.percentile_approx("__v", F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)]), SKETCH_ACCURACY)
+        grid = held.groupBy(*part).agg(F.array_sort(F.array_distinct(cuts)).alias("__grid"))
+        placed = _null_safe_join(todo, grid, part)
+        # Piece 2k lies below cut k, piece 2k + 1 is that cut itself.
+        at = 2 * F.size(F.filter("__grid", lambda g: g < F.col("__v"))) + F.array_contains("__grid", F.col("__v")).cast("int")
+        pieces = _held(rows, placed, keys).groupBy(*part, at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+        counted = pieces.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("__pieces"))
+        start = F.struct(F.col("__below").alias("upto"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("long").alias("below"), F.lit(None).cast("long").alias("n"))
+
+        def walk(acc, e):
+            here = acc["at"].isNull() & (F.col("__rank") < acc["upto"] + e["n"])
+            return F.struct((acc["upto"] + e["n"]).alias("upto"), F.when(here, e["at"]).otherwise(acc["at"]).alias("at"), F.when(here, acc["upto"]).otherwise(acc["below"]).alias("below"), F.when(here, e["n"]).otherwise(acc["n"]).alias("n"))
+
+        hit = _null_safe_join(placed, counted, part).withColumn("__hit", F.aggregate("__pieces", start, walk))
+        k, cut = F.expr("__hit.at div 2").cast("int"), F.expr("__hit.at % 2 = 1")
+        low = F.when(k > 0, F.get("__grid", k - 1)).otherwise(F.col("__low"))
+        high = F.when(k < F.size("__grid"), F.get("__grid", k)).otherwise(F.col("__high"))
+        step = hit.select(*part, "__rank", low.alias("__low"), high.alias("__high"), F.col("__hit.below").alias("__below"), F.col("__hit.n").alias("__inside"), F.when(cut, F.get("__grid", k)).alias("__found"))
+        rest = known.where(F.col("__found").isNotNull() | (F.col("__inside") <= SORTED))
+        after = settle(rest.unionByName(step), "ranks")
+        discard(known)
+        known = after
+    short = known.where(F.col("__found").isNull())
+    lists = _held(rows, short, keys).groupBy(*part).agg(F.array_sort(F.collect_list("__v")).alias("__list"))
+    found = _null_safe_join(short, lists, part).select(*part, F.element_at("__list", (F.col("__rank") - F.col("__below") + 1).cast("int")).alias("__found"))
+    whole = known.where(F.col("__found").isNotNull()).select(*part, "__found").unionByName(found)
+    return whole.groupBy(*keys).agg(*[F.first(F.when(F.col("__name") == name, F.col("__found")), ignorenulls=True).alias(name) for name in ranks])
+
+
+def _held(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """The values between each rank's bounds."""
+    above, below = F.col("__low").isNull() | (F.col("__v") > F.col("__low")), F.col("__high").isNull() | (F.col("__v") < F.col("__high"))
+    return _null_safe_join(rows, bounds, keys).where(above & below)
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null, keeping the left side's key columns."""
     if not keys:
-        # Without keys the right side is a global aggregate: exactly one row.
+        # Without keys the right side is a global aggregate: one row, or one per rank.
         return left.withColumn("__one", F.lit(1)).join(F.broadcast(right.withColumn("__one", F.lit(1))), "__one").drop("__one")
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = F.lit(True)

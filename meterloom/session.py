@@ -71,6 +71,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove a settled table that no later step reads."""
-    session = df.sparkSession
-    path = session._jvm.org.apache.hadoop.fs.Path(df.settled_at)
-    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)
+    remove(df.sparkSession, df.settled_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder of a store that Spark reads, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly below a path, none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()) if fs.exists(at) else []

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.functions import scan
+from meterloom.session import discard, folders, remove, settle
 
 # --- telemetry tables ------------------------------------------------------
 
@@ -29,7 +32,7 @@ EVENT_FEED = _schema(
 )
 
 
-def _dated(df: DataFrame, stamp: str) -> DataFrame:
+def dated(df: DataFrame, stamp: str) -> DataFrame:
     return df.withColumn("dt", F.to_date(F.timestamp_millis(F.col(stamp))))
 
 
@@ -39,7 +42,7 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     A rebalance before the write splits large days and joins small ones, so the
     number of writers follows a day's size.
     """
-    rows = _dated(metrics.select(*REQUEST_METRICS.fieldNames()), "timestamp_ms")
+    rows = dated(metrics.select(*REQUEST_METRICS.fieldNames()), "timestamp_ms")
     rows.hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
 
 
@@ -48,16 +51,37 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_device_samples(samples: DataFrame, path: str) -> None:
-    """Append samples with `used = total - free`."""
-    used = samples.withColumn("used_bytes", F.col("total_bytes") - F.col("free_bytes"))
-    _dated(used, "timestamp_ms").write.mode("append").partitionBy("dt").parquet(path)
+    """Append samples with `used = total - free`, partitioned by day like the request metrics."""
+    used = samples.withColumn("used_bytes", F.col("total_bytes") - F.col("free_bytes")).select(*DEVICE_SAMPLES.fieldNames())
+    dated(used, "timestamp_ms").hint("rebalance", "dt").write.mode("append").partitionBy("dt").parquet(path)
+
+
+def read_device_samples(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(T.StructType([*DEVICE_SAMPLES.fields, T.StructField("dt", T.DateType())])).parquet(path)
+
 
+def prune_days(spark: SparkSession, path: str, cutoff_ms: int) -> list[str]:
+    """Drop the rows of a dated table that are older than the cutoff; the names of the days that went.
 
-def prune_days(spark: SparkSession, path: str, cutoff_ms: int, out: str) -> None:
-    """Rewrite a dated table without rows older than the cutoff; whole old days are never read."""
-    day = F.to_date(F.timestamp_millis(F.lit(cutoff_ms)))
-    kept = spark.read.parquet(path).filter((F.col("dt") >= day) & (F.col("timestamp_ms") >= cutoff_ms))
-    kept.write.partitionBy("dt").parquet(out)
+    Whole old days are removed by folder and never read. Of the day that holds
+    the cutoff only the newer rows are kept: they are written beside the table
+    first and then take the day's place, so an interrupted run leaves either
+    the old or the new day, and a repeated one does no harm.
+    """
+    day = f"dt={datetime.fromtimestamp(cutoff_ms / 1000, timezone.utc):%Y-%m-%d}"
+    days = [f for f in folders(spark, path) if f.startswith("dt=")]
+    old = [d for d in days if d < day]
+    if day in days:
+        table = spark.read.option("basePath", path).parquet(f"{path}/{day}")
+        kept = settle(table.where(F.col("timestamp_ms") >= cutoff_ms), "kept-day")
+        if kept.isEmpty():
+            old.append(day)
+        else:
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+        discard(kept)
+    for d in old:
+        remove(spark, f"{path}/{d}")
+    return old
 
 
 def sequence_logs(lines: DataFrame, known: DataFrame | None, order: list[str], width: int = scan.CHUNK_MS) -> DataFrame:
@@ -82,20 +106,36 @@ class BadRecord(ValueError):
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("file", F.input_file_name())
-
-
-def _unknown(doc: Column, schema: T.StructType, json: Column) -> Column:
-    """Keys the schema does not name, at the top and one level down."""
-    def extra(text: Column, names: list[str], prefix: str) -> Column:
-        keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-        return F.transform(F.array_except(keys, F.array(*[F.lit(n) for n in names]).cast("array<string>")), lambda k: F.concat(F.lit(prefix), k))
-
-    found = [extra(json, schema.fieldNames(), "")]
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            found.append(extra(F.get_json_object(json, f"$.{f.name}"), f.dataType.fieldNames(), f"{f.name}."))
-    return F.flatten(F.array(*found))
+    """Text lines with their file and their place in it (order of blocks, then of lines)."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def _nested(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _nested(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _nested(kind.valueType)
+    return isinstance(kind, T.StructType)
+
+
+def _unknown(text: Column, kind: T.DataType, at: str = "") -> Column:
+    """Paths of the fields in a JSON text that the schema does not name, at any depth: in structs, list elements and map values."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StructType):
+        fields = F.from_json(text, "map<string,string>")
+        keys = F.coalesce(F.map_keys(fields), none)
+        known = F.array(*[F.lit(n) for n in kind.fieldNames()]).cast("array<string>")
+        found = [F.transform(F.array_except(keys, known), lambda k: F.concat(F.lit(at), k))]
+        found += [_unknown(F.element_at(fields, f.name), f.dataType, f"{at}{f.name}.") for f in kind.fields if _nested(f.dataType)]
+        return F.flatten(F.array(*found)) if len(found) > 1 else found[0]
+    if isinstance(kind, T.ArrayType):
+        each = F.from_json(text, "array<string>")
+        return F.coalesce(F.flatten(F.transform(each, lambda e: _unknown(e, kind.elementType, f"{at[:-1]}[]."))), none)
+    if isinstance(kind, T.MapType):
+        each = F.map_values(F.from_json(text, "map<string,string>"))
+        return F.coalesce(F.flatten(F.transform(each, lambda e: _unknown(e, kind.valueType, f"{at[:-1]}{{}}."))), none)
+    return none
 
 
 def read_ndjson_checked(spark: SparkSession, path: str, schema: T.StructType, cell: str = "cell") -> DataFrame:
@@ -103,21 +143,23 @@ def read_ndjson_checked(spark: SparkSession, path: str, schema: T.StructType, ce
     rows = _lines(spark, path).filter(F.trim("value") != "")
     probe = T.StructType([*schema.fields, T.StructField("__corrupt", T.StringType())])
     parsed = rows.withColumn("r", F.from_json("value", probe, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
-    unknown = _unknown(F.col("r"), schema, F.col("value"))
+    unknown = F.array_distinct(_unknown(F.col("value"), schema))
     error = (
         F.when(F.col("r.__corrupt").isNotNull() | F.col("r").isNull(), F.lit("not a record"))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown field "), F.array_join(unknown, ", ")))
         .when(F.trim(F.coalesce(F.col(f"r.{cell}"), F.lit(""))) == "", F.lit("blank cell id"))
     )
-    return parsed.select("file", "value", *[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()], error.alias("error"))
+    return parsed.select("file", "block", "row", "value", *[F.col(f"r.{n}").alias(n) for n in schema.fieldNames()], error.alias("error"))
 
 
 def read_ndjson_strict(spark: SparkSession, path: str, schema: T.StructType, cell: str = "cell") -> DataFrame:
-    """Every line must be a record of this schema; the first bad one is named."""
+    """Every line must be a record of this schema and name no other field at any depth; the first bad one is named by file and line."""
     checked = read_ndjson_checked(spark, path, schema, cell)
-    bad = checked.filter(F.col("error").isNotNull()).select("file", "error", F.substring("value", 1, 80).alias("start")).first()
+    place = F.struct("file", "block", "row")
+    bad = checked.filter(F.col("error").isNotNull()).agg(F.min_by(F.struct("file", "block", "row", "error", F.substring("value", 1, 80).alias("start")), place).alias("b")).first()["b"]
     if bad is not None:
-        raise BadRecord(f"{bad['file']}: {bad['error']}: {bad['start']}")
+        before = _lines(spark, path).where((F.col("file") == bad["file"]) & ((F.col("block") < bad["block"]) | ((F.col("block") == bad["block"]) & (F.col("row") < bad["row"]))))
+        raise BadRecord(f"{bad['file']}:{before.count() + 1}: {bad['error']}: {bad['start']}")
     return checked.select(*schema.fieldNames())
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.session import discard, scratch_path, settle
+from meterloom.session import discard, remove, scratch_path, settle
 
 
 @dataclass(frozen=True)
@@ -64,8 +64,7 @@ def save_batch(spark: SparkSession, how: Carried, base: str, batch: DataFrame, b
     discard(held)
     # The carry before the last is never read again: a batch starts once the one before is committed.
     if batch_id > 1:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/carry/batch_id={batch_id - 2}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        remove(spark, f"{base}/carry/batch_id={batch_id - 2}")
 
 
 def run_carried(stream: DataFrame, how: Carried, label: str, base: str | None = None) -> DataFrame:

@@ -52,11 +52,20 @@ def test_medians_are_exact_under_skew(spark):
     assert RD.upper_medians(df.filter("k = 'two'"), [], "v").first()["upper_median"] == 4.0
 
 
-def test_rank_selection_falls_back_when_the_sketch_misses(spark, monkeypatch):
-    monkeypatch.setattr(RD, "BRACKET", 0.0)
-    monkeypatch.setattr(RD, "SKETCH_ACCURACY", 2)
-    df = spark.range(1001).select(F.lit("a").alias("k"), F.col("id").alias("v"))
-    assert RD.medians(df, ["k"], "v").first()["median"] == 500.0
+@pytest.mark.parametrize("cuts, accuracy", [(8, 100), (64, 2_000)])
+def test_large_groups_are_narrowed_to_the_same_ranks(spark, monkeypatch, cuts, accuracy):
+    for name, v in (("SORTED", 40), ("CUTS", cuts), ("SKETCH_ACCURACY", accuracy)):
+        monkeypatch.setattr(RD, name, v)
+    rng = np.random.default_rng(cuts)
+    data = [("even", int(x)) for x in rng.permutation(400)] + [("halves", 5)] * 100 + [("halves", 6)] * 100 + [("tied", 7)] * 150 + [("few", 1), ("few", 9)]
+    data += [(None, int(x)) for x in rng.integers(0, 30, 401)] + [("big", (1 << 60) + int(x)) for x in rng.integers(0, 90, 200)]
+    df = spark.createDataFrame(data, "k string, v bigint").repartition(6)
+    got = {r["k"]: tuple(r)[1:] for r in RD.rank_values(df, ["k"], "v", {"a": "(n - 1) div 2", "b": "n div 2", "top": "n - 1"}).collect()}
+    for key in {k for k, _ in data}:
+        own = sorted(v for k, v in data if k == key)
+        assert got[key] == (len(own), own[0], own[-1], own[(len(own) - 1) // 2], own[len(own) // 2], own[-1])
+    one = RD.medians(df.where("k = 'even'"), [], "v").first()
+    assert one["median"] == 199.5 and RD.medians(df.where("false"), [], "v").count() == 0
 
 
 def test_consensus_refuses_and_accepts(spark):
