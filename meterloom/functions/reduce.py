@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterloom.session import discard, settle
 
@@ -28,7 +29,8 @@ def rank_values(df: DataFrame, keys: list[str], value: str, ranks: dict[str, str
     is cut at approximate quantiles from a mergeable sketch, values are counted
     between the cuts and at each cut (combined before the shuffle), and only the
     piece that holds a rank goes on, until it is small or a single value. The
-    counts are exact, so the sketch decides how fast this ends and nothing else.
+    counts are exact, so the sketch decides how fast this ends and nothing else;
+    least and greatest value are cuts too, so every round gets further.
 
     Returns the keys, `n`, `lowest`, `highest` and one column per rank. Groups
     without a value give no row.
@@ -64,7 +66,13 @@ def _narrowed(rows: DataFrame, groups: DataFrame, keys: list[str], ranks: dict[s
             break
         held = _held(rows, todo, keys)
         cuts = F.percentile_approx("__v", F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)]), SKETCH_ACCURACY)
-        grid = held.groupBy(*part).agg(F.array_sort(F.array_distinct(cuts)).alias("__grid"))
+        ends = held.groupBy(*part).agg(cuts.alias("__cuts"), F.min("__v").alias("__a"), F.max("__v").alias("__b"))
+        # The sketch works on doubles: whole numbers it can't tell apart are halved instead.
+        more = [F.col("__a"), F.col("__b")]
+        if isinstance(kind, (T.IntegralType, T.DecimalType)):
+            half = "__a div 2 + __b div 2" if isinstance(kind, T.IntegralType) else "__a / 2 + __b / 2"
+            more.append(F.expr(half).cast(kind))
+        grid = ends.select(*part, F.array_sort(F.array_distinct(F.concat(F.col("__cuts"), F.array(*more)))).alias("__grid"))
         placed = _null_safe_join(todo, grid, part)
         # Piece 2k lies below cut k, piece 2k + 1 is that cut itself.
         at = 2 * F.size(F.filter("__grid", lambda g: g < F.col("__v"))) + F.array_contains("__grid", F.col("__v")).cast("int")
