@@ -92,23 +92,21 @@ def _predictions(s, d):
     )
 
 
-# Configurations that a survey of the dataset asks about: predicate in SQL and as a column, axes.
+# Regimes to show the operators on: a column, the same in SQL, and the axes to be covered (`ub` is the batch with its default).
+REGIMES = {
+    **{f"context of {n // 1024}k": (R.factor, "ctx", n, ["parallel", "gpus"]) for n in (4096, 8192, 16384, 32768)},
+    **{f"batches of {n}": (R.ubatch_or_default, "ub", n, ["ctx", "parallel"]) for n in (256, 1024, 2048)},
+    "three cards": (R.factor, "gpus", "0,1,2", ["ctx", "concurrency"]),
+    "attention left to the runtime": (R.factor, "flash_attn", "auto", ["ub", "ctx"]),
+    "four at a time": (R.factor, "concurrency", 4, ["parallel", "ub"]),
+    "long prompts": (R.factor, "probe_prompt_tokens", 8192, ["gpus", "ctx"]),
+    "eagle drafts": (R.factor, "spec_type", "draft-eagle", ["gpus", "ub", "ctx"]),
+}
+
+
 def _regimes():
-    several = R.factor("parallel") > 1
-    return {
-        "no fused attention": (R.charged_unfused(), ["ctx", "ubatch", "gpus"]),
-        "cache below 16 bits": (R.kv_quantised(), ["ctx", "ubatch"]),
-        "split by tensor": (R.split_or_layer() == "tensor", ["ctx", "ubatch", "gpus"]),
-        "one cache for many slots": (R.factor("kv_unified") & several, ["ctx", "ubatch"]),
-        "many slots": (several, ["ctx", "ubatch", "parallel"]),
-        "requests in parallel": (R.factor("concurrency") > 1, ["concurrency", "ctx"]),
-        "prompt past a checkpoint": (R.factor("probe_prompt_tokens") >= R.CHECKPOINT_STEP, ["ctx", "gpus"]),
-        "speculation": (R.factor("spec_type").isNotNull(), ["ctx", "parallel"]),
-        "other fork": (R.is_ik(), ["ctx", "ubatch", "gpus"]),
-        "experts on the host": (R.factor("n_cpu_moe").isNotNull(), ["ctx", "ubatch"]),
-        "alone on a card": (R.cards_nonempty() == 1, ["ctx", "ubatch"]),
-        "weights read, not mapped": (R.factor("no_mmap"), ["ctx", "ubatch"]),
-    }
+    named = lambda axes: ["ubatch" if a == "ub" else a for a in axes]
+    return {n: ((column() if column is R.ubatch_or_default else column(name)) == value, named(axes)) for n, (column, name, value, axes) in REGIMES.items()}
 
 
 def _reasons(known):
@@ -315,20 +313,7 @@ REASON = """case when status <> 'ok' then 'run ended ' || status when coalesce(g
   when not contains(stem, '-0') then 'model without a prediction' when ngl <> 99 and n_cpu_moe is null then 'layers placed by hand: ' || cast(ngl as varchar) when embeddings then 'embeds only' end"""
 ENV = "variant || case when ik then '@ik' else '' end || case when flash_attn <> 'on' then '@nofa' else '' end"
 CARDS1 = "case when gpus = '' then 1 else n_cards end"
-REGIME_SQL = {
-    "no fused attention": ("flash_attn <> 'on'", ["ctx", "ub", "gpus"]),
-    "cache below 16 bits": ("kv_type = 'q8_0'", ["ctx", "ub"]),
-    "split by tensor": ("split_l = 'tensor'", ["ctx", "ub", "gpus"]),
-    "one cache for many slots": ("kv_unified and parallel > 1", ["ctx", "ub"]),
-    "many slots": ("parallel > 1", ["ctx", "ub", "parallel"]),
-    "requests in parallel": ("concurrency > 1", ["concurrency", "ctx"]),
-    "prompt past a checkpoint": ("probe_prompt_tokens >= 8192", ["ctx", "gpus"]),
-    "speculation": ("spec_type is not null", ["ctx", "parallel"]),
-    "other fork": ("ik", ["ctx", "ub", "gpus"]),
-    "experts on the host": ("n_cpu_moe is not null", ["ctx", "ub"]),
-    "alone on a card": ("n_cards <= 1", ["ctx", "ub"]),
-    "weights read, not mapped": ("no_mmap", ["ctx", "ub"]),
-}
+REGIME_SQL = {n: (f"{name} = '{value}'" if isinstance(value, str) else f"{name} = {value}", axes) for n, (_, name, value, axes) in REGIMES.items()}
 
 
 def _coverage_sql() -> str:
