@@ -5,9 +5,6 @@ Everything is regular expressions and JSON on the JVM side, over whole texts.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -122,49 +119,47 @@ def breakdown(text: Column) -> tuple[Column, Column]:
     return devices, host
 
 
-CONTEXTS = """array<struct<buffers: map<string, map<string, double>>,
-  kv_pools: array<struct<total_mib: double, cells: bigint, layers: bigint, seqs: bigint, seqs_max: bigint, k_type: string, k_mib: double, v_type: string, v_mib: double>>,
-  rs_pool: struct<total_mib: double, cells: bigint, layers: bigint, seqs: bigint, rs_seq: bigint, r_mib: double, s_mib: double>,
-  graph_nodes: bigint, graph_splits: bigint>>"""
-_POOL = [("total_mib", float), ("cells", int), ("layers", int), ("seqs", int), ("seqs_max", int), ("k_type", str), ("k_mib", float), ("v_type", str), ("v_mib", float)]
-_STATE = [("total_mib", float), ("cells", int), ("layers", int), ("seqs", int), ("rs_seq", int), ("r_mib", float), ("s_mib", float)]
+# A context reaches from the end of the one before it (`\G`) to its graph-shape lines.
+CONTEXT = r"\G(?s:.*?)(?d:" + CONTEXT_END + ")"
+_POOL = {"total_mib": _num, "cells": _whole, "layers": _whole, "seqs": _whole, "seqs_max": _whole, "k_type": F.trim, "k_mib": _num, "v_type": F.trim, "v_mib": _num}
+_STATE = {"total_mib": _num, "cells": _whole, "layers": _whole, "seqs": _whole, "rs_seq": _whole, "r_mib": _num, "s_mib": _num}
+
+
+def _groups(found: Column, pattern: str, kinds: dict) -> Column:
+    """The groups of one match, read from the match alone, as a struct."""
+    return F.struct(*[kind(F.regexp_extract(found, pattern, i)).alias(name) for i, (name, kind) in enumerate(kinds.items(), 1)])
+
 
+def _buffers(part: Column) -> Column:
+    """Map per device of its buffers by role; the last figure of a repeated role stays."""
+    def read(line: Column) -> Column:
+        stage, kind = F.regexp_extract(line, DEV_BUFFER, 1), F.lower(F.regexp_extract(line, DEV_BUFFER, 3))
+        role = F.when(kind != "", kind).when(stage.endswith("load_tensors"), "model").otherwise("compute")
+        return F.struct(F.regexp_extract(line, DEV_BUFFER, 2).alias("device"), role.alias("k"), _num(F.regexp_extract(line, DEV_BUFFER, 4)).alias("v"))
 
-def _segment(text: str) -> dict:
+    def build(rows: Column) -> Column:
+        devices = F.array_distinct(F.transform(rows, lambda e: e["device"]))
+        return F.map_from_arrays(devices, F.transform(devices, lambda d: _entries(F.filter(rows, lambda e: e["device"] == d), last=True)))
+
+    return _let(F.transform(every(part, DEV_BUFFER, 0), read), build)
+
+
+def _context(part: Column) -> Column:
     """Buffers, pools and graph shape of one context's part of a log."""
-    buffers: dict[str, dict[str, float]] = {}
-    for stage, device, kind, mib in re.findall(DEV_BUFFER, text):
-        role = kind.lower() or ("model" if stage.endswith("load_tensors") else "compute")
-        buffers.setdefault(device, {})[role] = float(mib)
-    state = re.search(RS_POOL, text)
-    shape = dict(re.findall(GRAPH_SHAPE, text))
-    return {
-        "buffers": buffers,
-        "kv_pools": [{n: kind(v) for (n, kind), v in zip(_POOL, found)} for found in re.findall(KV_POOL, text)],
-        "rs_pool": {n: kind(v) for (n, kind), v in zip(_STATE, state.groups())} if state else None,
-        "graph_nodes": int(shape["nodes"]) if "nodes" in shape else None,
-        "graph_splits": int(shape["splits"]) if "splits" in shape else None,
-    }
-
-
-def _split(log: str) -> list[dict]:
-    out, start = [], 0
-    for end in re.finditer(CONTEXT_END, log):
-        out.append(_segment(log[start:end.end()]))
-        start = end.end()
-    return out
+    shape = F.transform(every(part, GRAPH_SHAPE, 0), lambda m: F.struct(F.regexp_extract(m, GRAPH_SHAPE, 1).alias("k"), _whole(F.regexp_extract(m, GRAPH_SHAPE, 2)).alias("v")))
+    last = lambda name: F.try_element_at(F.filter(shape, lambda e: e["k"] == name), F.lit(-1))["v"]
+    state = _let(F.regexp_extract(part, RS_POOL, 0), lambda m: F.when(m != "", _groups(m, RS_POOL, _STATE)))
+    pools = F.transform(every(part, KV_POOL, 0), lambda m: _groups(m, KV_POOL, _POOL))
+    return F.struct(_buffers(part).alias("buffers"), pools.alias("kv_pools"), state.alias("rs_pool"), last("nodes").alias("graph_nodes"), last("splits").alias("graph_splits"))
 
 
 def contexts(text: Column) -> Column:
     """One entry per context; a context ends with its graph-shape lines.
 
-    The only Python in the extraction: a context needs several patterns over
-    the same stretch of a log, which expressions would scan again for each.
+    What follows the last of them belongs to none. A log without any has no
+    contexts, a null one null. A figure that is no number is zero.
     """
-    def split(logs: pd.Series) -> pd.Series:
-        return logs.map(_split)
-
-    return F.pandas_udf(split, CONTEXTS)(text)
+    return F.transform(every(text, CONTEXT, 0), _context)
 
 
 def vision(text: Column) -> Column:
