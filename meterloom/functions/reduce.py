@@ -120,11 +120,12 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The median: the mean of the two middle values on an even count."""
-    out = rank_values(df, keys, value, {"__a": "(n - 1) div 2", "__b": "n div 2"})
+    return _middle(rank_values(df, keys, value, {"__a": "(n - 1) div 2", "__b": "n div 2"}))
+
+
+def _middle(out: DataFrame) -> DataFrame:
     middle = (F.col("__a") + F.col("__b")) / F.lit(2.0)
-    return out.withColumn("median", F.when(F.col("__a") == F.col("__b"), F.col("__a").cast("double")).otherwise(middle)).drop(
-        "__a", "__b"
-    )
+    return out.withColumn("median", F.when(F.col("__a") == F.col("__b"), F.col("__a").cast("double")).otherwise(middle)).drop("__a", "__b")
 
 
 def upper_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -132,6 +133,54 @@ def upper_medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rank_values(df, keys, value, {"upper_median": "n div 2"})
 
 
+def without_each(counts: DataFrame, owner: str, value: str, weight: str) -> DataFrame:
+    """Per owner the median and the extremes of what all the others hold.
+
+    `counts`: one row per owner and value (not null) with the times it occurs.
+    Rank r among the others is rank r + c among all, where c counts the owner's
+    own values up to the last of them that has at most r values of others below
+    it. So each owner asks for four ranks of one ordered table. The order is cut
+    in ranges of values: counts run on inside a range, and what lies before it
+    is one figure per range, or per range and owner. No owner and no whole is
+    one task's work, and no value is repeated.
+
+    Returns the owner, `n`, `lowest`, `highest` and `median` of the others; an
+    owner without others gives no row, a null owner none of its own.
+    """
+    named = counts.select(F.col(owner).alias("__o"), F.col(value).alias("__v"), F.col(weight).cast("long").alias("__w"))
+    ranged = settle(named.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "ranges")
+    # One row per range from here on.
+    every = Window.partitionBy(F.lit(1))
+    ahead = every.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("__part").agg(F.sum("__w").alias("__w")).select("__part", F.coalesce(F.sum("__w").over(ahead), F.lit(0)).alias("__from"), F.sum("__w").over(every).alias("__all"))
+    parts = settle(parts, "parts")
+    inside = Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = ranged.groupBy("__part", "__v").agg(F.sum("__w").alias("__w")).withColumn("__in", F.coalesce(F.sum("__w").over(inside), F.lit(0)))
+    ordered = settle(ordered.join(parts, "__part").select("__part", "__v", (F.col("__from") + F.col("__in")).alias("__below"), "__all"), "ordered")
+
+    own = ranged.where("__o is not null")
+    mine = Window.partitionBy("__o")
+    carried = own.groupBy("__o", "__part").agg(F.sum("__w").alias("__w")).select(
+        "__o", "__part", F.coalesce(F.sum("__w").over(mine.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"), F.sum("__w").over(mine).alias("__own")
+    )
+    run = Window.partitionBy("__o", "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    own = own.withColumn("__in", F.coalesce(F.sum("__w").over(run), F.lit(0))).join(carried, ["__o", "__part"]).join(ordered, ["__part", "__v"])
+    own = own.select("__o", (F.col("__all") - F.col("__own")).alias("n"), (F.col("__from") + F.col("__in")).alias("__before"), "__w", "__below").where("n > 0")
+    ranks = {"lowest": "cast(0 as bigint)", "__a": "(n - 1) div 2", "__b": "n div 2", "highest": "n - 1"}
+    passed = {name: F.max(F.when(F.col("__below") - F.col("__before") <= F.expr(r), F.col("__before") + F.col("__w"))) for name, r in ranks.items()}
+    asked = own.groupBy("__o", "n").agg(*[(F.coalesce(c, F.lit(0))).alias(name) for name, c in passed.items()])
+    asked = asked.select("__o", "n", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), (F.col(name) + F.expr(r)).alias("at")) for name, r in ranks.items()])).alias("q"))
+    asked = settle(asked.select("__o", "n", "q.name", F.col("q.at").alias("__at")), "asked")
+
+    starts = parts.agg(F.array_sort(F.collect_list(F.struct("__from", "__part"))).alias("__starts"))
+    located = _null_safe_join(asked.select("__at").distinct(), starts, []).select(F.element_at(F.filter("__starts", lambda s: s["__from"] <= F.col("__at")), -1)["__part"].alias("__part"), "__at")
+    line = ordered.select("__part", F.col("__below").alias("__at"), F.lit(0).alias("__kind"), "__v").unionByName(located.select("__part", "__at", F.lit(1).alias("__kind"), F.lit(None).cast(ordered.schema["__v"].dataType).alias("__v")))
+    upto = Window.partitionBy("__part").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = line.withColumn("__v", F.last("__v", ignorenulls=True).over(upto)).where("__kind = 1").select("__at", "__v")
+    out = asked.join(found, "__at").groupBy(F.col("__o").alias(owner), "n").agg(*[F.first(F.when(F.col("name") == name, F.col("__v")), ignorenulls=True).alias(name) for name in ranks])
+    return _middle(out)
+
+
 def verdict(median: Column, low: Column, high: Column, tolerance: float, floor: float) -> Column:
     """`ok`, or `disagree` when the spread is too wide for one value to describe."""
     spread = high - low

@@ -5,29 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterloom.functions.reduce import consensus, half_even, percent_error
+from meterloom.functions.reduce import consensus, half_even, percent_error, verdict, without_each
+from meterloom.session import settle
 
 
 def consensus_folds(points: DataFrame, constant: str, tolerance: float = 0.15, floor: float = 0.0) -> DataFrame:
-    """Folds of a median-type constant. `points`: model, v.
+    """Folds of a median-type constant. `points`: model, v. One row per model.
 
-    A median needs the values, so a row takes part in every fold but its own
-    model's: the factor is the number of models. The rank selection underneath
-    keeps each fold spread over tasks.
+    Values are counted per model once. A rank among the other models' values is
+    a rank among all values, moved by the model's own values that come before
+    it (`without_each`), so no row is repeated and models are never listed.
+    Points without a model have no fold and belong to all of them; a model
+    without a value changes nothing when it is left out.
     """
-    names = [r[0] for r in points.select("model").distinct().collect()]
-    every = F.array(*[F.lit(n) for n in sorted(names)])
-    others = F.transform(F.filter(every, lambda m: m != F.col("model")), lambda m: F.struct(F.lit("without").alias("part"), m.alias("fold")))
-    own = F.array(F.struct(F.lit("alone").alias("part"), F.col("model").alias("fold")), F.struct(F.lit("full").alias("part"), F.lit("").alias("fold")))
-    rows = points.select(F.explode(F.concat(own, others)).alias("f"), "v").select("f.part", "f.fold", "v")
-    fitted = consensus(rows, ["part", "fold"], "v", tolerance, floor)
-    value = F.when(F.col("status") == "ok", half_even(F.col("median")))
-    per = fitted.select("part", "fold", value.alias("value"))
-    full = per.filter("part = 'full'").select(F.lit(constant).alias("constant"), F.col("value").alias("full"))
-    sides = per.filter("part <> 'full'").groupBy(F.col("fold").alias("model")).agg(
-        F.max(F.when(F.col("part") == "without", F.col("value"))).alias("without"), F.max(F.when(F.col("part") == "alone", F.col("value"))).alias("alone")
-    )
-    return sides.withColumn("constant", F.lit(constant)).join(full, "constant").select("constant", "model", "full", "without", "alone")
+    counts = settle(points.where("v is not null").groupBy("model", "v").agg(F.count(F.lit(1)).alias("w")), "counts")
+    value = F.when(verdict(F.col("median"), F.col("lowest"), F.col("highest"), tolerance, floor) == "ok", half_even(F.col("median")))
+    alone = consensus(points.where("model is not null"), ["model"], "v", tolerance, floor).select("model", value.alias("alone"))
+    others = without_each(counts, "model", "v", "w").select("model", value.alias("without"))
+    full = consensus(points, [], "v", tolerance, floor).select(F.lit(constant).alias("constant"), value.alias("full"))
+    models = points.where("model is not null").groupBy("model").agg(F.count("v").alias("held"))
+    sides = models.join(alone, "model", "left").join(others, "model", "left").withColumn("constant", F.lit(constant)).join(full, "constant", "left")
+    return sides.select("constant", "model", "full", F.when(F.col("held") == 0, F.col("full")).otherwise(F.col("without")).alias("without"), "alone")
 
 
 def max_folds(points: DataFrame, constant: str) -> DataFrame:
