@@ -9,6 +9,7 @@ from meterloom.functions import records as R
 from meterloom.operators import capacity as K
 from meterloom.operators import hygiene as H
 from meterloom.operators import report as RP
+from meterloom.operators.pairs import coefficient_lookup
 from meterloom.plans import crossval as X
 from meterloom.plans import derive as D
 from meterloom.plans import fit as M5
@@ -67,21 +68,38 @@ def _known_residuals(s, d):
     return found.select("flag", "n", F.round("worst", 6).alias("worst"), "outside")
 
 
-def _score(s, d):
-    from meterloom.operators.pairs import coefficient_lookup
-
-    _, sums, fitted = _fitted(s, d)
-    default = {r["column"]: r["coef"] for r in M5.pooled_default(sums).collect()}
-    wide = M5.wide_coefficients(fitted, M5.GROUP)
-    entries = wide.select(F.when(F.col("runtime") == "ik", F.lit("ik")).alias("runtime"), "split", "arch", "variant", "coefficients")
+def _score_rows(s, d):
     m = H.usable(M.measurements(s, d))
-    rows = m.select(
+    return m.select(
         "cell", R.factor("runtime").alias("runtime"), R.split_or_layer().alias("split"), R.parsed("arch").alias("arch"), F.when(R.parsed("per_layer_token_embd"), F.lit("e")).alias("variant"),
         R.ubatch_or_default().alias("ub"), R.factor("ctx").alias("n_kv"), R.factor("ctx").alias("ctx"), R.kv_quantised().alias("quantised"), R.parsed("n_vocab").alias("n_vocab"),
         R.parsed("n_embd").alias("n_embd"), R.is_hybrid().alias("offloading"), R.layer_split_copies().alias("copies"),
     )
+
+
+def _score(s, d):
+    _, sums, fitted = _fitted(s, d)
+    default = {r["column"]: r["coef"] for r in M5.pooled_default(sums).collect()}
+    wide = M5.wide_coefficients(fitted, M5.GROUP)
+    entries = wide.select(F.when(F.col("runtime") == "ik", F.lit("ik")).alias("runtime"), "split", "arch", "variant", "coefficients")
     full = {c: default.get(c, 0.0) for c in M5.PRIORITY}
-    return M5.score(coefficient_lookup(rows, entries, full)).groupBy("runtime", "split", "arch", "tier").agg(F.max("per_device_mib").alias("per_device_mib"), F.max("head_extra_mib").alias("head_extra_mib"))
+    return M5.score(coefficient_lookup(_score_rows(s, d), entries, full)).groupBy("runtime", "split", "arch", "tier").agg(F.max("per_device_mib").alias("per_device_mib"), F.max("head_extra_mib").alias("head_extra_mib"))
+
+
+#: Coefficients of known entries, which add their layer count to `flat`, and those of everything else.
+ENTRY = {"flat": 0.5, "head_flat": 3.25, "hidden": 2.0, "doubling": 1.5, "mask": 0.5, "quant": 0.25, "logits": 0.75, "offload_head": 4.0}
+ELSE = {"flat": 7.0, "head_flat": 1.5, "hidden": 1.0, "doubling": 0.5, "mask": 0.25, "quant": 0.125, "logits": 0.5, "offload_head": 2.0}
+
+
+def _known_scores(s, d):
+    """Scores from given entries, so that every figure is known."""
+    records = H.usable(M.measurements(s, d)).filter(R.parsed("arch").isin("qwen3", "gemma4", "laguna"))
+    layers = records.groupBy(F.when(R.is_ik(), "ik").alias("runtime"), R.split_or_layer().alias("split"), R.parsed("arch").alias("arch")).agg(F.max(R.parsed("n_layer")).alias("layers")).filter("runtime is not null or split = 'layer'")
+    given = F.struct(*[(F.lit(ENTRY[c]) + (F.col("layers") if c == "flat" else F.lit(0.0))).alias(c) for c in M5.PRIORITY])
+    entries = layers.select("runtime", "split", "arch", F.lit(None).cast("string").alias("variant"), given.alias("coefficients"))
+    scored = M5.score(coefficient_lookup(_score_rows(s, d), entries, {c: ELSE[c] for c in M5.PRIORITY}))
+    per = F.col("per_device_mib").cast("long")
+    return scored.groupBy("runtime", "split", "arch", "tier").agg(F.count(F.lit(1)).alias("n"), F.min(per).alias("least"), F.max(per).alias("most"), F.sum(per).alias("total"), F.sum(F.col("head_extra_mib").cast("long")).alias("head_total"))
 
 
 def _folds(s, d):
@@ -143,6 +161,7 @@ QUERIES = {
     "m5_pooled_default": lambda s, d: M5.pooled_default(_fitted(s, d)[1]).withColumn("coef", F.round("coef", 6)),
     "m5_entry_order": lambda s, d: RP.entry_order(M5.wide_coefficients(_fitted(s, d)[2], M5.GROUP).drop("coefficients")),
     "m6_scores": _score,
+    "m6_known_scores": _known_scores,
     "m7_folds": lambda s, d: X.with_error(_folds(s, d)).withColumn("error_pct", F.round("error_pct", 6)),
     "m8_crossval_report": lambda s, d: X.report(_folds(s, d)).withColumn("worst_pct", F.round("worst_pct", 6)),
     "c1_fit_check": lambda s, d: K.fit_check(_slots(s, d)),
@@ -185,7 +204,25 @@ def _fold_sql(name: str, rel: str, fit: str = FIT) -> str:
 FOLDS = f"{_fold_sql('mask_copies', 'pa')} union all {_fold_sql('tensor_moe_rate', 'pb')} union all {_fold_sql('vision_graph_bytes', 'pc', 'cast(round_even(max(v), 0) as bigint)')}"
 ERR = "case when alone <> 0 then 100.0::double * (without - alone) / alone end"
 
+
+def _known_scores_sql() -> str:
+    def dot(side: str, head: bool) -> str:
+        c = lambda name: f"case tier when 'default' then {ELSE[name]}e0 else {ENTRY[name]}e0 end"
+        body = f"""({c('flat')} + case when tier = 'default' then 0 else layers end) + {c('hidden')} * n_embd * ub / {M.MIB} + {c('doubling')} * log2(greatest(ub, 512) / 512e0)
+          + {c('mask')} * copies * ub * ctx / {M.MIB} + case when kv_type = 'q8_0' then {c('quant')} * ub * ctx / {M.MIB} else 0 end"""
+        extra = f"{c('head_flat')} + {c('logits')} * 151936 * ub / {M.MIB} + case when hybrid then {c('offload_head')} else 0 end"
+        return f"cast(ceil({extra if head else body}) as bigint) as {side}"
+
+    return f""", k as (select case when ik then 'ik' end as rt, split_l, arch, max(n_layer) as layers from r where arch in ('qwen3', 'gemma4', 'laguna') group by 1, 2, 3 having rt is not null or split_l = 'layer'),
+      x as (select r.*, coalesce(o.layers, h.layers) as layers, case when o.layers is not null then 'runtime' when h.layers is not null then 'shared' else 'default' end as tier from r
+        left join k o on o.rt = 'ik' and ik and o.arch = r.arch and o.split_l = r.split_l and not per_layer
+        left join k h on h.rt is null and h.arch = r.arch and h.split_l = r.split_l and not per_layer),
+      y as (select runtime, split_l as split, arch, tier, {dot('per', False)}, {dot('extra', True)} from x)
+      select runtime, split, arch, tier, count(*) as n, min(per) as least, max(per) as most, cast(sum(per) as bigint) as total, cast(sum(extra) as bigint) as head_total from y group by 1, 2, 3, 4"""
+
+
 ORACLE = {
+    "m6_known_scores": _sql(_known_scores_sql()),
     "m3_m4_known_fit": KNOWN_SQL + """ select k.flag, c.n, k."column", round(k.coef, 5) as coef from k join (select flag, count(*) as n from t group by 1) c on c.flag = k.flag""",
     "m5_known_residuals": KNOWN_SQL + """, f as (select flag, sum(case when "column" = 'flat' then coef else 0 end) as a, sum(case when "column" = 'mask' then coef else 0 end) as b, sum(case when "column" = 'quant' then coef else 0 end) as c from k group by 1),
       o as (select t.flag, abs(a + b * mask + c * quant - target) / target as off from t join f on f.flag = t.flag)

@@ -8,8 +8,8 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
 ORACLE = entry.oracle_sql()
-# Covered at a larger scale by tests/oracle.py; minutes of small jobs here.
-SLOW = {"d22_derive_all"}
+# Trained or fitted figures: their own tests hold them against known coefficients, plain versions or held-out rows.
+NO_SQL = {"m3_m4_fitted_coefficients", "m5_residuals", "m5_pooled_default", "m5_entry_order", "m6_scores"}
 
 
 @pytest.fixture(scope="module")
@@ -21,13 +21,17 @@ def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in SLOW])
+def test_what_has_no_sql():
+    assert {n for n in QUERIES if n not in ORACLE and n != "pipeline" and not n.startswith("op")} == NO_SQL
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     df = QUERIES[name](spark, SF)
     if name in ORACLE:
         assert compare(df, con, ORACLE[name]) is None
     else:
-        assert df.columns and df.count() >= 0
+        assert df.count() > 0
 
 
 def test_entry(spark):
