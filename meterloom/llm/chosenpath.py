@@ -225,6 +225,13 @@ def _stats(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("mix"), *more).where("n > 1")
 
 
+def _carrying(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with columns of the set `fp` names; a set is joined once, however many nodes it is in (their number is bounded by trees and depth)."""
+    rest = [c for c in rows.columns if c != "fp"]
+    held = rows.groupBy("fp").agg(F.collect_list(F.struct(*rest)).alias("__in")).join(sets.select("fp", *columns), "fp")
+    return held.select("fp", *columns, F.explode("__in").alias("__in")).select("__in.*", "fp", *columns)
+
+
 def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEPTH, crowded: float = CROWDED) -> list[DataFrame]:
     """Groups (`gid`, `fp`) level by level: those of nodes that fit a task, and whole nodes that branching does not separate."""
     rows = sets.select(F.posexplode("roots").alias("token", "value"), "fp").select(F.xxhash64("token", "value").alias("key"), "fp")
@@ -232,7 +239,7 @@ def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEP
     for level in range(1, depth + 1):
         # Nodes with the same members are one.
         alone = stats.groupBy("n", "lo", "hi", "mix").agg(F.min("key").alias("node"))
-        held = rows.join(alone.where(F.col("n") <= local).select("node"), F.col("key") == F.col("node")).select("key", "fp").join(sets.select("fp", "size", "tokens"), "fp")
+        held = _carrying(rows.join(alone.where(F.col("n") <= local).select("node"), F.col("key") == F.col("node")).select("key", "fp"), sets, "size", "tokens")
         lists = held.groupBy("key").agg(F.collect_list(F.struct("fp", "size", "tokens")).alias("m"))
         found.append(settle(_compared(lists, node, depth - level, crowded), "groups"))
         large = alone.where(F.col("n") > local).select(F.col("node").alias("large"), "n", "lo")
@@ -243,7 +250,7 @@ def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEP
             found.append(open_.select(F.col("lo").alias("gid"), "fp"))
             break
         # A node's tokens are chosen by its name, from those that no root uses.
-        own = open_.join(sets.select("fp", "tokens"), "fp").withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
+        own = _carrying(open_, sets, "tokens").withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
         token = F.pmod(F.xxhash64("key", "b", F.lit(SEED)), F.lit(TOKENS - TREES * BRANCHES)) + TREES * BRANCHES
         value = F.substring(F.col("tokens"), (2 * token + 1).cast("int"), F.lit(2))
         below = settle(own.select(F.xxhash64("key", "b", value).alias("key"), F.col("key").alias("parent"), F.col("n").alias("up"), "fp"), "children")
