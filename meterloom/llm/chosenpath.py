@@ -225,13 +225,6 @@ def _stats(rows: DataFrame, *more: Column) -> DataFrame:
     return rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("mix"), *more).where("n > 1")
 
 
-def _carrying(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
-    """`rows` with columns of the set `fp` names; a set is joined once, however many nodes it is in (their number is bounded by trees and depth)."""
-    rest = [c for c in rows.columns if c != "fp"]
-    held = rows.groupBy("fp").agg(F.collect_list(F.struct(*rest)).alias("__in")).join(sets.select("fp", *columns), "fp")
-    return held.select("fp", *columns, F.explode("__in").alias("__in")).select("__in.*", "fp", *columns)
-
-
 def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEPTH, crowded: float = CROWDED) -> list[DataFrame]:
     """Groups (`gid`, `fp`) level by level: those of nodes that fit a task, and whole nodes that branching does not separate."""
     rows = sets.select(F.posexplode("roots").alias("token", "value"), "fp").select(F.xxhash64("token", "value").alias("key"), "fp")
@@ -239,7 +232,7 @@ def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEP
     for level in range(1, depth + 1):
         # Nodes with the same members are one.
         alone = stats.groupBy("n", "lo", "hi", "mix").agg(F.min("key").alias("node"))
-        held = _carrying(rows.join(alone.where(F.col("n") <= local).select("node"), F.col("key") == F.col("node")).select("key", "fp"), sets, "size", "tokens")
+        held = rows.join(alone.where(F.col("n") <= local).select("node"), F.col("key") == F.col("node")).select("key", "fp").join(sets.select("fp", "size", "tokens"), "fp")
         lists = held.groupBy("key").agg(F.collect_list(F.struct("fp", "size", "tokens")).alias("m"))
         found.append(settle(_compared(lists, node, depth - level, crowded), "groups"))
         large = alone.where(F.col("n") > local).select(F.col("node").alias("large"), "n", "lo")
@@ -250,7 +243,7 @@ def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEP
             found.append(open_.select(F.col("lo").alias("gid"), "fp"))
             break
         # A node's tokens are chosen by its name, from those that no root uses.
-        own = _carrying(open_, sets, "tokens").withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
+        own = open_.join(sets.select("fp", "tokens"), "fp").withColumn("b", F.explode(F.array(*map(F.lit, range(BRANCHES)))))
         token = F.pmod(F.xxhash64("key", "b", F.lit(SEED)), F.lit(TOKENS - TREES * BRANCHES)) + TREES * BRANCHES
         value = F.substring(F.col("tokens"), (2 * token + 1).cast("int"), F.lit(2))
         below = settle(own.select(F.xxhash64("key", "b", value).alias("key"), F.col("key").alias("parent"), F.col("n").alias("up"), "fp"), "children")
@@ -262,13 +255,20 @@ def grow(sets: DataFrame, node: int = NODE, local: int = LOCAL, depth: int = DEP
     return found
 
 
+def _carrying(rows: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with columns of the set `fp` names; a set is joined once, however many crowds it is in (at most one for each token of the roots and level)."""
+    rest = [c for c in rows.columns if c != "fp"]
+    held = rows.groupBy("fp").agg(F.collect_list(F.struct(*rest)).alias("__in")).join(sets.select("fp", *columns), "fp")
+    return held.select("fp", *columns, F.explode("__in").alias("__in")).select("__in.*", "fp", *columns)
+
+
 def _centres(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """(`gid`, `centre`): of each crowd the set that agrees most with the most common tokens.
 
     The tokens are counted on about `NODE` members per crowd, chosen by hash;
     that decides which set is the centre and nothing else.
     """
-    held = crowd.join(sets.select("fp", "tokens"), "fp")
+    held = _carrying(crowd, sets, "tokens")
     some = held.where(F.pmod(F.xxhash64("fp", "gid"), "n") < NODE).groupBy("gid").agg(F.collect_list("tokens").alias("some"))
 
     def common(batches):
@@ -305,7 +305,7 @@ def _strangers(pieces: DataFrame, made: DataFrame, sets: DataFrame, node: int) -
     known = rooted.join(heart, "gid").withColumn("out", F.col("root") != F.col("heart"))
     known = settle(known.groupBy("crowd", "fp").agg(F.min("out").alias("out"), F.first("centre").alias("centre")), "crowd-members")
     sizes = known.groupBy("crowd").agg(F.sum(F.col("out").cast("long")).alias("few"), F.count(F.lit(1)).alias("many")).where("few > 0")
-    here = known.join(sizes, "crowd").join(sets.select("fp", "size", "tokens"), "fp")
+    here = _carrying(known.join(sizes, "crowd"), sets, "size", "tokens")
     many, few = (F.ceil(F.col(c) / (node // 2)).cast("long") for c in ("many", "few"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # What the centre has brought together need not be compared again.
@@ -319,13 +319,14 @@ def _strangers(pieces: DataFrame, made: DataFrame, sets: DataFrame, node: int) -
 
 def verified(groups: DataFrame, rows: DataFrame, sets: DataFrame, text_col: str, percent: int) -> DataFrame:
     """(`gid`, `u`, `v`): the sets u of each group that whole sets link to a smaller one, and the smallest v they reach in it."""
-    wanted = groups.select("gid", "fp").join(sets.select("fp", "row"), "fp")
+    # A text is joined once, however many groups compare it.
+    wanted = groups.groupBy("fp").agg(F.collect_list("gid").alias("gids")).join(sets.select("fp", "row"), "fp")
     texts = rows.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
     # One side is a list of row numbers: where it is small the texts of other rows need not move at all.
     needed = wanted.select("row").distinct()
     if needed.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(needed), "row", "left_semi")
-    held = wanted.join(texts, "row").select("gid", "fp", "text")
+    held = wanted.join(texts, "row").select(F.explode("gids").alias("gid"), "fp", "text")
     dealt = held.repartition("gid").sortWithinPartitions("gid")
 
     def compare(batches):
