@@ -36,6 +36,8 @@ LEXICON = 60_000
 LONGEST = 48
 #: Distinct words a task counts before it hands them on.
 FLUSH = 150_000
+#: Signs (or bytes of ids) encoded or decoded at once: the two run in workers of their own beside each other.
+PIECE = 250_000
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = 1, 2, 3, 4, 5
 # The white space of Unicode, and the word endings that are split off after an apostrophe.
@@ -483,7 +485,7 @@ def encode(docs: DataFrame, codec: Codec, text_col: str = "text", ids_col: str =
         raw = ids.astype("<u4").tobytes()
         return [pa.array([raw[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.binary())]
 
-    return map_text(docs, text_col, T.StructType([T.StructField(ids_col, T.BinaryType())]), work)
+    return map_text(docs, text_col, T.StructType([T.StructField(ids_col, T.BinaryType())]), work, PIECE)
 
 
 def decode(coded: DataFrame, codec: Codec, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -494,7 +496,7 @@ def decode(coded: DataFrame, codec: Codec, ids_col: str = "ids", text_col: str =
         ids = np.frombuffer(b"".join(r for r in rows if r), "<u4").astype(np.int64)
         return [decode_ids(ids, sizes, codec.vocabulary.value)]
 
-    return map_text(coded, ids_col, T.StructType([T.StructField(text_col, T.StringType())]), work)
+    return map_text(coded, ids_col, T.StructType([T.StructField(text_col, T.StringType())]), work, PIECE)
 
 
 def unpack(ids_col: str = "ids"):
