@@ -20,8 +20,8 @@ UPTIME, DEADLINE, MARGIN = 432_000_000, 7_200_000, 1 << 28
 
 
 def _stream(s, d, name: str) -> DataFrame:
-    schema = B.table(s, d, name).schema
-    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """A table as a stream of its files, be it one file or a folder of them (a stream takes a single file only by a pattern)."""
+    return s.readStream.schema(B.table(s, d, name).schema).parquet(f"{d}/{{{name}.parquet}}")
 
 
 def _metrics(s, d):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterloom.session import discard, remove, scratch_path, settle
+from meterloom.session import discard, folders, remove, scratch_path, settle
 
 
 @dataclass(frozen=True)
@@ -81,5 +81,10 @@ def run_carried(stream: DataFrame, how: Carried, label: str, base: str | None =
         query.awaitTermination()
     finally:
         query.stop()
-    rows = spark.read.parquet(f"{base}/rows")
+    # Before the first row there is no batch: the fold of nothing tells the columns.
+    rows = spark.read.parquet(f"{base}/rows") if folders(spark, f"{base}/rows") else _folded(how, spark.createDataFrame([], stream.schema))
     return rows.select(*dict.fromkeys([*how.keys, *how.output]))
+
+
+def _folded(how: Carried, first: DataFrame) -> DataFrame:
+    return how.fold(first, first.sparkSession.createDataFrame([], how.schema(first)).drop("at"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meterloom.catalog import streams
 from meterloom.operators import sequences as S
 from meterloom.streaming import steps
 from meterloom.streaming import telemetry as ST
@@ -169,3 +170,23 @@ def test_streams_bring_their_own_state_store(spark, tmp_path):
         assert spark.conf.get(PROVIDER) == plain
     finally:
         spark.conf.set(PROVIDER, held)
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_table_streams_whether_a_file_or_a_folder(spark, tmp_path, folder):
+    rows = [(i // 6, i % 6, "user", f"line {i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    df.repartition(3).write.parquet(str(tmp_path / "parts"))
+    if folder:
+        (tmp_path / "parts").rename(tmp_path / "conversations.parquet")
+    else:
+        df.toPandas().to_parquet(tmp_path / "conversations.parquet")
+    got = streams.QUERIES["t9_log_sequences"](spark, str(tmp_path)).collect()
+    assert {(r["run_id"], r["seq"]) for r in got} == {(c, t) for c, t, _, _ in rows} and len(got) == 30
+
+
+def test_stream_without_files_gives_no_rows(spark, tmp_path):
+    schema = "service_id bigint, run_id bigint, timestamp_ms bigint, stream string, line string"
+    (tmp_path / "none").mkdir()
+    got = run_carried(spark.readStream.schema(schema).parquet(str(tmp_path / "none")), ST.log_numbers(), "none")
+    assert got.columns == ["service_id", "run_id", "timestamp_ms", "seq", "stream", "line"] and got.count() == 0
