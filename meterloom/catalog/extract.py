@@ -13,6 +13,10 @@ from meterloom.sources import measurements as M
 from meterloom.sources import stores as S
 
 
+#: Logs printed by one task, and logs of one archive of the corpus (about 2 KB each).
+LOGS_PER_TASK, LOGS_PER_ARCHIVE = 10_000, 1_000
+
+
 def load_logs(s, d) -> DataFrame:
     """The corpus of load logs, written once per session."""
     return M._once(s, d, "load-logs", lambda: _print_logs(s, d))
@@ -46,7 +50,10 @@ def _print_logs(s, d) -> DataFrame:
         F.lit("memory breakdown [MiB] | total free\n  - CUDA0 (old) | 1 = 1 + ( 1 = 1 + 1 + 1) + 1\n"),
         fmt("memory breakdown [MiB] | total free self\n  - CUDA0 (card) | 24576 = %d + ( %d = %d + 2 + 3) + %d\n  - CUDA1 (card) | 24576 = 7 + ( 8 = 9 + 10 + 11) + 12\n  - Host | %d = 5 + 6 + 7\n", i(p % 24000), i(p % 700), i(p % 600), i(p % 50), i(p % 3000)),
     )
-    return B.table(s, d, "part").select(F.col("p_partkey").alias("log_id"), text.alias("text"))
+    # A part is a few bytes and its log is 2 KB of text to parse: the tasks follow the number of logs, not the size of the table.
+    parts = B.table(s, d, "part").select("p_partkey", "p_size")
+    tasks = parts.count() // LOGS_PER_TASK + 1
+    return (parts.repartition(tasks) if tasks > 1 else parts).select(p.alias("log_id"), text.alias("text"))
 
 
 def _parsed(s, d):
@@ -163,7 +170,8 @@ def _corpus(s, d):
     from meterloom.session import scratch_path
 
     path = scratch_path(s, "corpus")
-    load_logs(s, d).select("text").write.option("compression", "gzip").text(path)
+    # An archive is read as one text, so a task's logs go to archives of bounded size.
+    load_logs(s, d).select("text").write.option("compression", "gzip").option("maxRecordsPerFile", LOGS_PER_ARCHIVE).text(path)
     return S.read_log_corpus(s, path).agg(F.sum(F.size(E.every(F.col("text"), E.ARENA))).alias("arena_lines"))
 
 

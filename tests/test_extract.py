@@ -65,3 +65,17 @@ def test_contexts_of_very_long_logs(spark):
         began = time.time()
         assert read(spark, [log]) == [plain(log)]
         assert time.time() - began < 20
+
+
+def test_archives_and_tasks_hold_a_bounded_number_of_logs(spark, tmp_path, monkeypatch):
+    from meterloom.catalog import extract as X
+
+    spark.range(1, 101).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    read = []
+    monkeypatch.setattr(X, "LOGS_PER_TASK", 30)
+    monkeypatch.setattr(X, "LOGS_PER_ARCHIVE", 10)
+    monkeypatch.setattr(X.S, "read_log_corpus", lambda s, path, real=X.S.read_log_corpus: read.append(real(s, path)) or read[-1])
+    assert X.QUERIES["s8_log_corpus"](spark, str(tmp_path)).collect() == [(125,)]
+    logs = [r["text"].count("print_info: arch") for r in read[0].collect()]
+    assert sum(logs) == 100 and max(logs) <= 10
+    assert X._print_logs(spark, str(tmp_path)).rdd.getNumPartitions() == 4
