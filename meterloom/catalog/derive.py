@@ -31,8 +31,14 @@ def _rounded(df, *names):
     return df
 
 
+def _clean(s, d):
+    """The latest usable measurement of every cell, picked by narrow rows and made whole after."""
+    newest = H.latest_measurement(H.usable(M.measurements(s, d).select("cell", "status", "provenance", "pos")))
+    return settle(M.at_positions(newest), "clean")
+
+
 def _all(s, d):
-    return M._once(s, d, "derived", lambda: D.derive_all(settle(H.latest_measurement(H.usable(M.measurements(s, d))), "clean"), RATES, WITHIN))
+    return M._once(s, d, "derived", lambda: D.derive_all(_clean(s, d), RATES, WITHIN))
 
 
 #: Values of an earlier state of the data: a part of what is derived, some of it changed, and one entry a table that nothing derives any more.

@@ -123,12 +123,16 @@ def _unknown(text: Column, kind: T.DataType, at: str = "") -> Column:
     """Paths of the fields in a JSON text that the schema does not name, at any depth: in structs, list elements and map values."""
     none = F.array().cast("array<string>")
     if isinstance(kind, T.StructType):
-        fields = F.from_json(text, "map<string,string>")
-        keys = F.coalesce(F.map_keys(fields), none)
         known = F.array(*[F.lit(n) for n in kind.fieldNames()]).cast("array<string>")
-        found = [F.transform(F.array_except(keys, known), lambda k: F.concat(F.lit(at), k))]
-        found += [_unknown(F.element_at(fields, f.name), f.dataType, f"{at}{f.name}.") for f in kind.fields if _nested(f.dataType)]
-        return F.flatten(F.array(*found)) if len(found) > 1 else found[0]
+
+        def walk(fields: Column) -> Column:
+            keys = F.coalesce(F.map_keys(fields), none)
+            found = [F.transform(F.array_except(keys, known), lambda k: F.concat(F.lit(at), k))]
+            found += [_unknown(F.element_at(fields, f.name), f.dataType, f"{at}{f.name}.") for f in kind.fields if _nested(f.dataType)]
+            return F.flatten(F.array(*found)) if len(found) > 1 else found[0]
+
+        # Bound once: every use of an expression outside a lambda would parse the text again.
+        return F.transform(F.array(F.from_json(text, "map<string,string>")), walk)[0]
     if isinstance(kind, T.ArrayType):
         each = F.from_json(text, "array<string>")
         return F.coalesce(F.flatten(F.transform(each, lambda e: _unknown(e, kind.elementType, f"{at[:-1]}[]."))), none)
