@@ -5,11 +5,16 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
+#: Bytes of a method above which HotSpot doesn't compile it.
+JIT_LIMIT = 8000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,6 +61,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """While a table of many computed columns is written: no stage as one method so long that the JVM only interprets it."""
+    before = spark.conf.get(METHOD_CONF)
+    spark.conf.set(METHOD_CONF, JIT_LIMIT)
+    try:
+        yield
+    finally:
+        spark.conf.set(METHOD_CONF, before)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back.
 

@@ -13,6 +13,8 @@ from meterloom.operators import sequences as S
 from meterloom.operators import telemetry as T
 from meterloom.plans import derive as D
 from meterloom.plans import fit as M
+from meterloom.session import METHOD_CONF
+from meterloom.sources import measurements as records
 from meterloom.sources import stores
 
 METRIC = stores.REQUEST_METRICS
@@ -259,3 +261,23 @@ def test_cell_id_ignores_defaults_and_labels(spark):
     df = spark.createDataFrame([(("x", 4, None),), (("y", 4, None),), (("x", 5, None),), (("x", 4, 0),)], "factors struct<label: string, ctx: bigint, moe: bigint>")
     ids = [r["i"] for r in df.select(R.cell_id("factors", {"label": "", "ctx": 4, "moe": None}).alias("i")).collect()]
     assert ids[0] == ids[1] and len({ids[0], ids[2], ids[3]}) == 3 and len(ids[0]) == 12
+
+
+def lines(spark, tmp_path, n=400):
+    """A folder with `n` line items, some of them twice and some with nulls."""
+    rows = spark.range(n).selectExpr(
+        "id div 3 as l_orderkey", "cast(id % 7 + 1 as int) as l_linenumber", "id * 7 % 90 as l_suppkey", "if(id % 31 = 0, null, id * 11 % 60) as l_partkey",
+        "100 + id * 3.25D as l_extendedprice", "1D + id % 50 as l_quantity", "id % 11 / 100D as l_discount", "id % 9 / 100D as l_tax",
+        "element_at(array('N', 'R', 'A'), cast(id % 3 + 1 as int)) as l_returnflag", "if(id % 2 = 0, 'F', 'O') as l_linestatus",
+        "cast(timestamp'1995-01-01' + make_dt_interval(cast(id % 40 as int)) as timestamp_ntz) as l_shipdate",
+    )
+    rows.unionByName(rows.where("l_orderkey % 5 = 0")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_records_are_written_without_their_flat_columns(spark, tmp_path):
+    before = spark.conf.get(METHOD_CONF)
+    folder = lines(spark, tmp_path)
+    assert records.measurements(spark, folder).count() > 400
+    assert [label for _, d, label in records._written if d == folder] == ["measurements"]
+    assert spark.conf.get(METHOD_CONF) == before
