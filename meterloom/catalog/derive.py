@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from meterloom.functions import records as R
 from meterloom.operators import hygiene as H
 from meterloom.plans import derive as D
-from meterloom.session import settle
 from meterloom.sources import measurements as M
 
 POS = M.POS_SQL
@@ -31,8 +30,15 @@ def _rounded(df, *names):
     return df
 
 
+def _clean(s, d):
+    """The latest usable measurement of every cell: chosen by narrow rows, so whole records are neither sorted nor shuffled."""
+    narrow = M.measurements(s, d).select("cell", "status", "provenance.measured_at_utc", "pos")
+    chosen = narrow.select("cell", "status", F.struct("measured_at_utc").alias("provenance"), "pos")
+    return M.at_positions(H.latest_measurement(H.usable(chosen)))
+
+
 def _all(s, d):
-    return M._once(s, d, "derived", lambda: D.derive_all(settle(H.latest_measurement(H.usable(M.measurements(s, d))), "clean"), RATES, WITHIN))
+    return M._once(s, d, "derived", lambda: D.derive_all(_clean(s, d), RATES, WITHIN))
 
 
 #: Values of an earlier state of the data: a part of what is derived, some of it changed, and one entry a table that nothing derives any more.

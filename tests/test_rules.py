@@ -281,3 +281,14 @@ def test_records_are_written_without_their_flat_columns(spark, tmp_path):
     assert records.measurements(spark, folder).count() > 400
     assert [label for _, d, label in records._written if d == folder] == ["measurements"]
     assert spark.conf.get(METHOD_CONF) == before
+
+
+def test_records_chosen_by_narrow_rows_are_the_whole_ones(spark, tmp_path):
+    from meterloom.catalog import derive
+
+    folder = lines(spark, tmp_path)
+    m = records.measurements(spark, folder)
+    texts = lambda df: sorted(map(repr, df.select(*m.columns).collect()))
+    assert texts(records.at_positions(m.select("pos"))) == texts(m)
+    got = texts(derive._clean(spark, folder))
+    assert got == texts(H.latest_measurement(H.usable(m))) and len(got) > 10
