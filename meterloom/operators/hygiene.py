@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterloom.functions import records as R
 from meterloom.functions import scan
 from meterloom.functions.reduce import upper_medians
+from meterloom.session import settle
 
 BUILD_TOLERANCE = 0.10
 IDLE_MINUTES = 45
@@ -177,7 +178,9 @@ def plan_order(plan: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Cheapest-to-switch order: by model size (unreadable last), then every costly switch."""
     f = plan
     if sizes is not None:
-        f = plan.join(sizes.select("model", F.col("bytes").alias("__size")), "model", "left")
+        # One row per model: written, its size is known, so a large plan need not be dealt out by its few models.
+        sizes = settle(sizes.select("model", F.col("bytes").alias("__size")), "model-sizes")
+        f = plan.join(sizes, "model", "left")
         size = F.when(F.col("model") == "", F.lit(0).cast("long")).otherwise(F.coalesce("__size", F.lit(UNREADABLE_SIZE)))
     else:
         size = F.lit(0).cast("long")

@@ -292,3 +292,20 @@ def test_records_chosen_by_narrow_rows_are_the_whole_ones(spark, tmp_path):
     assert texts(records.at_positions(m.select("pos"))) == texts(m)
     got = texts(derive._clean(spark, folder))
     assert got == texts(H.latest_measurement(H.usable(m))) and len(got) > 10
+
+
+def test_a_plan_is_not_dealt_out_by_its_few_models(spark):
+    plan = spark.range(1000).selectExpr(
+        "concat('m', id % 4) as model", "'ik' as runtime", "false as no_mmap", "false as rtr", "'0' as gpus", "'layer' as split", "99L as ngl", "'' as spec_type", "'' as draft",
+        "'' as mmproj", "4096L as ctx", "512L as ubatch", "1L as parallel", "'f16' as kv_type", "'on' as flash_attn", "true as served", "false as bench", "999 - id as pos",
+    )
+    sizes = spark.range(100_000).selectExpr("concat('m', id % 3) as model", "10 - id % 3 as bytes").groupBy("model").agg(F.max("bytes").alias("bytes"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        ordered = H.plan_order(plan, sizes)
+        assert "SortMergeJoin" not in ordered._jdf.queryExecution().sparkPlan().toString()
+        got = [(r["model"], r["pos"]) for r in ordered.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [(f"m{k}", p) for k in (2, 1, 0, 3) for p in range(1000) if (999 - p) % 4 == k]
