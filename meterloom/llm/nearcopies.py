@@ -1,10 +1,18 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every text gets a sketch of least shingle hashes, cut into bands. Texts that
-share a band meet in tiles of bounded size, where their whole shingle sets are
-made again and compared exactly: sizes, then a table of Jaccard distances to
-some reference sets (pivots) discard pairs, the rest is counted. A pair of
-similarity s shares no band with probability (1 - s ** ROWS) ** BANDS, 5e-8 at 0.8.
+The method is that of `simhash` with a fingerprint wide enough for 0.8: 256 bits
+over the shingles of a set, linked at `RADIUS` bits. Every text also gets a
+sketch of least shingle hashes, cut into bands, in place of the blocks of bits
+that agree at two bits but not at so wide a radius. Fingerprints that share a
+band meet in tiles of bounded size, where a table of Hamming distances to some
+of them (pivots) discards pairs and the rest are counted bit by bit; tiles hold
+fingerprints only. The texts of each group so linked then meet, once, and their
+whole shingle sets are compared exactly: sizes, then a table of Jaccard
+distances to some reference sets discard pairs, the rest is counted.
+
+A pair of similarity s shares no band with probability (1 - s ** ROWS) ** BANDS,
+5e-8 at 0.8. At 0.8 a bit differs with probability 0.15 (0.19 in sets of four
+and five shingles), so a pair is beyond the radius with probability 1e-9 (1e-5).
 
 Texts with the same shingle set take part once. Bands that bring the same texts
 together make one tile, and a tile gives at most one link per text.
@@ -26,11 +34,13 @@ WORDS = 5
 SHARE = 0.8
 SEED = 42
 BANDS, ROWS = 32, 4
+#: Longs of a fingerprint, and the bits in which linked ones may differ.
+PRINT, RADIUS = 4, 76
 PIVOTS = 8
 #: Texts and shingles of one band compared in one piece are at most about twice as many.
 TILE, TILE_SHINGLES = 1_024, 1_000_000
 
-_SCHEMA = T.StructType([T.StructField("__set", T.LongType()), T.StructField("__size", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType()))])
+_SCHEMA = T.StructType([T.StructField("__set", T.LongType()), T.StructField("__size", T.LongType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__print", T.ArrayType(T.LongType()))])
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -60,13 +70,35 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def print_of(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set that is not empty: the hashes themselves vote on the first 64 bits, mixtures of them on the others."""
+    words = shingles[:, None] + np.arange(PRINT, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        words[:, 1:] = (words[:, 1:] ^ (words[:, 1:] >> np.uint64(shift))) * np.uint64(factor)
+    words[:, 1:] ^= words[:, 1:] >> np.uint64(31)
+    return simhash.majority(words)
+
+
 def _sketched(texts: list[str | None]) -> list:
     import xxhash
 
     sets = [shingle_set(t) for t in texts]
     digest = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
     found = iter(bands_of([s for s in sets if len(s)]).tolist())
-    return [digest.tolist(), [len(s) for s in sets], [next(found) if len(s) else None for s in sets]]
+    return [digest.tolist(), [len(s) for s in sets], [next(found) if len(s) else None for s in sets], [print_of(s).tolist() if len(s) else None for s in sets]]
+
+
+def within(ids: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct sets and their fingerprints: the ids linked to a smaller one in their group, and the smallest of the group."""
+    order = np.argsort(ids)
+    ids, x = np.asarray(ids, np.int64)[order], np.ascontiguousarray(np.asarray(prints, np.int64)[order]).view(np.uint64)
+    refs = x[np.unique(np.linspace(0, len(x) - 1, PIVOTS).astype(int))] if len(x) > 8 * PIVOTS else x[:1]
+    label = simhash.nearby(x, RADIUS, refs)
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    root = least[label]
+    some = root != ids
+    return ids[some], root[some]
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +140,44 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], share: float = SHARE) -> tup
     return ids[some], root[some]
 
 
+def _links(pair: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    return pa.table({"u": pa.array(pair[0], pa.int64()), "v": pa.array(pair[1], pa.int64())})
+
+
+def _dealt(held: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a key dealt to pieces `a`, `b`, so that any two rows meet in one; `parts` says how many pieces a key is cut into."""
+    salted = held.join(parts, keys).withColumn("s", F.pmod(F.xxhash64("fp"), "parts"))
+    pieces = salted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return pieces.withColumn("a", F.least("s", "o")).withColumn("b", F.greatest("s", "o")).drop("s", "o", "parts")
+
+
+def candidates(distinct: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links (`u`, `v`), v the smaller, of the sets whose fingerprints are within the radius, among those that share a band."""
+    spread = distinct.select("fp", F.posexplode("bands").alias("t", "key"))
+    met = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("mix")).where("n > 1")
+    shared = met.groupBy("n", "lo", "hi", "mix").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", F.ceil(F.col("n") / tile).alias("parts"))
+    tiles = _dealt(spread, shared, ["t", "key"]).join(distinct.select("fp", "print"), "fp")
+
+    def compare(part: pa.Table) -> pa.Table:
+        prints = part.column("print").combine_chunks().flatten().to_numpy()
+        return _links(within(part.column("fp").to_numpy(), prints.reshape(-1, PRINT)))
+
+    return tiles.select("t", "key", "a", "b", "fp", "print").groupBy("t", "key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+
+
 def links(rows: DataFrame, text_col: str, tile: int = TILE, shingles: int = TILE_SHINGLES) -> DataFrame:
     """Links (`u`, `v`), v the smaller, that join the sets of `rows` (with `__row` and the sketches) into groups."""
-    distinct = rows.where("__size > 0").groupBy(F.col("__set").alias("fp")).agg(F.min("__row").alias("__row"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
-    spread = distinct.select("fp", "__row", "size", F.posexplode("bands").alias("t", "key"))
-    met = spread.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.bit_xor(F.xxhash64("fp")).alias("mix")).where("n > 1")
-    shared = met.groupBy("n", "size", "lo", "hi", "mix").agg(F.min(F.struct("t", "key")).alias("k")).select("k.t", "k.key", F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / shingles)).alias("parts"))
-    salted = spread.drop("size").join(shared, ["t", "key"]).withColumn("s", F.pmod(F.xxhash64("fp"), "parts"))
-    dealt = salted.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = dealt.select("t", "key", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), "fp", "__row")
-    held = tiles.join(rows.select("__row", F.col(text_col).alias("text")), "__row").select("t", "key", "a", "b", "fp", "text")
+    distinct = rows.where("__size > 0").groupBy(F.col("__set").alias("fp")).agg(F.min("__row").alias("__row"), F.first("__size").alias("size"), F.first("__bands").alias("bands"), F.first("__print").alias("print"))
+    grouped = simhash.groups(candidates(distinct, tile))
+    every = grouped.unionByName(grouped.select(F.col("root").alias("fp"), "root").distinct())
+    held = every.join(distinct.select("fp", "__row", "size"), "fp")
+    parts = held.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum("size") / shingles)).alias("parts"))
+    pieces = _dealt(held.drop("size"), parts, ["root"]).join(rows.select("__row", F.col(text_col).alias("text")), "__row").select("root", "a", "b", "fp", "text")
 
     def compare(part: pa.Table) -> pa.Table:
-        u, v = linked(part.column("fp").to_numpy(), [shingle_set(t) for t in part.column("text").to_pylist()])
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        return _links(linked(part.column("fp").to_numpy(), [shingle_set(t) for t in part.column("text").to_pylist()]))
 
-    return held.groupBy("t", "key", "a", "b").applyInArrow(compare, "u long, v long").distinct()
+    return pieces.groupBy("root", "a", "b").applyInArrow(compare, "u long, v long").distinct()
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

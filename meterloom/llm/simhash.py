@@ -48,11 +48,16 @@ def fingerprint_of(text: str | None, words: int = WORDS, seed: int = SEED) -> in
         return 0
     shingles = map(b" ".join, zip(*(parts[k:] for k in range(words)))) if len(parts) >= words else [b" ".join(parts)]
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(s, seed) for s in shingles], np.uint64)
-    slots = h.view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
-    per_byte = np.bincount(slots.ravel(), minlength=2048).reshape(8, 256)
+    return int(majority(np.array([digest(s, seed) for s in shingles], np.uint64))[0])
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the hashes, as signed integers: one for hashes, w for rows of w hashes."""
+    rows = h.reshape(len(h), -1).view(np.uint8)
+    width = rows.shape[1]
+    per_byte = np.bincount((rows + np.arange(0, 256 * width, 256)).ravel(), minlength=256 * width).reshape(width, 256)
     set_bits = (per_byte @ _BITS).ravel() * 2 > len(h)
-    return int(np.packbits(set_bits, bitorder="little").view(np.int64)[0])
+    return np.packbits(set_bits, bitorder="little").view(np.int64)
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out_col: str = "fp") -> DataFrame:
@@ -70,8 +75,18 @@ def linked(values: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None = N
     Groups are what links join, directly or in steps, among `values` alone.
     """
     x = np.unique(values).view(np.uint64)
-    refs = pivots() if refs is None else refs
-    table = np.bitwise_count(x[:, None] ^ refs[None, :]).astype(np.int16)
+    label = nearby(x[:, None], radius, (pivots() if refs is None else refs)[:, None])
+    signed = x.view(np.int64)
+    least = np.full(len(x), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, signed)
+    root = least[label]
+    some = root != signed
+    return signed[some], root[some]
+
+
+def nearby(x: np.ndarray, radius: int, refs: np.ndarray) -> np.ndarray:
+    """For rows of fingerprints (one or more integers each): a row of the group that links within the radius join, the same one for all its rows."""
+    table = np.bitwise_count(x[:, None, :] ^ refs[None, :, :]).sum(2, dtype=np.int16)
     order = np.argsort(table[:, 0], kind="stable")
     near, table = x[order], table[order]
     reach = np.searchsorted(table[:, 0], table[:, 0] + radius, "right") - np.arange(len(near)) - 1
@@ -84,15 +99,12 @@ def linked(values: np.ndarray, radius: int = RADIUS, refs: np.ndarray | None = N
         for k in range(1, table.shape[1]):
             some = np.abs(table[i, k] - table[j, k]) <= radius
             i, j = i[some], j[some]
-        some = np.bitwise_count(near[i] ^ near[j]) <= radius
+        some = np.bitwise_count(near[i] ^ near[j]).sum(1, dtype=np.int16) <= radius
         label = _join(label, i[some], j[some])
         start = stop
-    signed = near.view(np.int64)
-    least = np.full(len(near), np.iinfo(np.int64).max)
-    np.minimum.at(least, label, signed)
-    root = least[label]
-    some = root != signed
-    return signed[some], root[some]
+    out = np.empty(len(near), np.int64)
+    out[order] = order[label]
+    return out
 
 
 def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -69,3 +69,31 @@ def test_near_copies_of_odd_rows(spark):
     kept = nearcopies.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7]
     assert nearcopies.keep_one(empty(spark)).count() == 0
+
+
+def test_alike_sets_have_near_fingerprints():
+    rng = np.random.default_rng(3)
+    far = 0
+    for n in (5, 9, 20, 60, 300):
+        for _ in range(60):
+            base = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+            lost = n // 9 if n > 5 else 1
+            other = np.concatenate([base[lost:], rng.integers(0, 1 << 64, lost if n > 5 else 0, dtype=np.uint64)])
+            assert len(np.intersect1d(base, other)) >= 0.8 * len(np.union1d(base, other)) - 1e-9
+            a, b, c = (nearcopies.print_of(np.unique(s)) for s in (base, other, rng.integers(0, 1 << 64, n, dtype=np.uint64)))
+            assert np.bitwise_count((a ^ b).view(np.uint64)).sum() <= nearcopies.RADIUS
+            far += np.bitwise_count((a ^ c).view(np.uint64)).sum() > nearcopies.RADIUS
+    assert far == 300
+
+
+def test_fingerprints_beyond_the_radius_are_not_linked(spark):
+    """Sets that share a band only meet in full where their fingerprints are near."""
+    rows = [(k, k, [7] * nearcopies.BANDS, [v] * nearcopies.PRINT) for k, v in enumerate((0, 1, 3, -1, -2))]
+    distinct = spark.createDataFrame(rows, "fp long, __row long, bands array<long>, print array<long>")
+    for tile in (1, 2, 100):
+        found = nearcopies.simhash.groups(nearcopies.candidates(distinct, tile))
+        assert {tuple(r) for r in found.collect()} == {(1, 0), (2, 0), (4, 3)}
+    ids = np.arange(400)
+    prints = np.repeat(np.random.default_rng(1).integers(-(1 << 63), 1 << 63 - 1, (40, nearcopies.PRINT)), 10, axis=0) ^ (ids[:, None] % 10)
+    u, v = nearcopies.within(ids, prints)
+    assert dict(zip(u.tolist(), v.tolist())) == {i: i - i % 10 for i in ids.tolist() if i % 10}
