@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from meterloom.llm import bpe, decontaminate, nearcopies, secrets, toxicity
 from meterloom.llm.common import fold, table
 from meterloom.llm.queries import vocabulary_path
-from meterloom.session import discard, settle
+from meterloom.session import discard, settle, settle_mapped
 
 TOXIC_FROM = 0.5
 
@@ -50,7 +50,8 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     codec = bpe.prepare(docs, vocabulary_path())
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), codec), codec)
-    return coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    rows = coded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"))
+    return settle_mapped(rows, "encoded")
 
 
 STAGES = [("toxicity", toxic_out), ("near_dedup", near_dedup), ("decontamination", decontaminated), ("secrets", masked), ("encoding", encoded)]
@@ -59,7 +60,8 @@ STAGES = [("toxicity", toxic_out), ("near_dedup", near_dedup), ("decontamination
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
-        written = settle(stage(spark, docs, sf_dir), f"stage-{name}")
+        made = stage(spark, docs, sf_dir)
+        written = made if hasattr(made, "settled_at") else settle(made, f"stage-{name}")
         if number:
             discard(docs)
         docs = written

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterloom.llm.common import map_text, pieces, ragged, sizes
-from meterloom.session import discard, settle
+from meterloom.session import discard, settle_mapped
 
 #: Bound of the lexicon: the most frequent words of the corpus.
 LEXICON = 60_000
@@ -372,7 +372,7 @@ def frequent_words(docs: DataFrame, text_col: str, special: list[str], words: in
 
     counted = docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     height = F.floor(F.log2("n") * 8)
-    counted = settle(counted.where((F.length("word") <= LONGEST) & (F.col("n") > 1)).withColumn("height", height), "word-counts")
+    counted = settle_mapped(counted.where((F.length("word") <= LONGEST) & (F.col("n") > 1)).withColumn("height", height), "word-counts")
     room, cut, share = words, 0, 0.0
     for row in sorted(counted.groupBy("height").count().collect(), reverse=True):
         cut, share = row["height"], min(1.0, room / row["count"])

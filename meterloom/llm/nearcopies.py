@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from meterloom.llm import simhash
 from meterloom.llm.common import map_text, ragged
-from meterloom.session import settle
+from meterloom.session import settle_mapped
 
 WORDS = 5
 SHARE = 0.8
@@ -186,7 +186,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     Texts without words are copies of each other. Of rows that repeat that id
     one is kept; ids count as smaller than null.
     """
-    rows = settle(map_text(docs, text_col, _SCHEMA, _sketched).withColumn("__row", F.monotonically_increasing_id()), "sketched")
+    rows = settle_mapped(map_text(docs, text_col, _SCHEMA, _sketched).withColumn("__row", F.monotonically_increasing_id()), "sketched")
     slim = rows.select(F.col("__set").alias("fp"), F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__row").alias("row")).alias("best"))
     found = simhash._rooted(slim, F.col("best"), links(rows, text_col)).select("fp", F.col("best.row").alias("kept"))
     lost = slim.join(found, "fp").where(F.col("best.row") != F.col("kept")).select(F.col("best.row").alias("__row"))

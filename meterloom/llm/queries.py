@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meterloom.llm import bpe, chosenpath, decontaminate, divergence, fixity, language, licenses, periodic, quality, secrets, simhash, topk, toxicity
 from meterloom.llm.common import fold, table
+from meterloom.session import settle_mapped
 
 
 def vocabulary_path() -> str:
@@ -78,12 +79,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codec = bpe.prepare(docs, vocabulary_path())
     coded = bpe.encode(docs, codec).select("doc_id", "ids")
-    return bpe.decode(coded, codec).select(
+    digests = bpe.decode(coded, codec).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+    return settle_mapped(digests, "digests")
 
 
 def op11_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +15,9 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 METHOD_CONF = "spark.sql.codegen.hugeMethodLimit"
 #: Bytes of a method above which HotSpot doesn't compile it.
 JIT_LIMIT = 8000
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 1_000_000
 
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -62,14 +65,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 @contextmanager
-def compiled(spark: SparkSession) -> Iterator[None]:
-    """While a table of many computed columns is written: no stage as one method so long that the JVM only interprets it."""
-    before = spark.conf.get(METHOD_CONF)
-    spark.conf.set(METHOD_CONF, JIT_LIMIT)
+def _set(spark: SparkSession, conf: str, value: int) -> Iterator[None]:
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, value)
     try:
         yield
     finally:
-        spark.conf.set(METHOD_CONF, before)
+        spark.conf.set(conf, before)
+
+
+def compiled(spark: SparkSession) -> AbstractContextManager[None]:
+    """While a table of many computed columns is written: no stage as one method so long that the JVM only interprets it."""
+    return _set(spark, METHOD_CONF, JIT_LIMIT)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -85,6 +92,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def settle_mapped(df: DataFrame, label: str) -> DataFrame:
+    """`settle` for rows that pass through Python workers with whole texts.
+
+    Executor and workers each hold the batch that is on its way, at every step
+    of a chain of them. Batches of a fixed number of rows grow with the texts,
+    so they are bounded by bytes while the table is written.
+    """
+    with _set(df.sparkSession, BATCH_CONF, BATCH_BYTES):
+        return settle(df, label)
+
+
 def discard(df: DataFrame) -> None:
     """Remove a settled table that no later step reads."""
     remove(df.sparkSession, df.settled_at)
