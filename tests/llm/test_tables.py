@@ -50,6 +50,28 @@ def test_top_k_of_large_and_unfit_values(spark):
     assert topk.top_k(big.where("false"), big, 5).count() == topk.top_k(big, big.where("false"), 5).count() == 0
 
 
+@pytest.mark.parametrize("most", [3, 40_000, 10**9])
+def test_top_k_of_slices(most):
+    rng = np.random.default_rng(most)
+    ids, c = rng.integers(0, 60, 200), rng.integers(-most, most + 1, (200, 3)).astype(float)  # ids with several vectors
+    queries = np.arange(20) * 4
+    q = rng.integers(-most, most + 1, (20, 3)).astype(float)
+    wanted = plain_top_k(list(zip(queries, q)), list(zip(ids, c)), 5)
+    for slice_ in (1, 7, 64, 200):
+        found = list(zip(*(x.tolist() for x in topk.select(queries, q, ids, c, 5, slice_))))
+        assert sorted(found) == sorted((i, j, s) for i, _, j, s in wanted)
+
+
+def test_top_k_gathers_no_repeated_blocks_in_the_driver(spark):
+    # The blocks are small, but every shard gets them all: together they are no table to broadcast.
+    rows = [(i, [float(i % 7), float(most * (i % 3))]) for most in (1, 10**6) for i in range(300)]
+    for df in (spark.createDataFrame(rows[:300], "vec_id long, vector array<double>"), spark.createDataFrame(rows, "vec_id long, vector array<double>")):
+        got = topk.top_k(df, df, 2, block=4, shard=8)
+        assert got.count() == 600
+        got.collect()
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 # Licences
 
 
