@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterloom.operators import extract as E
 from meterloom.operators import telemetry as T
-from meterloom.session import settle
+from meterloom.session import compiled, settle
 from meterloom.sources import bindings as B
 from meterloom.sources import measurements as M
 from meterloom.sources import stores as S
@@ -15,6 +15,8 @@ from meterloom.sources import stores as S
 
 #: Logs printed by one task, and logs of one archive of the corpus (about 2 KB each).
 LOGS_PER_TASK, LOGS_PER_ARCHIVE = 10_000, 1_000
+#: Records of one compressed NDJSON file (about half a KB of text each).
+RECORDS_PER_FILE = 100_000
 
 
 def load_logs(s, d) -> DataFrame:
@@ -151,8 +153,10 @@ def _ndjson(s, d):
     from meterloom.session import scratch_path
 
     path = scratch_path(s, "ndjson")
-    m = M.measurements(s, d).select("cell", "status", "factors", "provenance")
-    S.write_ndjson(m, path)
+    m = M.passing(s, d).select("cell", "status", "factors", "provenance")
+    # The text is some thirty times the line items.
+    with compiled(s):
+        S.write_ndjson(m, path, "gzip", RECORDS_PER_FILE)
     return S.read_ndjson_strict(s, path, m.schema).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("factors.ctx").alias("ctx"))
 
 

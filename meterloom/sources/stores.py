@@ -172,10 +172,15 @@ def read_ndjson_tolerant(spark: SparkSession, path: str, schema: T.StructType) -
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_ndjson(records: DataFrame, path: str) -> None:
-    """One object per line, keys in schema order, non-ASCII characters escaped."""
+def write_ndjson(records: DataFrame, path: str, compression: str = "none", per_file: int = 0) -> None:
+    """One object per line, keys in schema order, non-ASCII characters escaped; `per_file` records to a file at most (0: no bound).
+
+    A compressed file is read by one task, so a compression asks for a bound.
+    """
+    if compression != "none" and per_file <= 0:
+        raise ValueError("compressed files need a bound on their records")
     text = F.to_json(F.struct(*records.columns), {"writeNonAsciiCharacterAsCodePoint": "true"})
-    records.select(text.alias("value")).write.text(path)
+    records.select(text.alias("value")).write.option("compression", compression).option("maxRecordsPerFile", per_file).text(path)
 
 
 def read_log_corpus(spark: SparkSession, path: str) -> DataFrame:

@@ -283,6 +283,53 @@ def test_records_are_written_without_their_flat_columns(spark, tmp_path):
     assert spark.conf.get(METHOD_CONF) == before
 
 
+def test_records_read_once_are_the_written_ones(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    texts = lambda df: sorted(map(repr, df.collect()))
+    once = texts(records.passing(spark, folder))
+    assert not any(d == folder for _, d, _ in records._written)
+    assert once == texts(records.measurements(spark, folder)) and len(once) > 400
+    assert records.passing(spark, folder) is records.measurements(spark, folder)
+
+
+def test_records_are_only_spread_where_files_leave_cores_idle(spark, tmp_path):
+    folder = lines(spark, tmp_path)
+    spark.read.parquet(f"{folder}/lineitem.parquet").coalesce(1).write.parquet(str(tmp_path / "one/lineitem.parquet"))
+    plan = lambda d: records.passing(spark, d)._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE" in plan(str(tmp_path / "one")) and "REBALANCE" not in plan(folder)
+
+
+def test_records_are_written_once_as_compressed_text_of_bounded_files(spark, tmp_path, monkeypatch):
+    from meterloom.catalog import extract as X
+
+    folder, made = str(tmp_path / "named"), []
+    spark.read.parquet(f"{lines(spark, tmp_path, 3_000)}/lineitem.parquet").where("l_partkey is not null").write.parquet(f"{folder}/lineitem.parquet")
+    monkeypatch.setattr(X, "RECORDS_PER_FILE", 500)
+    monkeypatch.setattr("meterloom.session.scratch_path", lambda s, label: made.append(str(tmp_path / f"{label}-{len(made)}")) or made[-1])
+    got = {r["status"]: r["n"] for r in X.QUERIES["s4_s7_ndjson"](spark, folder).collect()}
+    total = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert sum(got.values()) == total and len(made) == 1
+    files = [p for p in (tmp_path / "ndjson-0").iterdir() if p.name.startswith("part-")]
+    counts = [spark.read.text(str(p)).count() for p in files]
+    text = spark.read.text(made[0]).agg(F.sum(F.length("value") + 1)).first()[0]
+    assert sum(counts) == total and max(counts) <= 500 and sum(p.stat().st_size for p in files) * 5 < text
+
+
+def test_a_bad_line_of_a_compressed_file_is_named(spark, tmp_path):
+    schema = stores.T.StructType.fromDDL(SCHEMA)
+    df = spark.range(25).selectExpr("if(id = 23, ' ', concat('c', id)) as cell", "'ok' as status", "named_struct('ctx', id) as factors").coalesce(1)
+    with pytest.raises(ValueError):
+        stores.write_ndjson(df, str(tmp_path / "none"), "gzip")
+    stores.write_ndjson(df, str(tmp_path / "rows"), "gzip", 10)
+    stores.write_ndjson(df, str(tmp_path / "plain"))
+    parts = lambda name: sorted(p.name for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+    assert len(parts("rows")) == 3 and all(p.endswith(".txt.gz") for p in parts("rows")) and len(parts("plain")) == 1
+    with pytest.raises(stores.BadRecord, match="c002.txt.gz:4: blank cell id"):
+        stores.read_ndjson_strict(spark, str(tmp_path / "rows"), schema)
+    with pytest.raises(stores.BadRecord, match="c000.txt:24: blank cell id"):
+        stores.read_ndjson_strict(spark, str(tmp_path / "plain"), schema)
+
+
 def test_records_chosen_by_narrow_rows_are_the_whole_ones(spark, tmp_path):
     from meterloom.catalog import derive
 
